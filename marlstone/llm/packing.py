@@ -129,33 +129,37 @@ def best_pattern(prices: np.ndarray, capacity: int) -> np.ndarray:
     return np.bincount(lengths, minlength=capacity + 1)
 
 
-def configuration_lp(counts: np.ndarray, capacity: int, steps: int = 400, eps: float = 0.5) -> list[tuple[np.ndarray, float]]:
-    """Patterns and fractional counts that cover ``counts`` (index: length), by multiplicative weights.
+def configuration_lp(counts: np.ndarray, capacity: int, steps: int = 300, eps: float = 0.02, waste: float = 0.004) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used to cover ``counts`` (index: length), by multiplicative weights.
 
-    A pattern is used as often as its scarcest length allows in one step (a width-reducing step), and
-    covered lengths lose weight by exp(-eps * share covered). Prices start at length / capacity, the
-    volume bound's dual solution.
+    Prices are length / capacity (the volume bound's dual solution) times a weight that falls as a
+    length's covered share runs ahead of the mean, by exp(-eps) to exp(eps). A step finds the dearest
+    pattern and uses it as often as its scarcest length allows. Patterns that waste more than ``waste``
+    of a sequence are left to the rounding, as are lengths of which a pattern asks more copies than remain.
     """
-    need = counts.astype(float)
-    lengths = np.arange(capacity + 1)
-    weights = np.where(need > 0, lengths / capacity, 0.0)
-    left, used = need.copy(), []
+    need, lengths = counts.astype(float), np.arange(capacity + 1)
+    has = need > 0
+    left, used = counts.astype(np.int64).copy(), []
+    damped = np.ones(capacity + 1)
+    total = float((lengths * need).sum())
     for _ in range(steps):
-        prices = np.where(left >= 1, weights, 0.0)
-        if not prices.any():
-            break
-        pattern = best_pattern(prices, capacity)
+        share = np.where(has, 1 - left / np.maximum(need, 1), 0.0)
+        ahead = share - float((share * lengths * need).sum()) / max(total, 1.0)
+        weights = np.exp(-eps * np.clip(ahead * 4, -1, 1)) * damped
+        pattern = best_pattern(np.where(left > 0, lengths / capacity * weights, 0.0), capacity)
         on = np.flatnonzero(pattern)
-        # Patterns of nearly full price are the ones the dual admits; each takes a share of what it can cover.
-        most = float(np.min(left[on] / pattern[on]))
-        if most < 1:  # asks for more copies of a length than are left
-            pattern = np.minimum(pattern, np.floor(left).astype(np.int64))
-            on = np.flatnonzero(pattern)
-            most = float(np.min(left[on] / pattern[on]))
-        take = most
-        used.append((pattern, take))
+        if not len(on):
+            break
+        over = on[pattern[on] > left[on]]
+        if len(over):
+            damped[over] *= 0.9
+            continue
+        if int((pattern * lengths).sum()) < capacity * (1 - waste):
+            damped[on[np.argmax(ahead[on])]] *= 0.98
+            continue
+        take = max(1, int(np.min(left[on] // pattern[on]) * 0.5))
+        used.append((pattern, float(take)))
         left[on] -= pattern[on] * take
-        weights[on] *= np.exp(-eps * pattern[on] * take / need[on])
     return used
 
 
@@ -184,14 +188,21 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
 
 
 def pack_histogram(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Whole patterns and how often each is used; every length is used exactly as often as it occurs."""
-    whole = [(pattern, int(x)) for pattern, x in configuration_lp(counts, capacity) if int(x)]
-    left = counts.astype(np.int64).copy()
-    for pattern, times in whole:
-        left -= pattern * times
-    assert (left >= 0).all()
-    with_lp = whole + best_fit(left, capacity)
-    return with_lp
+    """Whole patterns and how often each is used; every length is used exactly as often as it occurs.
+
+    The linear program's patterns are rounded at several points of its path, from all of it to none,
+    what remains is packed by best fit, and the rounding with the fewest sequences is kept.
+    """
+    path = [(pattern, int(x)) for pattern, x in configuration_lp(counts, capacity) if int(x)]
+    best: list[tuple[np.ndarray, int]] | None = None
+    for kept in sorted({len(path) * part // 4 for part in range(5)}, reverse=True):
+        left = counts.astype(np.int64).copy()
+        for pattern, times in path[:kept]:
+            left -= pattern * times
+        packing = path[:kept] + best_fit(left, capacity)
+        if best is None or sum(t for _, t in packing) < sum(t for _, t in best):
+            best = packing
+    return best or []
 
 
 # ---------------------------------------------------------------------------- places
