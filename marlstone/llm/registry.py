@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 
 from ._common import table
+from .decontaminate import contaminated_documents
 from .fingerprints import fingerprint_report
+from .jaccard import jaccard_classes
 from .packing import pack_documents
 from .sharding import shard_documents
+from .suffix_dedup import suffix_report
 from .token_counts import count_tokens_once
 
 
@@ -15,6 +18,10 @@ def op1_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -27,5 +34,24 @@ def op7_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_best_fit_packing, op5_token_counts, op7_sharding)}
+def op9_benchmark_decontamination(spark, sf_dir):
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_suffix_array_dedup,
+        op3_best_fit_packing,
+        op5_token_counts,
+        op7_sharding,
+        op9_benchmark_decontamination,
+        op10_ngram_jaccard_join,
+    )
+}
 ORACLE: dict[str, str] = {}
