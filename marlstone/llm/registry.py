@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import preference
 from ._common import table
 from .decontaminate import contaminated_documents
 from .fingerprints import fingerprint_report
@@ -12,6 +13,8 @@ from .packing import pack_documents
 from .sharding import shard_documents
 from .suffix_dedup import suffix_report
 from .token_counts import count_tokens_once
+from .toxicity import score_documents, train
+from .warc_zip import round_trip
 
 
 def op1_document_fingerprints(spark, sf_dir):
@@ -26,14 +29,27 @@ def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark, sf_dir):
     return count_tokens_once(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_warc(spark, sf_dir):
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_chat_formatting(spark, sf_dir):
+    return preference.preference_report(table(spark, sf_dir, "conversations"))
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,10 +64,13 @@ QUERIES = {
         op1_document_fingerprints,
         op2_suffix_array_dedup,
         op3_best_fit_packing,
+        op4_toxicity,
         op5_token_counts,
+        op6_warc,
         op7_sharding,
+        op8_chat_formatting,
         op9_benchmark_decontamination,
         op10_ngram_jaccard_join,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_chat_formatting": preference.ORACLE_SQL}
