@@ -4,7 +4,8 @@ A document's terms are its different words (A-Z lower-cased) and their beginning
 hashed to 2^20 slots. The machine adds a weight for every term and, for every pair, the inner product
 of two short vectors, so that pairs of terms count that are harmless alone. It is trained on a bounded
 sample of labelled rows (``sample`` a class, the least by hash of the id), on the terms that tell the
-classes apart best; classes are weighted back to their shares. All documents are scored, whole.
+classes apart best; classes are weighted half way between
+their shares and balance. All documents are scored, whole.
 
 Empty and null texts get the score of a text without terms. Rows without a label train nothing; without
 both labels the score is the share of label 1 (0 without labels). Repeated rows are scored alike; of several
@@ -70,7 +71,7 @@ class FactorizationMachine:
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, 1)))
 
     @staticmethod
-    def fit(rows: list[np.ndarray], label: np.ndarray, row_weight: np.ndarray, terms: int = 8192, rank: int = 4, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 2e-4, seed: int = 13) -> FactorizationMachine:
+    def fit(rows: list[np.ndarray], label: np.ndarray, row_weight: np.ndarray, terms: int = 8192, rank: int = 4, epochs: int = 20, batch: int = 128, rate: float = 0.1, decay: float = 2e-4, seed: int = 13) -> FactorizationMachine:
         """rows: the different slots of each text."""
         share = float((label * row_weight).sum() / row_weight.sum())
         if not 0 < share < 1:
@@ -158,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
     if got.empty or got["label"].nunique() < 2:
         return FactorizationMachine.constant(shares.get(1, 0) / sum(shares.values()))
     y = got["label"].to_numpy().astype(float)
-    weight = np.where(y == 1, shares[1] / max(1, y.sum()), shares[0] / max(1, (1 - y).sum()))
+    # Back to the labels' shares, half way to balance: the rarer label counts by the root of the ratio.
+    weight = np.where(y == 1, shares[1] / max(1, y.sum()) * np.sqrt(shares[0] / shares[1]), shares[0] / max(1, (1 - y).sum()))
     return FactorizationMachine.fit([np.frombuffer(s, "<i4").astype(np.int64) for s in got["slots"]], y, weight / weight.mean())
 
 
