@@ -1,2 +1,57 @@
-from marlstone.llm.registry import QUERIES as _Q  # noqa: F401
-run, ORACLE_SQL = None, None
+"""From raw documents to packed training sequences, as stages that each read what the one before has written."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm._common import stored, table
+from marlstone.llm.decontaminate import without_contaminated
+from marlstone.llm.jaccard import one_per_class
+from marlstone.llm.packing import pack_documents
+from marlstone.llm.suffix_dedup import without_repeats
+from marlstone.llm.toxicity import train, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the scorer learns from labelled rows of this very input."""
+    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones, that with the smallest id."""
+    return one_per_class(docs)
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that occur more than once; n_chars follows."""
+    return without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which fewer than a twentieth of the words lie in benchmark windows."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("suffix-array dedup", suffix_array),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
+
+#: A learned score, suffix arrays and tokenizers have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -123,9 +123,42 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int, id_col
     return blocks
 
 
+def _scan(sent: list, powers: Powers, column, with_spans: bool) -> tuple[np.ndarray, np.ndarray, list[list], list[list]]:
+    """(words, words hit, items, runs of hit words) of every text of an Arrow column."""
+    rows = len(column)
+    n_words, n_hit, items = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [[] for _ in range(rows)]
+    spans: list[list] = [[] for _ in range(rows)]
+    for row, data, offsets in in_chunks(*text_buffers(column)):
+        words, first = words_of(data, offsets, IS_WORD, powers)
+        counts = np.diff(first)
+        n_words[row : row + len(counts)] = counts
+        text = np.repeat(np.arange(len(counts)), counts)
+        change = np.zeros(len(words) + 1, np.int64)
+        touched: dict[int, set] = {}
+        for block in sent:
+            begin, end, item = block.value.hits(words, first, text)
+            np.add.at(change, begin, 1)
+            np.add.at(change, end, -1)
+            for t, i in set(zip(text[begin].tolist(), item.tolist())):
+                touched.setdefault(t, set()).add(block.value.ids[i])
+        hit = np.cumsum(change[:-1]) > 0
+        for t, found in touched.items():
+            own = hit[first[t] : first[t + 1]]
+            n_hit[row + t] = int(own.sum())
+            items[row + t] = sorted(found)
+            if with_spans:
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+                spans[row + t] = [{"at": int(a), "n": int(b - a)} for a, b in zip(edges[::2], edges[1::2])]
+    return n_words, n_hit, items, spans
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes)]
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words); and, if asked for, items and spans (words)."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes)]
+    sent = _sent(docs, benchmark, window, block_bytes)
     extra = ", items array<string>, spans array<struct<at:int,n:int>>" if with_spans else ""
 
     def scan(batches):
@@ -135,30 +168,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
 
         powers = Powers()
         for batch in batches:
-            rows = batch.num_rows
-            n_words, n_hit, items = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [[] for _ in range(rows)]
-            spans: list[list] = [[] for _ in range(rows)]
-            for row, data, offsets in in_chunks(*text_buffers(batch.column(1))):
-                words, first = words_of(data, offsets, IS_WORD, powers)
-                counts = np.diff(first)
-                n_words[row : row + len(counts)] = counts
-                text = np.repeat(np.arange(len(counts)), counts)
-                change = np.zeros(len(words) + 1, np.int64)
-                touched: dict[int, set] = {}
-                for block in sent:
-                    begin, end, item = block.value.hits(words, first, text)
-                    np.add.at(change, begin, 1)
-                    np.add.at(change, end, -1)
-                    for t, i in set(zip(text[begin].tolist(), item.tolist())):
-                        touched.setdefault(t, set()).add(block.value.ids[i])
-                hit = np.cumsum(change[:-1]) > 0
-                for t, found in touched.items():
-                    own = hit[first[t] : first[t + 1]]
-                    n_hit[row + t] = int(own.sum())
-                    items[row + t] = sorted(found)
-                    if with_spans:
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                        spans[row + t] = [{"at": int(a), "n": int(b - a)} for a, b in zip(edges[::2], edges[1::2])]
+            n_words, n_hit, items, spans = _scan(sent, powers, batch.column(1), with_spans)
             columns = [
                 batch.column(0),
                 pa.array(n_words),
@@ -176,3 +186,19 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(scan, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{extra}")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    sent, at = _sent(docs, benchmark, window, block_bytes), docs.columns.index(text_col)
+
+    def keep(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        powers = Powers()
+        for batch in batches:
+            n_words, n_hit, _, _ = _scan(sent, powers, pc.fill_null(batch.column(at), ""), False)
+            yield batch.filter(pa.array((n_hit == 0) | (share * n_hit < n_words)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -351,3 +351,14 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     named = named.join(smallest, "label").select("sig", "component_id")
     joined = salted_left_join(rows, named, "sig", "id", 8)
     return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_per_class(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest id of each class; of rows that share that id, the first by text."""
+    from pyspark.sql import Window
+
+    kept = jaccard_classes(docs, k, percent, id_col, text_col)
+    kept = kept.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col) == F.col("_kept"))
+    order = Window.partitionBy("_kept").orderBy(text_col)
+    return rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)

@@ -301,6 +301,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return spans.groupBy("k", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
+def _cut(own: np.ndarray, spans: list | None, length: int, whole_characters: bool) -> np.ndarray:
+    """Which bytes of a text its repeated windows cover."""
+    if not spans:
+        return np.zeros(len(own), bool)
+    change = np.zeros(len(own) + 1, np.int64)
+    at, n = (np.array([s[f] for s in spans], np.int64) for f in ("at", "n"))
+    np.add.at(change, at, 1)
+    np.add.at(change, at + n + length - 1, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    lead = np.flatnonzero((own & 0xC0) != 0x80) if whole_characters else []
+    if len(lead):
+        gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(own))))
+    return gone
+
+
 def cut_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: k, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
 
@@ -318,20 +333,9 @@ def cut_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = Fal
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, (k, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
                 own = data[offsets[i] : offsets[i + 1]]
-                kept, removed, runs = own.tobytes(), 0, 0
-                if spans:
-                    change = np.zeros(len(own) + 1, np.int64)
-                    at, n = (np.array([s[f] for s in spans], np.int64) for f in ("at", "n"))
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + n + length - 1, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    if whole_characters:
-                        lead = np.flatnonzero((own & 0xC0) != 0x80)
-                        if len(lead):
-                            whole = np.logical_and.reduceat(gone, lead)
-                            gone = np.repeat(whole, np.diff(np.append(lead, len(own))))
-                    kept, removed, runs = own[~gone].tobytes(), int(gone.sum()), len(_runs(gone)[0])
-                for column, value in zip(out, (k, len(own), removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
+                gone = _cut(own, spans, length, whole_characters)
+                kept = own[~gone].tobytes()
+                for column, value in zip(out, (k, len(own), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept)):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -340,6 +344,35 @@ def cut_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = Fal
     return found.mapInArrow(cut, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with whole characters of repeated strings cut out of their texts.
+
+    Rows are dropped of which something was cut and nothing but white space is left.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.withColumn("_k", key).withColumn("_th", F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int"))
+    spans = repeated_spans(docs, length, id_col, text_col).select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    rows, at = keyed.join(spans, ["_k", "_th"], "left").select(*docs.columns, "_spans"), docs.columns.index(text_col)
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    own = np.frombuffer(texts[i].encode(), np.uint8)
+                    gone = _cut(own, spans, length, True)
+                    if gone.any():
+                        texts[i] = own[~gone].tobytes().decode()
+                        keep[i] = bool(texts[i].strip())
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return rows.mapInArrow(cut, docs.schema)
+
+
 def suffix_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = cut_repeats(docs, length, False, id_col, text_col)
     return rows.select(F.nullif("k", F.lit(-(1 << 63))).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
