@@ -1 +1 @@
-
+"""Column expressions: labels, conditions, answers, scores and waveforms."""
