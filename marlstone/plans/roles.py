@@ -30,7 +30,7 @@ ROLES = {
         FROM (SELECT user_id, event_type, event_id, value, {since} / CAST(1000000 AS DOUBLE) AS start_s FROM {events}) AS e""",
     "regions": """
         SELECT CAST(user_id AS STRING) AS uri, {since} / CAST(1000000 AS DOUBLE) - 3600 AS start_s, {since} / CAST(1000000 AS DOUBLE) + 7200 AS end_s
-        FROM {events} WHERE event_type = 'signup' AND user_id % 3 <> 0""",
+        FROM {events} WHERE event_type = 'signup'""",
     "manifest": """
         SELECT o_orderkey AS clip_id, o_custkey AS group_id, o_orderpriority AS dataset, CASE WHEN o_orderstatus = 'F' THEN 'SPEECH' ELSE 'NONSPEECH' END AS ground_truth,
           CASE o_orderkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 100 WHEN 2 THEN 500 ELSE 1000 END AS duration_ms, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE CAST(o_custkey % 3 AS INT) * 10 END AS snr_db,
