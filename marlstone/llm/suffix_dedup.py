@@ -30,7 +30,7 @@ from ._hashing import Powers, Rolling, in_chunks, sliding, text_buffers
 
 ANCHOR = 64  # bytes of an anchor
 RUN = 256  # windows of a segment at most
-HOT = 2000  # occurrences of a key from which it is dealt out by whole windows
+HOT = 20_000  # occurrences (of 455 bytes at most, so a key adds 9 MB to a block) of a key from which it is dealt out by whole windows
 BLOCK = 3 << 20  # bytes of a block whose suffixes are sorted together
 
 
@@ -221,7 +221,13 @@ def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
 
         def flush():
             out: tuple[list, ...] = ([], [], [], [])
-            for (_, k, th, at, _), marks in zip(held, repeated_windows([h[4] for h in held], length)):
+            # Equal contexts are sorted once; where there are several, all of their windows repeat.
+            times: dict[bytes, int] = {}
+            for h in held:
+                times[h[4]] = times.get(h[4], 0) + 1
+            found = {c: np.ones(len(m), bool) if times[c] > 1 else m for c, m in zip(times, repeated_windows(list(times), length))}
+            for _, k, th, at, context in held:
+                marks = found[context]
                 for start, n in zip(*map(np.ndarray.tolist, _runs(marks))):
                     for column, value in zip(out, (k, th, at + start, n)):
                         column.append(value)
