@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
                 found += [own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary()), batch.column(2)], names=["label", "slots", "id"])
 
-    picked = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # 2 * sample rows at most
-    picked = picked.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_label", F.col("_id").cast("long").alias("id"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    picked = texts.join(F.broadcast(chosen), "_id").select("text", "_label", F.col("_id").cast("long").alias("id"))  # 2 * sample rows at most
     got = picked.mapInArrow(slots, "label int, slots binary, id long").toArrow().to_pandas().sort_values(["id", "slots"])
     if got.empty or got["label"].nunique() < 2:
         return FactorizationMachine.constant(shares.get(1, 0) / sum(shares.values()))

@@ -37,10 +37,17 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def target_uri(page_id, url: str | None) -> str:
+    """The url with everything percent-encoded that may not stand in one; the record's id where there is none."""
+    from urllib.parse import quote
+
+    return quote(url, safe="%/:?#[]@!$&'()*+,;=~") if url else f"urn:page:{'' if page_id is None else page_id}"
+
+
 def record_bytes(page_id, url: str | None, payload: bytes | None, digest: str, refers_to) -> bytes:
     """One WARC record: a response with the payload, or a revisit without one."""
     own = f"urn:page:{'' if page_id is None else page_id}"
-    uri = (url or own).replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
+    uri = target_uri(page_id, url)
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     lines = [f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is None:
@@ -111,7 +118,7 @@ def central_directory(read, length: int) -> list[Member]:
     tail_at = max(0, length - 65_557)  # an end record with the longest comment
     tail = read(tail_at, length - tail_at)
     at = tail.rfind(_END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(_END, 0, at)  # its mark can also stand in a comment
     if at < 0:
         raise ValueError("no end of central directory")
@@ -164,7 +171,9 @@ def record_places(read, length: int) -> Iterator[tuple[int, int]]:
     begins = {name.rpartition("/")[2]: member_start(read, m) for name, m in members.items() if name.startswith("archive/")}
     for name, m in members.items():
         if name.startswith("indexes/") and name.endswith(".cdxj"):
-            for line in read(member_start(read, m), m.size).decode().splitlines():
+            for line in read(member_start(read, m), m.size).decode().split("\n"):
+                if not line:
+                    continue
                 place = json.loads(line[line.index("{") :])
                 yield begins[place["filename"]] + int(place["offset"]), int(place["length"])
 
@@ -206,7 +215,7 @@ def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYT
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 digest = payload_digest(payload)
-                package.add(url or f"urn:page:{page_id}", digest, record_bytes(page_id, url, payload, digest, refers_to))
+                package.add(target_uri(page_id, url), digest, record_bytes(page_id, url, payload, digest, refers_to))
                 if package.size >= package_bytes:
                     yield close(package)
                     package = Package()
