@@ -9,6 +9,7 @@ from ._common import table
 from .decontaminate import contaminated_documents
 from .fingerprints import fingerprint_report
 from .jaccard import jaccard_classes
+from .oracles import ORACLE
 from .packing import pack_documents
 from .sharding import shard_documents
 from .suffix_dedup import suffix_report
@@ -73,4 +74,5 @@ QUERIES = {
         op10_ngram_jaccard_join,
     )
 }
-ORACLE: dict[str, str] = {"op8_chat_formatting": preference.ORACLE_SQL}
+
+__all__ = ["ORACLE", "QUERIES"]
