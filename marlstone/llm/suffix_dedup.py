@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from ._hashing import Powers, Rolling, in_chunks, sliding, text_buffers
 
 ANCHOR = 64  # bytes of an anchor
@@ -263,7 +264,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     texts = _texts(docs, id_col, text_col)
     segs = _segment_rows(texts, length)
     keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"), F.max("context").alias("high"), F.max("inner").alias("inner"))
-    keys = keys.filter("rows > 1 or inner").select("key", "rows", F.expr("rows > 1 and low = high").alias("single"))
+    # A table of its own, so that both sides of the join are dealt anew and Spark can split a hot key's rows.
+    keys = stored(keys.filter("rows > 1 or inner").select("key", "rows", F.expr("rows > 1 and low = high").alias("single")), "keys")
     found = segs.join(keys, "key")
     spans = found.filter("single").select("k", "th", "at", "n")
 
