@@ -38,14 +38,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, salt_from: str | Column, salts: int = 16) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str | list[str], salt_from: str | Column, salts: int = 16) -> DataFrame:
     """Left join on ``key`` where few values of ``key`` may hold most rows of ``left``.
 
     Rows of ``left`` are dealt over ``salts`` copies of the (unique, much smaller) right side.
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")
-    joined = left.withColumn("_salt", salt).join(right.withColumn("_salt", copies), [key, "_salt"], "left")
+    keys = [key] if isinstance(key, str) else key
+    joined = left.withColumn("_salt", salt).join(right.withColumn("_salt", copies), [*keys, "_salt"], "left")
     return joined.drop("_salt")
 
 

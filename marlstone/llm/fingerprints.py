@@ -29,14 +29,18 @@ def canonical_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(_compose(folded), _SPACE, " "))
 
 
-def wide_hash(canonical: Column) -> Column:
-    """32 hex digits: xxhash64 of the bytes, and xxhash64 of the bytes chained after that value."""
-    first = F.xxhash64(canonical)
-    return F.lower(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second"), canonical)), 16, "0")))
+def wide_hash(canonical: Column) -> list[Column]:
+    """h1, h2: the fingerprint's 128 bits; h3: 64 more, to tell texts apart whose fingerprints collide. Chained xxhash64 of the bytes."""
+    return [F.xxhash64(canonical).alias("h1"), F.xxhash64(F.lit("second"), canonical).alias("h2"), F.xxhash64(F.lit("third"), canonical).alias("h3")]
+
+
+def as_text(h1: Column, h2: Column) -> Column:
+    return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
 def fingerprint(text: Column) -> Column:
-    return wide_hash(canonical_text(text))
+    """32 hex digits."""
+    return as_text(*wide_hash(canonical_text(text))[:2])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -44,36 +48,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(0.0)
 
 
+_HASHES = ["h1", "h2", "h3"]
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(fingerprint, canonical_sha256, group_id, group_size, n_texts): one row per different canonical text.
+    """(h1, h2, h3, group_id, group_size, n_texts): one row per different canonical text.
 
     Rows meet by fingerprint and canonical bytes, so texts are compared byte by byte where fingerprints
     are equal; copies collapse before the shuffle. ``n_texts`` counts the different texts of a bucket:
-    above 1 the fingerprint collided and ``canonical_sha256`` tells its texts apart.
+    above 1 the fingerprint collided and h3 tells its texts apart.
     """
     canonical = docs.select(F.col(id_col).alias("id"), canonical_text(F.col(text_col)).alias("canonical"))
-    texts = canonical.groupBy(wide_hash(F.col("canonical")).alias("fingerprint"), "canonical").agg(
-        F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    texts = texts.select("fingerprint", F.sha2("canonical", 256).alias("canonical_sha256"), "group_id", "group_size")
-    bucket = Window.partitionBy("fingerprint")  # a row per different text: one, but for collisions
+    texts = canonical.groupBy(*wide_hash(F.col("canonical"))[:2], "canonical").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = texts.select("h1", "h2", wide_hash(F.col("canonical"))[2], "group_id", "group_size")
+    bucket = Window.partitionBy("h1", "h2")  # a row per different text: one, but for collisions
     return texts.withColumn("n_texts", F.count(F.lit(1)).over(bucket))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """id, fingerprint, group_id (smallest id with the same canonical text), group_size."""
-    canonical = canonical_text(F.col(text_col))
-    rows = docs.select(id_col, wide_hash(canonical).alias("fingerprint"), F.sha2(canonical, 256).alias("canonical_sha256"))
-    return _with_groups(rows, exact_groups(docs, id_col, text_col), id_col, salts)
+    rows = docs.select(id_col, *wide_hash(canonical_text(F.col(text_col))))
+    rows = _with_groups(rows, exact_groups(docs, id_col, text_col), id_col, salts)
+    return rows.select(id_col, as_text(F.col("h1"), F.col("h2")).alias("fingerprint"), "group_id", "group_size")
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, id_col: str, salts: int) -> DataFrame:
     """Rows of singletons need no partner: only groups of two or more travel to them."""
-    shared = groups.filter("group_size > 1 or n_texts > 1").select(
-        F.concat_ws(":", "fingerprint", "canonical_sha256").alias("_key"), "group_id", "group_size"
-    )
-    keyed = rows.withColumn("_key", F.concat_ws(":", "fingerprint", "canonical_sha256"))
-    joined = salted_left_join(keyed, shared, "_key", id_col, salts).drop("_key", "canonical_sha256")
+    shared = groups.filter("group_size > 1 or n_texts > 1").select(*_HASHES, "group_id", "group_size")
+    joined = salted_left_join(rows, shared, _HASHES, id_col, salts)
     return joined.withColumn("group_id", F.coalesce("group_id", F.col(id_col))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
 
 
@@ -89,12 +91,11 @@ def with_successor(docs: DataFrame, id_col: str, carried: list[str]) -> DataFram
     cuts = sorted(set(cuts or []))
     below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(id_col))) if cuts else F.lit(0)
     ranged = docs.withColumn("_range", F.coalesce(F.when(F.col(id_col).isNull(), -1).otherwise(below), F.lit(-1)))
-    tops = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.max(id_col)).collect())  # as many rows as ranges
+    tops = sorted((tuple(r) for r in ranged.groupBy("_range").agg(F.max(id_col)).collect()), key=lambda r: r[0])  # as many rows as ranges
     own = ranged.withColumn("_guest", F.lit(False))
     rows = own
     if tops:
         above = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops)) if tops[i][1] is not None]
-        above = [(top, to) for top, to in above]
         if tops[0][1] is None and len(tops) > 1:  # the rows without id, at the end, are followed by the first
             above = [(tops[-1][1], -1), *[(top, to) for top, to in above if to != -1]]
         guests = F.broadcast(spark.createDataFrame(above, f"_top {docs.schema[id_col].dataType.simpleString()}, _to int")) if above else None
@@ -117,19 +118,28 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with the exact groups they fall into."""
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    canonical = canonical_text(F.col("text"))
-    rows = rows.withColumn("fingerprint", wide_hash(canonical)).withColumn("canonical_sha256", F.sha2(canonical, 256))
-    rows = with_successor(rows, id_col, ["text", "fingerprint"])
+    rows = with_successor(rows.select("*", *wide_hash(canonical_text(F.col("text")))), id_col, ["text", "h1", "h2"])
     edited = edited_text(F.col("text"), F.col("next_text"))
+    e1, e2, _ = wide_hash(canonical_text(edited))
     rows = rows.select(
         id_col,
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(edited, 256).alias("edited_sha256"),
-        "fingerprint",
-        fingerprint(edited).alias("edited_fingerprint"),
-        "next_fingerprint",
-        "canonical_sha256",
+        *_HASHES,
+        "next_h1",
+        "next_h2",
+        e1.alias("e1"),
+        e2.alias("e2"),
+    )
+    own, changed, following = (as_text(F.col(a), F.col(b)) for a, b in (("h1", "h2"), ("e1", "e2"), ("next_h1", "next_h2")))
+    return _with_groups(rows, exact_groups(docs, id_col, text_col), id_col, 16).select(
+        id_col,
+        "n_chars",
+        "edited_sha256",
+        own.alias("fingerprint"),
+        changed.alias("edited_fingerprint"),
+        likeness(own, changed).alias("near_edited"),
+        likeness(own, following).alias("near_next"),
+        "group_id",
+        "group_size",
     )
-    rows = rows.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
-    rows = rows.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint"))).drop("next_fingerprint")
-    return _with_groups(rows, exact_groups(docs, id_col, text_col), id_col, 16)
