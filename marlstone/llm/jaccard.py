@@ -11,8 +11,10 @@ A document's set holds its different 4-word shingles (64-bit hashes). Two docume
    position from which the bound on the intersection fails; whole blocks fall away.
 4. Answers are derived along set relations: within each list, sets are first compared to one leader of
    their size class and, where they link, take over its class. Only pairs whose classes still differ are
-   compared in a second round, so copies of one text are not compared with each other.
-5. Compared pairs are decided exactly on their whole sets; classes are connected components.
+   compared in the last round, so near copies of one text are not all compared with each other.
+5. A bitmap of 512 parities of each set bounds the difference of two sets from below, so most pairs that
+   do not link are dropped without fetching their sets. The others are decided exactly on their whole
+   sets; classes are connected components.
 
 Documents without words (or null) have an empty set and link with nothing; shorter ones than four words
 are one shingle. Repeated rows share a class. Frequencies only set the order, so results do not
@@ -22,7 +24,7 @@ depend on the sketch. Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import salted_left_join, stored
@@ -33,6 +35,10 @@ SKETCH = 1 << 20
 CHUNK = 1024  # counters of a row
 SENT_MOST = 1_000_000  # ids that may be broadcast (8 MB); more are joined by shuffle
 LIST_BLOCK = 4096  # entries of an inverted list that one task pairs
+WORDS = 8  # 64-bit words of a bitmap
+SHORT = 32  # entries of a list whose pairs are taken by shifting
+CLUSTER_MOST = 5_000  # sets that are compared where they lie together
+LEADER_ROUNDS = 1  # rounds of comparing with leaders before the rest
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, powers: Powers) -> list[np.ndarray]:
@@ -55,6 +61,12 @@ def signature(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of members that hash to i: two sets differ in at least as many members as their bitmaps in bits."""
+    flips = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _sets_in(batch, column: int, k: int, powers: Powers):
     """(row, set) of every text of a batch."""
     for row, data, offsets in in_chunks(*text_buffers(batch.column(column))):
@@ -69,12 +81,13 @@ def _shapes(texts: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         powers, counts = Powers(), np.zeros(SKETCH, np.int64)
-        names = ["id", "n", "sig", "chunk", "counts"]
+        names = ["id", "n", "sig", "bits", "chunk", "counts"]
         for batch in batches:
             n, sig = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            bits = np.zeros((batch.num_rows, WORDS), np.int64)
             pending, size = [], 0
             for row, s in _sets_in(batch, 1, k, powers):
-                n[row], sig[row] = len(s), signature(s)
+                n[row], sig[row], bits[row] = len(s), signature(s), parities(s)
                 pending.append(s)
                 size += len(s)
                 if size > 1 << 20:
@@ -83,15 +96,16 @@ def _shapes(texts: DataFrame, k: int) -> DataFrame:
             if pending:
                 counts += np.bincount((np.concatenate(pending) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             nothing = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sig), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=names)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, WORDS), pa.int32()), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sig), rows, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=names)
         if counts.any():
             parts = counts.reshape(-1, CHUNK)
             some = np.flatnonzero(parts.any(axis=1))
             nothing = pa.nulls(len(some))
             rows = [parts[i].astype("<i8").tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.int64()), pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.int64()), nothing.cast(pa.list_(pa.int64())), pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=names)
 
-    return texts.mapInArrow(shape, "id long, n int, sig long, chunk int, counts binary")
+    return texts.mapInArrow(shape, "id long, n int, sig long, bits array<long>, chunk int, counts binary")
 
 
 def _common_classes(shapes: DataFrame) -> np.ndarray:
@@ -189,14 +203,29 @@ def _passes(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
 
 
-def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every set with the leader it meets most often, leaders being the least entry of a size class of a list."""
+def _near_enough(na: Column, nb: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether two bitmaps leave room for a link."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
+def _leader_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): every set with the leader it meets most often, of those in another class.
+
+    A leader is the entry of a size class of a list that stands first in its set: few rarer shingles come
+    before, so it differs least from what the list's sets have in common.
+    """
     cls = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)))).cast("int")
     rows = lists.withColumn("cls", cls)
-    leaders = rows.groupBy("token", "cls").agg(F.min(F.struct("sig", "n", "pos")).alias("l")).select("token", "cls", "l.*")
-    near = rows.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
-    met = near.alias("x").join(leaders.alias("y"), ["token", "cls"]).filter("x.sig != y.sig").filter(_passes("x", "y", percent))
-    met = met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).groupBy("a", "b").count()
+    leaders = rows.groupBy("token", "cls").agg(F.min(F.struct("pos", "sig", "n")).alias("l")).select("token", "cls", "l.*")
+    leaders = leaders.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    met = rows.alias("x").join(leaders.alias("y"), ["token", "cls"]).filter("x.sig != y.sig").filter(_passes("x", "y", percent))
+    met = met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).count()
+    known = members.select("sig", "bits", F.col("sig").alias("label"))
+    if labels is not None:
+        known = known.drop("label").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    met = met.join(known.toDF("a", "x", "la"), "a").join(known.toDF("b", "y", "lb"), "b").filter("la != lb")
+    met = met.filter(_near_enough(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent))
     return met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
 
@@ -230,7 +259,7 @@ def block_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int,
         yield x[differ], y[differ]
 
 
-def _remaining_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all list entries whose classes differ and whose filters pass."""
     rows = lists.join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("entries"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
@@ -239,77 +268,122 @@ def _remaining_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataF
     part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "pos", "sig", "label")
+    rows = rows.join(members.select("sig", "bits"), "sig").select("token", "p", "q", "n", "pos", "sig", "label", "bits")
 
     def pair(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
-        seen: set = set()
-
-        def flush(columns):
-            n, pos, sig, label = columns
-            for x, y in block_pairs(n, pos, label, percent):
-                if len(x):
-                    a, b = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])
-                    fresh = [p for p in set(zip(a.tolist(), b.tolist())) if p not in seen]
-                    if len(seen) < 1_000_000:
-                        seen.update(fresh)
-                    if fresh:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        key_now = None
-        for batch in batches:
-            token, p, q = (batch.column(i).to_numpy() for i in range(3))
-            columns = [batch.column(i).to_numpy() for i in range(3, 7)]
+        def work(columns):
+            """Pairs of whole lists: of short ones by shifting all of them at once, of long ones by blocks."""
+            token, p, q, n, pos, sig, label, bits = columns
             if not len(token):
-                continue
+                return
             begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-            for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(token)]):
-                key = (int(token[s]), int(p[s]), int(q[s]))
-                if key != key_now and held:
-                    yield from flush([np.concatenate(c) for c in zip(*held)])
-                    held = []
-                key_now = key
-                held.append(tuple(c[s:e] for c in columns))
-        if held:
-            yield from flush([np.concatenate(c) for c in zip(*held)])
+            size = np.diff(np.append(begin, len(token)))
+            which = np.repeat(np.arange(len(begin)), size)
+            short = (size <= SHORT)[which]
+            found = []
+
+            def keep(x, y):
+                x, y = (v[label[x] != label[y]] for v in (x, y))
+                low, high = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
+                bound = -(-percent * (low + high) // (100 + percent))
+                ok = (100 * low >= percent * high) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= bound)
+                x, y, total = x[ok], y[ok], (low + high)[ok]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                ok = (100 + percent) * apart <= (100 - percent) * total
+                if ok.any():
+                    found.append((sig[x[ok]], sig[y[ok]]))
+
+            for shift in range(1, int(min(size.max(), SHORT))):
+                x = np.flatnonzero((which[shift:] == which[:-shift]) & short[:-shift])
+                keep(x, x + shift)
+            for i in np.flatnonzero(size > SHORT).tolist():
+                at, to = int(begin[i]), int(begin[i] + size[i])
+                for x, y in block_pairs(n[at:to], pos[at:to], label[at:to], percent):
+                    keep(x + at, y + at)
+            if found:
+                one, two = (np.concatenate(v) for v in zip(*found))
+                pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        held = None  # rows of the last list, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in range(7)] + [batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
+            now = now if held is None else [np.concatenate(v) for v in zip(held, now)]
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            yield from work([v[:cut] for v in now])
+            held = [v[cut:] for v in now]
+        if held is not None:
+            yield from work(held)
 
     dealt = rows.repartition(F.col("token"), F.col("p"), F.col("q")).sortWithinPartitions("token", "p", "q", "n", "pos")
     return dealt.mapInArrow(pair, "a long, b long").distinct()
 
 
 def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose whole sets link; members: sig, id of one document of each set."""
-    pairs = stored(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(members, "sig")
-    asked = stored(asked, "asked")
-    few = asked.count() <= SENT_MOST
+    """Pairs (a, b) of signatures whose whole sets link, enough to connect all that do; members: sig, id of one document of each set.
 
-    def build(batches):
+    Sets that pairs connect form clusters. A cluster's texts meet once, and within it pairs of sets that links
+    already connect are passed over. Clusters of more than CLUSTER_MOST sets are compared pair by pair.
+    """
+    pairs = stored(pairs, "pairs")
+    clusters = classes_of(pairs).select(F.col("id").alias("sig"), F.col("label").alias("cluster"))
+    asked = stored(clusters.join(members, "sig"), "asked")
+    n = asked.count()
+    sizes = asked.groupBy("cluster").count()
+    large = sizes.filter(F.col("count") > CLUSTER_MOST).select("cluster")
+    wanted = texts.join(F.broadcast(asked) if n <= SENT_MOST else asked, "id").select("cluster", "sig", "text")
+    bucket = F.pmod(F.xxhash64("cluster"), F.lit(max(1, n // 500))).alias("bucket")
+    known = pairs.join(clusters.withColumnRenamed("sig", "a"), "a").select("cluster", "a", "b")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def compare(sides, todo):
         import pyarrow as pa
 
-        powers = Powers()
-        for batch in batches:
-            sets = [s.astype("<u8").tobytes() for _, s in _sets_in(batch, 1, k, powers)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["sig", "items"])
-
-    wanted = texts.join(F.broadcast(asked) if few else asked, "id").select("sig", "text")
-    sets = stored(wanted.mapInArrow(build, "sig long, items binary").dropDuplicates(["sig"]), "sets")
-
-    def compare(batches):
+        powers, sets, parent, found = Powers(), {}, {}, []
+        sig = sides.column("sig").to_pylist()
+        at = 0
+        for batch in sides.select(["text"]).to_batches():
+            for i, s in _sets_in(batch, 0, k, powers):
+                sets[sig[at + i]] = s
+            at += batch.num_rows
+
+        def top(v):
+            while parent.get(v, v) != v:
+                parent[v] = v = parent.get(parent[v], parent[v])
+            return v
+
+        for a, b in zip(todo.column("a").to_pylist(), todo.column("b").to_pylist()):
+            x, y = top(a), top(b)
+            if x != y and linked(sets[a], sets[b]):
+                parent[x] = y
+                found.append((a, b))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    some_large = bool(large.limit(1).count())
+    left, right = (df.join(large, "cluster", "left_anti") if some_large else df for df in (wanted, known))
+    links = left.withColumn("bucket", bucket).groupBy("bucket").cogroup(right.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(compare, "a long, b long")
+    if not some_large:
+        return links
+
+    def compare_rows(batches):
         import pyarrow as pa
 
+        powers = Powers()
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for (i, x), (_, y) in zip(_sets_in(batch, 2, k, powers), _sets_in(batch, 3, k, powers)) if linked(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    big = wanted.join(large, "cluster", "left_semi").dropDuplicates(["sig"]).select("sig", "text")
+    joined = known.join(large, "cluster", "left_semi").join(big.toDF("a", "x"), "a").join(big.toDF("b", "y"), "b")
+    return links.unionByName(joined.select("a", "b", "x", "y").mapInArrow(compare_rows, "a long, b long"))
 
 
 def classes_of(links: DataFrame) -> DataFrame:
@@ -337,16 +411,20 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     shapes = stored(_shapes(texts, k), "shapes")
     classes = docs.sparkSession.sparkContext.broadcast(_common_classes(shapes))
     rows = shapes.filter("chunk is null").select("id", "n", "sig")
-    members = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("id"))  # equal sets collapse
+    least = F.min(F.struct("id", "bits"))
+    members = shapes.filter("n > 0").groupBy("sig").agg(least.alias("m")).select("sig", "m.id", "m.bits")  # equal sets collapse
+    members = stored(members, "members")
     lists = stored(_lists(texts, k, percent, classes), "lists")
 
-    links = stored(_linked(_leader_pairs(lists, percent), members, texts, k, percent), "links")
-    labels = classes_of(links)
-    more = stored(_linked(_remaining_pairs(lists, labels, percent), members, texts, k, percent), "links")
-    labels = classes_of(links.union(more))
+    ids, labels, links = members.drop("bits"), None, None
+    for round_no in range(LEADER_ROUNDS + 1):
+        pairs = _leader_pairs(lists, members, labels, percent) if round_no < LEADER_ROUNDS else _remaining_pairs(lists, members, labels, percent)
+        more = stored(_linked(pairs, ids, texts, k, percent), "links")
+        links = more if links is None else links.union(more)
+        labels = classes_of(links)
 
     # Classes of signatures, named by their smallest document.
-    named = members.join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = members.drop("bits").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "label").select("sig", "component_id")
     joined = salted_left_join(rows, named, "sig", "id", 8)

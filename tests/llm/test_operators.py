@@ -421,6 +421,8 @@ def brute_classes(rows, k=4):
 @pytest.mark.parametrize("block,send", [(4096, 1_000_000), (4, 0)])
 def test_similar_sets_form_classes(docs, corpus, empty, monkeypatch, block, send):
     monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard, "CLUSTER_MOST", 5_000 if send else 3)
+    monkeypatch.setattr(jaccard, "SHORT", 32 if send else 2)
     monkeypatch.setattr(jaccard, "SENT_MOST", send)
     got = collections.Counter(tuple(r) for r in jaccard.jaccard_classes(docs).collect())
     assert got == brute_classes(corpus)
