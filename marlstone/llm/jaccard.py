@@ -38,7 +38,7 @@ LIST_BLOCK = 4096  # entries of an inverted list that one task pairs
 WORDS = 8  # 64-bit words of a bitmap
 SHORT = 32  # entries of a list whose pairs are taken by shifting
 CLUSTER_MOST = 5_000  # sets that are compared where they lie together
-LEADER_ROUNDS = 1  # rounds of comparing with leaders before the rest
+LEADER_ROUNDS = 2  # rounds of comparing with leaders before the rest
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, powers: Powers) -> list[np.ndarray]:
@@ -226,7 +226,7 @@ def _leader_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame | None
         known = known.drop("label").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     met = met.join(known.toDF("a", "x", "la"), "a").join(known.toDF("b", "y", "lb"), "b").filter("la != lb")
     met = met.filter(_near_enough(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent))
-    return met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.lit(True).alias("tree"))
 
 
 def block_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, most: int = 1 << 20):
@@ -260,7 +260,7 @@ def block_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int,
 
 
 def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of all list entries whose classes differ and whose filters pass."""
+    """(a, b, tree) of all list entries whose classes differ and whose filters pass; the pairs marked tree connect all that the pairs do."""
     rows = lists.join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("entries"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     rows = rows.join(mixed.select("token", F.ceil(F.col("entries") / LIST_BLOCK).cast("int").alias("parts")), "token")
@@ -273,6 +273,18 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
     def pair(batches):
         import pyarrow as pa
 
+        parent: dict[int, int] = {}
+
+        def join(a: int, b: int) -> bool:
+            """Whether the pair connects two sets that this task's pairs have not connected yet."""
+            ends = []
+            for v in (a, b):
+                while parent.get(v, v) != v:
+                    parent[v] = v = parent.get(parent[v], parent[v])
+                ends.append(v)
+            parent[ends[0]] = ends[1]
+            return ends[0] != ends[1]
+
         def work(columns):
             """Pairs of whole lists: of short ones by shifting all of them at once, of long ones by blocks."""
             token, p, q, n, pos, sig, label, bits = columns
@@ -305,7 +317,8 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
             if found:
                 one, two = (np.concatenate(v) for v in zip(*found))
                 pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                tree = [join(a, b) for a, b in pairs.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(tree)], names=["a", "b", "tree"])
 
         held = None  # rows of the last list, which may go on in the next batch
         for batch in batches:
@@ -321,7 +334,8 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
             yield from work(held)
 
     dealt = rows.repartition(F.col("token"), F.col("p"), F.col("q")).sortWithinPartitions("token", "p", "q", "n", "pos")
-    return dealt.mapInArrow(pair, "a long, b long").distinct()
+    found = dealt.mapInArrow(pair, "a long, b long, tree boolean")
+    return found.groupBy("a", "b").agg(F.max("tree").alias("tree"))
 
 
 def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -331,7 +345,7 @@ def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, perc
     already connect are passed over. Clusters of more than CLUSTER_MOST sets are compared pair by pair.
     """
     pairs = stored(pairs, "pairs")
-    clusters = classes_of(pairs).select(F.col("id").alias("sig"), F.col("label").alias("cluster"))
+    clusters = classes_of(pairs.filter("tree").select("a", "b")).select(F.col("id").alias("sig"), F.col("label").alias("cluster"))
     asked = stored(clusters.join(members, "sig"), "asked")
     n = asked.count()
     sizes = asked.groupBy("cluster").count()
