@@ -19,6 +19,9 @@ A document's set holds its different 4-word shingles (64-bit hashes). Two docume
 Documents without words (or null) have an empty set and link with nothing; shorter ones than four words
 are one shingle. Repeated rows share a class. Frequencies only set the order, so results do not
 depend on the sketch. Extra columns are ignored; an empty table gives no rows.
+
+Ids may be null or shared by different texts: a text is fetched by ``key``, a hash of id and text, and what
+comes is checked against the set's signature. A class is named by its smallest id that is not null.
 """
 
 from __future__ import annotations
@@ -75,13 +78,13 @@ def _sets_in(batch, column: int, k: int, powers: Powers):
 
 
 def _shapes(texts: DataFrame, k: int) -> DataFrame:
-    """Rows (id, n, sig) of every document, and rows (chunk, counts) of each task's sketch of shingle frequencies."""
+    """Rows (id, key, n, sig, bits) of every document (id, text, key), and rows (chunk, counts) of each task's sketch of shingle frequencies."""
 
     def shape(batches):
         import pyarrow as pa
 
         powers, counts = Powers(), np.zeros(SKETCH, np.int64)
-        names = ["id", "n", "sig", "bits", "chunk", "counts"]
+        names = ["id", "key", "n", "sig", "bits", "chunk", "counts"]
         for batch in batches:
             n, sig = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
             bits = np.zeros((batch.num_rows, WORDS), np.int64)
@@ -97,15 +100,15 @@ def _shapes(texts: DataFrame, k: int) -> DataFrame:
                 counts += np.bincount((np.concatenate(pending) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             nothing = pa.nulls(batch.num_rows)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, WORDS), pa.int32()), pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sig), rows, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(sig), rows, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=names)
         if counts.any():
             parts = counts.reshape(-1, CHUNK)
             some = np.flatnonzero(parts.any(axis=1))
             nothing = pa.nulls(len(some))
             rows = [parts[i].astype("<i8").tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.int64()), nothing.cast(pa.list_(pa.int64())), pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.int64()), nothing.cast(pa.list_(pa.int64())), pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=names)
 
-    return texts.mapInArrow(shape, "id long, n int, sig long, bits array<long>, chunk int, counts binary")
+    return texts.mapInArrow(shape, "id long, key long, n int, sig long, bits array<long>, chunk int, counts binary")
 
 
 def _common_classes(shapes: DataFrame) -> np.ndarray:
@@ -339,7 +342,8 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
 
 
 def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of signatures whose whole sets link, enough to connect all that do; members: sig, id of one document of each set.
+    """Pairs (a, b) of signatures whose whole sets link, enough to connect all that do; members: sig, key of one document of each set,
+    and, where rows repeat, whether several have that key.
 
     Sets that pairs connect form clusters. A cluster's texts meet once, and within it pairs of sets that links
     already connect are passed over. Clusters of more than CLUSTER_MOST sets are compared pair by pair.
@@ -350,7 +354,10 @@ def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, perc
     n = asked.count()
     sizes = asked.groupBy("cluster").count()
     large = sizes.filter(F.col("count") > CLUSTER_MOST).select("cluster")
-    wanted = texts.join(F.broadcast(asked) if n <= SENT_MOST else asked, "id").select("cluster", "sig", "text")
+    wanted = texts.join(F.broadcast(asked) if n <= SENT_MOST else asked, "key")
+    if "many" in asked.columns:  # copies with one key collapse before they meet
+        wanted = wanted.filter("many").select("cluster", "sig", "text").distinct().union(wanted.filter("not many").select("cluster", "sig", "text"))
+    wanted = wanted.select("cluster", "sig", "text")
     bucket = F.pmod(F.xxhash64("cluster"), F.lit(max(1, n // 500))).alias("bucket")
     known = pairs.join(clusters.withColumnRenamed("sig", "a"), "a").select("cluster", "a", "b")
 
@@ -366,7 +373,8 @@ def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, perc
         at = 0
         for batch in sides.select(["text"]).to_batches():
             for i, s in _sets_in(batch, 0, k, powers):
-                sets[sig[at + i]] = s
+                if signature(s) == sig[at + i]:  # else another text of the same key
+                    sets[sig[at + i]] = s
             at += batch.num_rows
 
         def top(v):
@@ -392,10 +400,12 @@ def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, perc
 
         powers = Powers()
         for batch in batches:
-            keep = [i for (i, x), (_, y) in zip(_sets_in(batch, 2, k, powers), _sets_in(batch, 3, k, powers)) if linked(x, y)]
+            a, b = (batch.column(i).to_pylist() for i in (0, 1))
+            both = zip(_sets_in(batch, 2, k, powers), _sets_in(batch, 3, k, powers))
+            keep = [i for (i, x), (_, y) in both if signature(x) == a[i] and signature(y) == b[i] and linked(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    big = wanted.join(large, "cluster", "left_semi").dropDuplicates(["sig"]).select("sig", "text")
+    big = wanted.join(large, "cluster", "left_semi").select("sig", "text").distinct()
     joined = known.join(large, "cluster", "left_semi").join(big.toDF("a", "x"), "a").join(big.toDF("b", "y"), "b")
     return links.unionByName(joined.select("a", "b", "x", "y").mapInArrow(compare_rows, "a long, b long"))
 
@@ -419,18 +429,27 @@ def classes_of(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable by links)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all of it), id, text (null is empty) and key, which is equal for rows equal in both."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumn("key", F.xxhash64("id", "text"))
+
+
+def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, key, n, label, component_id of every document: label tells the classes apart, component_id is the smallest id in it that is not null."""
+    texts = _keyed(docs.select(id_col, text_col), id_col, text_col).select("id", "text", "key")
     shapes = stored(_shapes(texts, k), "shapes")
     classes = docs.sparkSession.sparkContext.broadcast(_common_classes(shapes))
-    rows = shapes.filter("chunk is null").select("id", "n", "sig")
-    least = F.min(F.struct("id", "bits"))
-    members = shapes.filter("n > 0").groupBy("sig").agg(least.alias("m")).select("sig", "m.id", "m.bits")  # equal sets collapse
+    rows = shapes.filter("chunk is null").select("id", "key", "n", "sig")
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "bits"))
+    members = shapes.filter("n > 0").groupBy("sig").agg(least.alias("m")).select("sig", "m.id", "m.key", "m.bits")  # equal sets collapse
     members = stored(members, "members")
-    lists = stored(_lists(texts, k, percent, classes), "lists")
+    lists = stored(_lists(texts.select("id", "text"), k, percent, classes), "lists")
 
-    ids, labels, links = members.drop("bits"), None, None
+    ids, labels, links = members.select("sig", "key"), None, None
+    repeated = stored(rows.filter("n > 0").groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("many")), "repeated")
+    if repeated.limit(1).count():
+        ids = stored(ids.join(repeated, "key", "left").select("sig", "key", F.coalesce("many", F.lit(False)).alias("many")), "members")
     for round_no in range(LEADER_ROUNDS + 1):
         pairs = _leader_pairs(lists, members, labels, percent) if round_no < LEADER_ROUNDS else _remaining_pairs(lists, members, labels, percent)
         more = stored(_linked(pairs, ids, texts, k, percent), "links")
@@ -438,19 +457,32 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
         labels = classes_of(links)
 
     # Classes of signatures, named by their smallest document.
-    named = members.drop("bits").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = members.select("sig", "id").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "label").select("sig", "component_id")
+    named = named.join(smallest, "label").select("sig", "label", "component_id")
     joined = salted_left_join(rows, named, "sig", "id", 8)
-    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return joined.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable by links; null if no document of the class has an id)."""
+    rows = _classed(docs, k, percent, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_per_class(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest id of each class; of rows that share that id, the first by text."""
-    from pyspark.sql import Window
-
-    kept = jaccard_classes(docs, k, percent, id_col, text_col)
-    kept = kept.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col("_kept"))
-    order = Window.partitionBy("_kept").orderBy(text_col)
-    return rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
+    """The row of ``docs``, all columns, of the smallest id of each class; of rows that share that id, the first by text.
+
+    A class without ids keeps one row too. Documents without words link with nothing: only repeated rows of one id collapse,
+    and all rows without an id stay.
+    """
+    rows = _classed(docs, k, percent, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = rows.select("key", "id", (F.col("n") == 0).alias("empty"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("key")).alias("class"))
+    kept = stored(kept.distinct(), "kept").alias("k")
+    keyed = _keyed(docs, id_col, text_col).alias("d")
+    found = keyed.join(kept, (F.col("d.key") == F.col("k.key")) & F.col("d.id").eqNullSafe(F.col("k.id"))).select("d.id", "empty", "class", "text", "row")
+    alone = F.col("empty") & F.col("id").isNull()
+    chosen = found.filter(~alone).groupBy("empty", "class", "id").agg(F.min_by("row", "text").alias("row")).select("row.*")
+    if kept.filter("empty and id is null").limit(1).count():
+        chosen = chosen.union(found.filter(alone).select("row.*"))
+    return chosen

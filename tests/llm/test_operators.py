@@ -446,6 +446,31 @@ def test_links_are_not_lost_among_many_near_copies(spark):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("most", [5_000, 1])
+def test_null_and_shared_ids_lose_no_links(spark, monkeypatch, most):
+    rng = random.Random(8)
+    monkeypatch.setattr(jaccard, "CLUSTER_MOST", most)
+
+    def near(text):
+        words = text.split()
+        words[rng.randrange(len(words))] = prose(rng, 1)
+        return " ".join(words)
+
+    a, b, c, d, e = (prose(rng, 90) for _ in range(5))
+    # A set that a row without an id holds too; near copies without any id; texts that share an id with others.
+    rows = [(None, a), (10, a), (11, near(a)), (None, b), (None, b), (None, near(b)), (20, c), (20, d), (21, near(c)), (22, near(d)), (30, e), (30, prose(rng, 90)), (40, ""), (40, ""), (40, " "), (None, ""), (None, None)]
+    docs = frame(spark, rows)
+    got = collections.Counter((r[0], r[2]) for r in jaccard.jaccard_classes(docs).collect())
+    assert got == collections.Counter([(None, 10), (10, 10), (11, 10)] + 3 * [(None, None)] + [(20, 20), (20, 20), (21, 20), (22, 20), (30, 30), (30, 30)] + 3 * [(40, 40)] + 2 * [(None, None)])
+    kept = jaccard.one_per_class(docs)
+    assert kept.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    of_b = [t for i, t in kept if i is None and t]
+    assert len(of_b) == 1 and of_b[0] in {b, rows[5][1]}
+    want = [(10, a), (None, of_b[0]), (20, c), (20, d), (30, e), rows[11], (40, ""), (40, " "), (None, ""), (None, None)]
+    assert kept == sorted(want, key=str)
+
+
 def test_parities_bound_the_difference():
     import numpy as np
 
