@@ -331,6 +331,14 @@ def mt35_condition_matrix(spark, d):
     return rounded(metrics.condition_matrix(_preds(spark, d), "dur", "snr", [-10, -1, 8, 20]))
 
 
+_SNR = tuple(range(-10, 21, 3))  # all that the role has
+
+
+@query(f"WITH c AS (SELECT dur, snr, round(({_POS} + {_NEG}) / 2, 6) AS ba FROM preds GROUP BY 1, 2) SELECT dur" + "".join(f", max(CASE WHEN snr = {s} THEN ba END) AS \"{s}\"" for s in _SNR) + " FROM c GROUP BY dur", "preds")
+def mt35_condition_matrix_all_snr(spark, d):
+    return rounded(metrics.condition_matrix(_preds(spark, d), "dur", "snr", list(_SNR)))
+
+
 @query("SELECT clip_id, run, ground_truth, prediction, score FROM preds WHERE NOT correct", "preds")
 def mt36_errors(spark, d):
     return metrics.errors(_preds(spark, d)).select("clip_id", "run", "ground_truth", "prediction", "score")

@@ -63,6 +63,15 @@ def io07_union_predictions(spark, d):
     return u.groupBy("run", "ground_truth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("n_correct"))
 
 
+@query("SELECT concat('run_', CAST(run AS STRING)) AS run, ground_truth, count(*) AS n, sum(CAST(correct AS INTEGER))::BIGINT AS n_correct FROM preds GROUP BY 1, 2", "preds")
+def io07_union_predictions_all_runs(spark, d):
+    p = _preds(spark, d)
+    with_correct = ("clip_id", "ground_truth", "correct")
+    without = ("clip_id", F.col("ground_truth").alias("y_true"), F.col("prediction").alias("y_pred"))
+    u = manifests.union_predictions({f"run_{r}": p.filter(F.col("run") == r).select(*(with_correct if r % 2 else without)) for r in range(1, 8)})
+    return u.groupBy("run", "ground_truth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("n_correct"))
+
+
 @query("WITH a AS (SELECT o_custkey, list(CAST(o_orderkey % 2 AS INTEGER) ORDER BY o_orderkey) AS p, list(CAST(o_orderkey % 3 % 2 AS INTEGER) ORDER BY o_orderkey) AS g FROM orders GROUP BY 1) SELECT o_custkey, CAST(i AS INTEGER) AS position, p[i + 1] AS prediction, g[i + 1] AS ground_truth FROM (SELECT *, unnest(range(len(p))) AS i FROM a)")
 def io08_prediction_arrays(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))

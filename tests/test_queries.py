@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from marlstone.plans import registry
+from marlstone.plans.roles import role
 
 HERE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(HERE), reason="no tables")
@@ -43,3 +44,12 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(registry.QUERIES) <= set(names)
+
+
+def test_whole_matrix_and_all_runs(spark):
+    preds = role(spark, HERE, "preds").cache()
+    snr = {str(r["snr"]) for r in preds.select("snr").distinct().collect()}
+    assert set(registry.QUERIES["mt35_condition_matrix_all_snr"](spark, HERE).columns) == snr | {"dur"}
+    rows = registry.QUERIES["io07_union_predictions_all_runs"](spark, HERE).collect()
+    assert {r["run"] for r in rows} == {f"run_{r['run']}" for r in preds.select("run").distinct().collect()}
+    assert sum(r["n"] for r in rows) == preds.count()
