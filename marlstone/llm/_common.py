@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
@@ -16,14 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names no such folder (a local test session) is one made on this machine.
-    """
+    """A new folder below spark.checkpoint.dir, which driver and executors share; without that setting there is no such place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,14 +29,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables (or of columns of them) that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str | list[str], salt_from: str | Column, salts: int = 16) -> DataFrame:
-    """Left join on ``key`` where few values of ``key`` may hold most rows of ``left``.
+    """Left join on ``key``, unique in ``right``, where few values of ``key`` may hold most rows of ``left``.
 
-    Rows of ``left`` are dealt over ``salts`` copies of the (unique, much smaller) right side.
+    Rows of ``left`` are dealt over ``salts`` copies of the right side, so that has to be much smaller.
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")
@@ -50,6 +54,23 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str | list[str], sa
     return joined.drop("_salt")
 
 
+def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from: str, counts: DataFrame | None = None, salts: int = 16, hot: int = 10_000) -> DataFrame:
+    """The same for a right side as large as the left one: only keys with over ``hot`` rows are salted.
+
+    ``counts`` (keys, _rows) saves counting them. Results are the same whatever is hot; there are at most rows / ``hot`` such keys.
+    """
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    many = stored(counts.filter(F.col("_rows") > hot).select(*keys, F.lit(True).alias("_hot")), "hot-keys")
+    if not many.limit(1).count():
+        return left.join(right, keys, "left")
+    salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    marked = left.join(many, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    others = right.join(many, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return marked.join(others, [*keys, "_salt"], "left").drop("_salt")
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker process, so later tasks find what earlier ones loaded."""
     module = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store"))

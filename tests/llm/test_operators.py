@@ -421,7 +421,7 @@ def brute_classes(rows, k=4):
 @pytest.mark.parametrize("block,send", [(4096, 1_000_000), (4, 0)])
 def test_similar_sets_form_classes(docs, corpus, empty, monkeypatch, block, send):
     monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
-    monkeypatch.setattr(jaccard, "CLUSTER_MOST", 5_000 if send else 3)
+    monkeypatch.setattr(jaccard, "GROUP", 256 if send else 2)
     monkeypatch.setattr(jaccard, "SHORT", 32 if send else 2)
     monkeypatch.setattr(jaccard, "SENT_MOST", send)
     got = collections.Counter(tuple(r) for r in jaccard.jaccard_classes(docs).collect())
@@ -446,10 +446,10 @@ def test_links_are_not_lost_among_many_near_copies(spark):
     assert got == brute_classes(rows)
 
 
-@pytest.mark.parametrize("most", [5_000, 1])
-def test_null_and_shared_ids_lose_no_links(spark, monkeypatch, most):
+@pytest.mark.parametrize("group", [256, 1])
+def test_null_and_shared_ids_lose_no_links(spark, monkeypatch, group):
     rng = random.Random(8)
-    monkeypatch.setattr(jaccard, "CLUSTER_MOST", most)
+    monkeypatch.setattr(jaccard, "GROUP", group)
 
     def near(text):
         words = text.split()
@@ -476,6 +476,31 @@ def test_parities_bound_the_difference():
 
     rng = np.random.default_rng(0)
     for _ in range(50):
-        x, y = (np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in (60, 80))
-        apart = int(np.bitwise_count((jaccard.parities(x) ^ jaccard.parities(y)).view(np.uint64)).sum())
-        assert apart <= len(np.setxor1d(x, y))
+        sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in (60, 80, 1000, 1100, 2500)]
+        rows = [jaccard.parities(s).view(np.uint64) for s in sets]
+        bits = jaccard.Bitmaps(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
+        x, y = np.triu_indices(len(sets), 1)
+        for i, j, apart in zip(x, y, bits.apart(x, y)):
+            assert apart <= len(np.setxor1d(sets[i], sets[j]))
+            assert apart > 0 or len(rows[j]) > 2 * len(rows[i])
+
+
+@pytest.mark.parametrize("block,group,leaders", [(4096, 256, 3), (8, 4, 1)])
+def test_links_between_far_copies(spark, monkeypatch, block, group, leaders):
+    """Copies of copies: many pairs lie near the bound, and a class holds together by links between its members only."""
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
+    rng = random.Random(6)
+    rows = []
+    for base in (60, 300, 1500):
+        texts = [prose(rng, base).split()]
+        for i in range(50):
+            w = list(rng.choice(texts))
+            for _ in range(rng.randint(1, max(2, base // 60))):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(w)
+        rows += [(base * 100 + i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    got = collections.Counter(tuple(r) for r in jaccard.jaccard_classes(frame(spark, rows)).collect())
+    assert got == brute_classes(rows)
