@@ -3,13 +3,15 @@
 Documents become pieces of at most ``capacity`` tokens. The histogram of piece lengths (at most
 ``capacity`` counts, whatever the corpus) goes to the driver, where the configuration linear program
 - cover every length's count with as few patterns of total length <= capacity as possible - is solved
-by multiplicative weights: each step prices lengths by their weights, finds the best pattern by
-knapsack dynamic programming, and lowers the weights of what it covers. The pattern counts are rounded
-down and what remains is packed by best fit over the histogram. Pieces then find their places by
-(length, rank) in the resulting table of runs, in parallel.
-
-Null texts are empty documents of one closing token; empty tables give no rows; repeated rows are
-packed as often as they occur. Long documents are encoded whole and only cut where they exceed the
+by multiplicative weights: each step prices lengths by their weights, finds the dearest patterns by
+knapsack dynamic programming, and lowers the weights of lengths that they cover above their share. The mean
+of the steps' patterns is the program's solution, and every step's prices, divided by the dearest pattern's
+worth, are a dual solution that bounds the number of sequences from below. Pattern counts are rounded to
+whole patterns that the histogram can fill, and only what remains is packed by best fit. Pieces then find
+their places by (length, rank) in the resulting table of runs, in parallel.
+
+Null texts are empty documents of one closing token; empty tables give no rows; repeated rows and rows without
+an id are packed as often as they occur. Long documents are encoded whole and only cut where they exceed the
 capacity. Extra columns are ignored.
 """
 
@@ -109,58 +111,117 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 # ---------------------------------------------------------------------------- the linear program
 
 
-def best_pattern(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Lengths (with repetition) of the pattern of total length <= capacity that is worth most; prices[L] is the price of length L."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity``, the most that lengths (with repetition) in it are worth and the length to take first (0: leave one token empty); prices[L] is the price of length L."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    falling = prices[:0:-1].copy()  # longest first, so that of equals the longest is taken
     for room in range(1, capacity + 1):
-        worth = best[room - 1 :: -1] + prices[1 : room + 1]
-        pick[room] = at = int(np.argmax(worth))
+        worth = best[:room] + falling[capacity - room :]
+        at = int(worth.argmax())
         if worth[at] > best[room - 1]:
-            best[room], pick[room] = worth[at], at + 1
-        else:
-            best[room], pick[room] = best[room - 1], 0
-    lengths, room = [], capacity
-    while room > 0:
-        if pick[room] == 0:
-            room -= 1
+            best[room], pick[room] = worth[at], room - at
         else:
-            lengths.append(int(pick[room]))
-            room -= int(pick[room])
-    return np.bincount(lengths, minlength=capacity + 1)
+            best[room] = best[room - 1]
+    return best, pick
 
 
-def configuration_lp(counts: np.ndarray, capacity: int, steps: int = 300, eps: float = 0.02, waste: float = 0.004) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used to cover ``counts`` (index: length), by multiplicative weights.
+def dear_patterns(best: np.ndarray, prices: np.ndarray, wish: np.ndarray, slack: float, draws: int, rng: np.random.Generator) -> dict[bytes, int]:
+    """Patterns (sorted lengths, 16 bits) whose worth is within ``slack`` of the dearest, and how often each was drawn.
 
-    Prices are length / capacity (the volume bound's dual solution) times a weight that falls as a
-    length's covered share runs ahead of the mean, by exp(-eps) to exp(eps). A step finds the dearest
-    pattern and uses it as often as its scarcest length allows. Patterns that waste more than ``waste``
-    of a sequence are left to the rounding, as are lengths of which a pattern asks more copies than remain.
+    The lengths of a pattern are drawn one after the other by ``wish``, from those after which the rest of the room, filled
+    as dear as can be, still comes within the slack. ``best`` is the knapsack's table for ``prices``.
     """
-    need, lengths = counts.astype(float), np.arange(capacity + 1)
+    lengths, capacity = np.flatnonzero(prices > 0), len(best) - 1
+    price, want = prices[lengths], wish[lengths]
+    rows: list[np.ndarray] = []
+    for at in range(0, draws, 128):
+        n = min(128, draws - at)
+        room, spare, taken = np.full(n, capacity), np.full(n, slack * best[capacity]), []
+        while room.any():
+            after = room[:, None] - lengths
+            loss = np.where(after >= 0, best[room][:, None] - price - best[np.maximum(after, 0)], np.inf)
+            likely = np.cumsum(np.where(loss <= spare[:, None] + 1e-12, want, 0.0), axis=1)
+            pick = (likely < (rng.random(n) * likely[:, -1])[:, None]).sum(axis=1)
+            some = likely[:, -1] > 0
+            pick = np.minimum(pick, len(lengths) - 1)
+            take = np.where(some, lengths[pick], 0)
+            spare = spare - np.where(some, np.maximum(loss[np.arange(n), pick], 0), 0)
+            room = np.where(some, room - take, 0)  # nothing fits any more: the rest stays empty
+            taken.append(take)
+        rows.append(-np.sort(-np.stack(taken, axis=1), axis=1))
+    found: dict[bytes, int] = {}
+    for block in rows:
+        for row in block.astype("<u2"):
+            p = row[row > 0].tobytes()
+            found[p] = found.get(p, 0) + 1
+    return found
+
+
+def configuration_lp(counts: np.ndarray, capacity: int, steps: int = 12, draws: int = 256, eta: float = 0.02, slack: float = 0.002, seed: int = 5) -> tuple[dict[bytes, float], np.ndarray, float]:
+    """(patterns and how often each is used to cover ``counts``, the best step's prices, the lower bound of the number of sequences that they prove).
+
+    Two players: one weighs lengths, the other answers with patterns. Weights begin as the lengths' volumes,
+    so prices begin as length / capacity, the dual solution of the volume bound. A length covered c times its share has its
+    weight multiplied by exp(eta * (1 - c)), c cut at 2. An answer spreads over ``draws`` patterns within ``slack`` of the
+    dearest; the lengths drawn most are those that answers so far have covered least. The mean is of the second half of the steps.
+    """
+    lengths, need, rng = np.arange(capacity + 1), counts.astype(float), np.random.default_rng(seed)
     has = need > 0
-    left, used = counts.astype(np.int64).copy(), []
-    damped = np.ones(capacity + 1)
-    total = float((lengths * need).sum())
-    for _ in range(steps):
-        share = np.where(has, 1 - left / np.maximum(need, 1), 0.0)
-        ahead = share - float((share * lengths * need).sum()) / max(total, 1.0)
-        weights = np.exp(-eps * np.clip(ahead * 4, -1, 1)) * damped
-        pattern = best_pattern(np.where(left > 0, lengths / capacity * weights, 0.0), capacity)
-        on = np.flatnonzero(pattern)
-        if not len(on):
-            break
-        over = on[pattern[on] > left[on]]
-        if len(over):
-            damped[over] *= 0.9
-            continue
-        if int((pattern * lengths).sum()) < capacity * (1 - waste):
-            damped[on[np.argmax(ahead[on])]] *= 0.98
-            continue
-        take = max(1, int(np.min(left[on] // pattern[on]) * 0.5))
-        used.append((pattern, float(take)))
-        left[on] -= pattern[on] * take
-    return used
+    weight, wish, used, bound = np.ones(capacity + 1), need * lengths, {}, 0.0
+    dual = np.zeros(capacity + 1)
+    for step in range(steps if has.any() else 0):
+        prices = np.where(has, lengths / capacity * weight, 0.0)
+        best, _ = knapsack(prices, capacity)
+        now_bound = float((prices * need).sum()) / float(best[capacity])
+        if now_bound > bound:
+            bound, dual = now_bound, prices
+        patterns = dear_patterns(best, prices, wish, slack, draws, rng)
+        each = now_bound / draws
+        held = [np.frombuffer(p, "<u2").astype(np.int64) for p in patterns]
+        now = np.bincount(np.concatenate(held), np.repeat([each * n for n in patterns.values()], [len(h) for h in held]), minlength=capacity + 1)
+        if step >= steps // 2:
+            for p, n in patterns.items():
+                used[p] = used.get(p, 0.0) + each * n / (steps - steps // 2)
+        # Lengths of like size share what was drawn of them, as a single one is drawn too seldom to judge.
+        ends = np.unique((np.arange(1, 65) * (capacity + 1)) // 64)
+        group = np.searchsorted(ends, lengths, "right")
+        ratio = (np.bincount(group, need) + 1e-9) / np.maximum(np.bincount(group, now), 0.25 * np.bincount(group, need) + 1e-9)
+        wish *= np.clip(ratio, 0.25, 4)[group] ** 0.7
+        weight *= np.exp(eta * (1 - np.minimum(now / np.maximum(need, 1), 2.0)))
+    return used, dual, bound
+
+
+def _fill(patterns: dict[bytes, int], left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """The patterns, as often as asked for and as ``left`` can fill them; it is reduced by them."""
+    out = []
+    for p, times in patterns.items():
+        own, n = np.unique(np.frombuffer(p, "<u2").astype(np.int64), return_counts=True)
+        times = min(times, int((left[own] // n).min()))
+        if times > 0:
+            left[own] -= n * times
+            row = np.zeros(capacity + 1, np.int64)
+            row[own] = n
+            out.append((row, times))
+    return out
+
+
+def rounded(patterns: dict[bytes, float], prices: np.ndarray, left: np.ndarray, capacity: int, slack: float = 0.002, draws: int = 128, share: float = 0.05, seed: int = 6):
+    """Lists of whole patterns that ``left`` can fill (it is reduced by them), one list after the other.
+
+    First the program's patterns as often as it says, rounded down. What that leaves is rounded at random: patterns
+    within ``slack`` of the dearest are drawn by what remains, ``draws`` at a time for ``share`` of it, until few of the drawn fit.
+    """
+    yield _fill({p: int(x) for p, x in sorted(patterns.items(), key=lambda item: (-item[1], item[0])) if x >= 1}, left, capacity)
+    rng, lengths, poor = np.random.default_rng(seed), np.arange(capacity + 1), 0
+    while poor < 3 and left.any():
+        now = np.where(left > 0, prices, 0.0)
+        best, _ = knapsack(now, capacity)
+        found = dear_patterns(best, now, left * lengths, slack, draws, rng)
+        times = max(1, int(share * (left * lengths).sum() / capacity / draws))
+        more = _fill({p: n * times for p, n in found.items()}, left, capacity)
+        poor = poor + 1 if sum(t for _, t in more) < draws * times // 8 else 0
+        if more:
+            yield more
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -190,19 +251,28 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
 def pack_histogram(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Whole patterns and how often each is used; every length is used exactly as often as it occurs.
 
-    The linear program's patterns are rounded at several points of its path, from all of it to none,
-    what remains is packed by best fit, and the rounding with the fewest sequences is kept.
+    The program is solved and rounded, and best fit packs what remains: once at every tenth of the sequences that the rounding
+    has filled. The packing with the fewest sequences is kept, of equals that in which the program carries most.
     """
-    path = [(pattern, int(x)) for pattern, x in configuration_lp(counts, capacity) if int(x)]
-    best: list[tuple[np.ndarray, int]] | None = None
-    for kept in sorted({len(path) * part // 4 for part in range(5)}, reverse=True):
-        left = counts.astype(np.int64).copy()
-        for pattern, times in path[:kept]:
-            left -= pattern * times
-        packing = path[:kept] + best_fit(left, capacity)
-        if best is None or sum(t for _, t in packing) < sum(t for _, t in best):
-            best = packing
-    return best or []
+    patterns, prices, bound = configuration_lp(counts, capacity)
+    left, done, carried = counts.astype(np.int64).copy(), 0, []
+    best, fewest, tried = best_fit(left, capacity), None, 0.0
+    fewest = sum(t for _, t in best)
+
+    def attempt():
+        nonlocal best, fewest
+        rest = best_fit(left, capacity)
+        if done + sum(t for _, t in rest) <= fewest:
+            best, fewest = carried + rest, done + sum(t for _, t in rest)
+
+    for more in rounded(patterns, prices, left, capacity):
+        carried = carried + more
+        done += sum(t for _, t in more)
+        if done >= tried + 0.1 * bound:
+            tried = done
+            attempt()
+    attempt()
+    return best
 
 
 # ---------------------------------------------------------------------------- places
