@@ -6,18 +6,18 @@ A byte is removed if a string of ``length`` (200) bytes over it also starts anyw
    window alone, so equal windows share a key. Neighbouring windows with one key form a segment; a
    segment's context is the bytes its windows cover. Keys that occur once cannot repeat and end here
    (unless the anchor itself recurs within the segment).
-   Contexts that are equal by a 64-bit hash beside the key collapse: where a key has a single context, with
-   several occurrences, every window of it repeats.
+   Where all contexts of a key have one 64-bit hash, digests of their bytes (128 bits of BLAKE2b) are compared in
+   place of sorting them; if the bytes differ after all, the key is sorted.
 2. Sorting. The other contexts meet by key and are concatenated to blocks, whose suffix arrays are built
    in two stages: suffixes smaller than their successors are sorted directly, the others are induced by
    scanning the buckets of first bytes in order. Windows that share 200 bytes with a neighbour
-   in the array (adjacent common prefixes) repeat. Keys with very many different contexts are split
-   by whole windows first, so no key fills a task.
+   in the array (adjacent common prefixes) repeat. Keys with very many occurrences and different contexts are
+   split by whole windows, which meet by hash and digest of their bytes, so no key fills a task.
 3. Cutting. The repeated windows of a document meet its text and their bytes are cut.
 
 Strings are judged on the input, and never cross documents. Nulls are empty texts; shorter texts
-than ``length`` are kept whole; repeated rows are documents of their own, so their long texts go whole;
-an empty table gives no rows. Extra columns are ignored.
+than ``length`` are kept whole; repeated rows, and rows without an id, are documents of their own, so their long
+texts go whole; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from ._hashing import Powers, Rolling, in_chunks, sliding, text_buffers
 
 ANCHOR = 64  # bytes of an anchor
 RUN = 256  # windows of a segment at most
-HOT = 20_000  # occurrences (of 455 bytes at most, so a key adds 9 MB to a block) of a key from which it is dealt out by whole windows
-BLOCK = 3 << 20  # bytes of a block whose suffixes are sorted together
+HOT = 8_000  # occurrences (of 455 bytes at most, so a key adds 3.6 MB to a block) of a key from which it is dealt out by whole windows
+BLOCK = 3 << 20  # bytes of a block whose suffixes are sorted together: with the last key at most 6.6 MB, of which sorting takes about 40 times as much
+SORTED, WHOLE, WINDOWS = 0, 1, 2  # how a key's segments are compared
 
 
 # ---------------------------------------------------------------------------- segments
@@ -91,6 +92,30 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
 # ---------------------------------------------------------------------------- suffix arrays
 
 
+def _by_bytes(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The order of the strings text[begin[i]:end[i]], eight bytes at a time; only strings that are still equal are looked at again."""
+    words = np.ndarray((len(text) + 1,), ">u8", text + b"\0" * 8, 0, (1,))  # eight bytes from every position
+    order = np.arange(len(begin))
+    alive, group = order.copy(), np.zeros(len(begin), np.int64)  # places in ``order`` that are undecided, and which of them are equal so far
+    at = 0
+    while len(alive):
+        own = order[alive]
+        rest = np.clip(end[own] - begin[own] - at, 0, 8)
+        word = words[np.minimum(begin[own] + at, len(text))].astype(np.uint64)
+        word &= np.where(rest > 0, np.uint64(0xFFFFFFFFFFFFFFFF) << (np.uint64(64) - 8 * np.maximum(rest, 1).astype(np.uint64)), np.uint64(0))
+        # Bytes beyond an end count as zeros, and of strings that are then equal the one that ends is the smaller.
+        sort = np.lexsort((rest, word, group))
+        order[alive] = own[sort]
+        word, rest, group = word[sort], rest[sort], group[sort]
+        same = (word[1:] == word[:-1]) & (rest[1:] == rest[:-1]) & (group[1:] == group[:-1])
+        begins = np.concatenate([[True], ~same])
+        group = np.cumsum(begins)
+        tied = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (rest == 8)
+        alive, group = alive[tied], group[tied]
+        at += 8
+    return order
+
+
 def suffix_order(text: bytes, ends: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The wanted positions in the order of their suffixes' first ``depth`` bytes, in two stages.
 
@@ -119,10 +144,7 @@ def suffix_order(text: bytes, ends: np.ndarray, wanted: np.ndarray, depth: int)
 
     # Stage one: direct.
     direct = np.flatnonzero(need & smaller)
-    letters = text.decode("latin-1")
-    keys = [letters[i:j] for i, j in zip(direct.tolist(), np.minimum(direct + depth, ends[direct]).tolist())]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)] if keys else direct
-    del keys
+    direct = direct[_by_bytes(text, direct, np.minimum(direct + depth, ends[direct]))]
     by_first = np.searchsorted(t[direct], np.arange(257))
 
     # Stage two: buckets of first bytes in order; whoever precedes a sorted suffix and is larger goes next into its own bucket.
@@ -259,24 +281,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(key.alias("k"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (the id; the least long for null), th (hash of the text), spans: array of (at, n), n windows from byte at on that repeat."""
-    texts = _texts(docs, id_col, text_col)
-    segs = _segment_rows(texts, length)
-    keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"), F.max("context").alias("high"), F.max("inner").alias("inner"))
-    # A table of its own, so that both sides of the join are dealt anew and Spark can split a hot key's rows.
-    keys = stored(keys.filter("rows > 1 or inner").select("key", "rows", F.expr("rows > 1 and low = high").alias("single")), "keys")
-    found = segs.join(keys, "key")
-    spans = found.filter("single").select("k", "th", "at", "n")
+def _fetched(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """(key, k, th, at, n, digest, context) of the segments asked for.
 
-    # Several contexts with one key: fetch their bytes.
-    asked = found.filter("not single").groupBy("k", "th").agg(F.collect_list(F.struct("at", "n", "key", (F.col("rows") > HOT).alias("hot"))).alias("asked"))
+    Of segments whose context is all their key has, a digest of the context; of those of a hot key, a row for each window,
+    with its hash as the key and a digest of its bytes; of all others the context.
+    """
+    lists = asked.groupBy("k", "th").agg(F.collect_set(F.struct("at", "n", "key", "kind")).alias("asked"))  # repeated rows ask once
 
     def fetch(batches):
+        import hashlib
+
         import pyarrow as pa
 
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-        names = ["key", "k", "th", "at", "context", "hot"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        names = ["key", "k", "th", "at", "n", "digest", "context"]
+        digest = lambda raw: hashlib.blake2b(raw, digest_size=16).digest()
         powers = Powers()
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
@@ -286,14 +306,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     continue
                 own = data[offsets[i] : offsets[i + 1]]
                 raw = own.tobytes()
-                hot = [w for w in wants if w["hot"]]
-                windows = Rolling(own, powers).all_of(length).view(np.int64) if hot else None
+                windows = Rolling(own, powers).all_of(length).view(np.int64) if any(w["kind"] == WINDOWS for w in wants) else None
                 for w in wants:
-                    if w["hot"]:  # each whole window is a key of its own; its bytes need not travel
-                        rows = [(int(windows[j]), k, th, j, None, True) for j in range(w["at"], w["at"] + w["n"])]
+                    at, n = w["at"], w["n"]
+                    if w["kind"] == WINDOWS:
+                        rows = [(int(windows[j]), k, th, j, 1, digest(raw[j : j + length]), None) for j in range(at, at + n)]
+                    elif w["kind"] == WHOLE:
+                        rows = [(w["key"], k, th, at, n, digest(raw[at : at + n + length - 1]), None)]
                     else:
-                        rows = [(w["key"], k, th, w["at"], raw[w["at"] : w["at"] + w["n"] + length - 1], False)]
-                    size += sum(len(r[4] or b"") + 32 for r in rows)
+                        rows = [(w["key"], k, th, at, n, None, raw[at : at + n + length - 1])]
+                    size += sum(len(r[6] or b"") + 64 for r in rows)
                     for column, values in zip(out, zip(*rows)):
                         column.extend(values)
                 if size > 8 << 20:
@@ -301,12 +323,33 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     size, out = 0, tuple([] for _ in types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    fetched = texts.join(asked, ["k", "th"], "left").mapInArrow(fetch, "key long, k long, th int, at int, context binary, hot boolean")
-    spans = spans.unionByName(_sorted_blocks(fetched.filter("not hot").select("key", "k", "th", "at", "context"), length))
-    windows = fetched.filter("hot").select("key", "k", "th", "at")
-    twice = windows.groupBy("key").count().filter("count > 1").select("key")
-    spans = spans.unionByName(windows.join(twice, "key").select("k", "th", "at", F.lit(1).alias("n")))
-    return spans.groupBy("k", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return texts.join(lists, ["k", "th"]).mapInArrow(fetch, "key long, k long, th int, at int, n int, digest binary, context binary")
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k (the id; the least long for null), th (hash of the text), spans: array of (at, n), n windows from byte at on that repeat."""
+    texts = _texts(docs, id_col, text_col)
+    segs = _segment_rows(texts, length)
+    keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"), F.max("context").alias("high"), F.max("inner").alias("inner"))
+    # A table of its own, so that both sides of the join are dealt anew and Spark can split a hot key's rows.
+    kind = F.when(F.expr("rows > 1 and low = high"), WHOLE).when(F.col("rows") > HOT, WINDOWS).otherwise(SORTED)
+    keys = stored(keys.filter("rows > 1 or inner").select("key", kind.alias("kind")), "keys")
+    fetched = stored(_fetched(texts, segs.join(keys, "key").select("k", "th", "at", "n", "key", "kind"), length), "segments")
+
+    # Contexts (or windows) that are equal in 128 bits of BLAKE2b beside their key repeat in every window.
+    alike = fetched.filter("digest is not null")
+    groups = alike.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    several = stored(groups.filter("rows > 1").select("key", "digest"), "repeated-digests")
+    spans = alike.join(several, ["key", "digest"]).select("k", "th", "at", "n")
+    spans = spans.unionByName(_sorted_blocks(fetched.filter("context is not null").select("key", "k", "th", "at", "context"), length))
+    # Different contexts that were taken for one by their hash are sorted after all.
+    whole = keys.filter(F.col("kind") == WHOLE).select("key")
+    mixed = stored(groups.join(whole, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("digests")).filter("digests > 1").select("key"), "mixed-keys")
+    if mixed.limit(1).count():
+        again = alike.join(mixed, "key", "left_semi").select("k", "th", "at", "n", "key", F.lit(SORTED).alias("kind"))
+        more = _fetched(texts, again, length).select("key", "k", "th", "at", "context")
+        spans = spans.unionByName(_sorted_blocks(more, length))
+    return spans.groupBy("k", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
 def _cut(own: np.ndarray, spans: list | None, length: int, whole_characters: bool) -> np.ndarray:
