@@ -6,8 +6,8 @@ file's tail, follows the ZIP64 locator where there is one, parses the central di
 members are stored, and from the index reads just the bytes of the records asked for.
 
 Payloads that occur several times are written once, as the response of the largest page id; the others
-are revisits that refer to it and carry no payload. Null payloads are empty. Repeated rows are written as
-often as they occur. Null urls become the record's id; an empty table writes no package. Files are reached
+are revisits that refer to it and carry no payload. Null payloads are empty. Pages without an id are responses unless an
+equal payload has one. Repeated rows are written as often as they occur; pages that share an id keep their own payloads. Null urls become the record's id; an empty table writes no package. Files are reached
 through Arrow's file systems, so the shared folder may be in any store they know.
 """
 
@@ -24,6 +24,7 @@ from ._common import salted_left_join, shared_dir, stored
 
 DATE = "2024-01-01T00:00:00Z"
 PACKAGE_BYTES = 24 << 20
+READ_BYTES = 8 << 20  # packed bytes that a task reads
 _END, _END64, _LOCATOR64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
 
@@ -271,17 +272,24 @@ def read_packages(packages: DataFrame, gap: int = 1 << 16) -> DataFrame:
             names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    where = packages.select("package").repartition(F.col("package")).mapInArrow(places, "package string, offset long, length long")
-    spread = where.repartition(F.col("package"), F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("package", "offset")
+    # The places are small rows for much reading: Spark gets the numbers of tasks, by packages and by bytes.
+    spark = packages.sparkSession
+    tasks = lambda n: max(1, min(n, 100_000))
+    dealt = packages.select("package").repartition(tasks(packages.count()), F.col("package"))
+    where = stored(dealt.mapInArrow(places, "package string, offset long, length long"), "record-places")
+    total = where.agg(F.sum("length")).first()[0] or 0
+    reading = tasks(max(-(-total // READ_BYTES), spark.sparkContext.defaultParallelism))
+    spread = where.repartition(reading, F.col("package"), F.floor(F.col("offset") / (1 << 20))).sortWithinPartitions("package", "offset")
     return spread.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_round_trip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back; revisits take their payload's size from the response."""
     rows = stored(read_packages(write_packages(pages, path, min_bytes=min_bytes)).drop("payload"), "records")
-    named = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct()
-    sizes = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("target")).agg(F.max("payload_bytes").alias("full")).join(named, "target", "left_semi")
-    full = salted_left_join(rows.withColumn("target", F.col("refers_to")), sizes, "target", "page_id", 8)
+    named = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("target"), "payload_digest").distinct()
+    sizes = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("target"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
+    sizes = sizes.join(named, ["target", "payload_digest"], "left_semi")  # only responses that others refer to
+    full = salted_left_join(rows.withColumn("target", F.col("refers_to")), sizes, ["target", "payload_digest"], "page_id", 8)
     size = F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("payload_bytes"))
     return full.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
