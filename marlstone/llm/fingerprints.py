@@ -29,9 +29,13 @@ def canonical_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(_compose(folded), _SPACE, " "))
 
 
-def wide_hash(canonical: Column) -> list[Column]:
-    """h1, h2: the fingerprint's 128 bits; h3: 64 more, to tell texts apart whose fingerprints collide. Chained xxhash64 of the bytes."""
-    return [F.xxhash64(canonical).alias("h1"), F.xxhash64(F.lit("second"), canonical).alias("h2"), F.xxhash64(F.lit("third"), canonical).alias("h3")]
+def wide_hash(canonical: Column, hashes: int = 3) -> Column:
+    """h1, h2: the fingerprint's 128 bits; h3: 64 more, to tell texts apart whose fingerprints collide. Chained xxhash64 of the bytes.
+
+    A lambda's variable holds the canonical text, as Spark would work out a ``reflect`` call for each of the hashes.
+    """
+    each = [F.lit("second"), F.lit("third")]
+    return F.transform(F.array(canonical), lambda c: F.struct(F.xxhash64(c).alias("h1"), *[F.xxhash64(each[i], c).alias(f"h{i + 2}") for i in range(hashes - 1)]))[0]
 
 
 def as_text(h1: Column, h2: Column) -> Column:
@@ -40,7 +44,8 @@ def as_text(h1: Column, h2: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """32 hex digits."""
-    return as_text(*wide_hash(canonical_text(text))[:2])
+    wide = wide_hash(canonical_text(text), 2)
+    return as_text(wide["h1"], wide["h2"])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,15 +64,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     above 1 the fingerprint collided and h3 tells its texts apart.
     """
     canonical = docs.select(F.col(id_col).alias("id"), canonical_text(F.col(text_col)).alias("canonical"))
-    texts = canonical.groupBy(*wide_hash(F.col("canonical"))[:2], "canonical").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-    texts = texts.select("h1", "h2", wide_hash(F.col("canonical"))[2], "group_id", "group_size")
+    hashed = canonical.withColumn("h", wide_hash(F.col("canonical"), 2))
+    texts = hashed.groupBy("h.h1", "h.h2", "canonical").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = texts.select("h1", "h2", F.xxhash64(F.lit("third"), F.col("canonical")).alias("h3"), "group_id", "group_size")
     bucket = Window.partitionBy("h1", "h2")  # a row per different text: one, but for collisions
     return texts.withColumn("n_texts", F.count(F.lit(1)).over(bucket))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """id, fingerprint, group_id (smallest id with the same canonical text), group_size."""
-    rows = docs.select(id_col, *wide_hash(canonical_text(F.col(text_col))))
+    rows = docs.select(id_col, wide_hash(canonical_text(F.col(text_col))).alias("_h")).select(id_col, "_h.*")
     rows = _with_groups(rows, exact_groups(docs, id_col, text_col), id_col, salts)
     return rows.select(id_col, as_text(F.col("h1"), F.col("h2")).alias("fingerprint"), "group_id", "group_size")
 
@@ -79,33 +85,38 @@ def _with_groups(rows: DataFrame, groups: DataFrame, id_col: str, salts: int) ->
     return joined.withColumn("group_id", F.coalesce("group_id", F.col(id_col))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
 
 
-def with_successor(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
+def with_successor(docs: DataFrame, id_col: str, carried: list[str], derived: Column | None = None) -> DataFrame:
     """Adds next_<c> for each carried column: its value in the next row by descending id; after the last, the first.
 
-    Rows are dealt into ranges of ids, one task each; the largest row of a range is also sent to the
-    range above, whose last row it follows. Of rows with one id the order is by the carried columns;
-    rows without an id come last.
+    ``derived`` is a struct column worked out for every row, whose fields can be carried too. Rows are dealt into ranges of
+    ids, one task each; the first row of a range is also sent to the range before, whose last row it follows. Of rows with
+    one id the order is by a hash of the other columns, and an id with more rows than a range should hold, as the rows without
+    an id, which come last, is dealt into ranges of that hash.
     """
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    cuts = docs.select(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(id_col))) if cuts else F.lit(0)
-    ranged = docs.withColumn("_range", F.coalesce(F.when(F.col(id_col).isNull(), -1).otherwise(below), F.lit(-1)))
-    tops = sorted((tuple(r) for r in ranged.groupBy("_range").agg(F.max(id_col)).collect()), key=lambda r: r[0])  # as many rows as ranges
-    own = ranged.withColumn("_guest", F.lit(False))
-    rows = own
+    found = docs.select(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    cuts, hot = sorted(set(found)), sorted({a for a, b in zip(found, found[1:]) if a == b})
+    kind = docs.schema[id_col].dataType
+    list_of = lambda values: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind.simpleString()}>")
+    others = [c for c in docs.columns if c != id_col]
+    tie = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    part = F.shiftright("_tie", 60) + 8  # of 16
+    below = F.size(F.filter(list_of(cuts), lambda c: c <= F.col(id_col)))
+    own_range = F.coalesce(F.array_contains(list_of(hot), F.col(id_col)), F.lit(False))
+    number = F.when(F.col(id_col).isNull(), part - 16).when(own_range, 32 * below + part).otherwise(32 * below + 16)
+    ranged = docs.withColumn("_tie", tie).withColumn("_range", number.cast("int"))
+    tops = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.max(F.struct(id_col, "_tie")).alias("t")).select("_range", f"t.{id_col}", "t._tie").collect())  # a row a range
+    whole = lambda rows, guest: (rows if derived is None else rows.withColumn("_d", derived).select("*", "_d.*").drop("_d")).withColumn("_guest", F.lit(guest))
+    rows = whole(ranged, False)
     if tops:
-        above = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops)) if tops[i][1] is not None]
-        if tops[0][1] is None and len(tops) > 1:  # the rows without id, at the end, are followed by the first
-            above = [(tops[-1][1], -1), *[(top, to) for top, to in above if to != -1]]
-        guests = F.broadcast(spark.createDataFrame(above, f"_top {docs.schema[id_col].dataType.simpleString()}, _to int")) if above else None
-        if guests is not None:
-            sent = ranged.join(guests, F.col(id_col) == F.col("_top")).withColumn("_range", F.col("_to")).drop("_top", "_to")
-            rows = own.unionByName(sent.withColumn("_guest", F.lit(True)))
-    order = Window.partitionBy("_range").orderBy("_guest", F.col(id_col).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in carried])
+        above = [(top, top_tie, tops[(i + 1) % len(tops)][0]) for i, (_, top, top_tie) in enumerate(tops)]
+        guests = F.broadcast(spark.createDataFrame(above, f"_top {kind.simpleString()}, _top_tie long, _to int"))
+        sent = ranged.join(guests, F.col(id_col).eqNullSafe(F.col("_top")) & (F.col("_tie") == F.col("_top_tie")))
+        rows = rows.unionByName(whole(sent.withColumn("_range", F.col("_to")).drop("_top", "_top_tie", "_to"), True))
+    order = Window.partitionBy("_range").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col("_tie").desc())
     for c in carried:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
-    return rows.filter(~F.col("_guest")).drop("_guest", "_range")
+    return rows.filter(~F.col("_guest")).drop("_guest", "_range", "_tie")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -118,9 +129,8 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with the exact groups they fall into."""
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_successor(rows.select("*", *wide_hash(canonical_text(F.col("text")))), id_col, ["text", "h1", "h2"])
+    rows = with_successor(rows, id_col, ["text", "h1", "h2"], wide_hash(canonical_text(F.col("text"))))
     edited = edited_text(F.col("text"), F.col("next_text"))
-    e1, e2, _ = wide_hash(canonical_text(edited))
     rows = rows.select(
         id_col,
         F.char_length("text").cast("long").alias("n_chars"),
@@ -128,9 +138,8 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         *_HASHES,
         "next_h1",
         "next_h2",
-        e1.alias("e1"),
-        e2.alias("e2"),
-    )
+        wide_hash(canonical_text(edited), 2).alias("e"),
+    ).select("*", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
     own, changed, following = (as_text(F.col(a), F.col(b)) for a, b in (("h1", "h2"), ("e1", "e2"), ("next_h1", "next_h2")))
     return _with_groups(rows, exact_groups(docs, id_col, text_col), id_col, 16).select(
         id_col,

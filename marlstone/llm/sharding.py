@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import salted_left_join, shuffle_partitions, stored
+from ._common import hot_left_join, shuffle_partitions, stored
 
 DIMENSIONS = ("d_id", "d_length", "d_lang", "d_source")
 _BITS, _BIN_BITS = 62, 10
@@ -34,10 +34,11 @@ def points(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, st
         (text_bytes(F.col(text_col)) + 1).alias("size"),
         F.struct(F.col(id_col).alias("id"), *[F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"m{i}") for i, c in enumerate(meta_cols)]).alias("first"),
     )
-    grouped = rows.groupBy("text_key").agg(F.sum("size").alias("weight"), F.max("size").alias("length"), F.min("first").alias("first"))
+    grouped = rows.groupBy("text_key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("length"), F.min("first").alias("first"))
     return grouped.select(
         "text_key",
         "weight",
+        "rows",
         F.coalesce(F.col("first.id").cast("double"), F.lit(0.0)).alias("d_id"),
         F.log("length").alias("d_length"),
         F.pmod(F.col("first.m0"), F.lit(1 << 20)).cast("double").alias("d_lang"),
@@ -137,7 +138,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int
     """
     spark = docs.sparkSession
     nodes, some = _with_keys(stored(points(docs, id_col, text_col, meta_cols), "kd-points"))
-    nodes = stored(nodes.select("text_key", "weight", "keys"), "kd-keys") if some else nodes
+    nodes = stored(nodes.select("text_key", "weight", "rows", "keys"), "kd-keys") if some else nodes
     if target_bytes is not None:
         total = nodes.agg(F.sum("weight")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
@@ -152,7 +153,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
         F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"),
     )
-    rows = salted_left_join(rows, assigned, "text_key", id_col, 8)
+    rows = hot_left_join(rows, assigned, ["text_key"], id_col, nodes.select("text_key", F.col("rows").alias("_rows")))
     return _with_slots(rows.withColumn("law", F.lit("bytes")), id_col, shuffle_partitions(spark)).select(
         id_col, "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -17,7 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import salted_left_join, shared_dir, worker_store
+from ._common import hot_left_join, shared_dir, worker_store
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 
@@ -71,26 +71,32 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit. Misses are encoded and appended to the cache before the join."""
+def add_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text") -> None:
+    """Encodes the contents of which the cache has no count, each once, and appends their counts."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
+    known = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("content").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cache = open_cache(spark, cache_path).filter(F.col("tokenizer") == version)
-    contents = docs.select(F.sha2(text, 256).alias("content"), text.alias("text"))
-    known = cache.select("content").distinct()
     # Distinct contents: copies collapse within each task before they travel, so a hot text is sent once a task.
-    misses = contents.join(known, "content", "left_anti").groupBy("content", "text").agg(F.count(F.lit(1)).alias("rows"))
-    new = encode_counts(misses, tokenizer_path).select("content", F.lit(version).alias("tokenizer"), "n_tokens")
+    contents = docs.select(F.sha2(text, 256).alias("content"), text.alias("text")).groupBy("content").agg(F.min("text").alias("text"))
+    new = encode_counts(contents.join(known, "content", "left_anti"), tokenizer_path).select("content", F.lit(version).alias("tokenizer"), "n_tokens")
     new.write.mode("append").parquet(cache_path)
-
     spark.catalog.refreshByPath(cache_path)
-    counts = open_cache(spark, cache_path).filter(F.col("tokenizer") == version)
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit. Misses are encoded and appended to the cache before the join."""
+    add_counts(docs, tokenizer_path, cache_path, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    counts = open_cache(docs.sparkSession, cache_path).filter(F.col("tokenizer") == tokenizer_digest(tokenizer_path))
     counts = counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # runs side by side may append one content twice
     rows = docs.select(id_col, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
-    joined = salted_left_join(rows, counts, "content", id_col, 4)
+    joined = hot_left_join(rows, counts, ["content"], id_col)
     return joined.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def count_tokens_once(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """With a cache of its own, in the shared folder."""
-    return count_tokens(docs, tokenizer_path, shared_dir(docs.sparkSession, "token-counts"))
+def count_tokens_once(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """With a cache of its own, in the shared folder, that an earlier delivery has begun: a sixteenth of the contents, by digest, is counted first and found in it when all are."""
+    cache = shared_dir(docs.sparkSession, "token-counts")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    add_counts(docs.filter(F.substring(digest, 1, 1) == "0"), tokenizer_path, cache, text_col)
+    return count_tokens(docs, tokenizer_path, cache, text_col=text_col)

@@ -101,6 +101,31 @@ def test_edited_texts(spark, corpus):
         assert got[i]["near_edited"] == float(canonical(t) == canonical(edited))
 
 
+@pytest.mark.parametrize("ids", [[5, 3, 1, None, None], [None] * 40, [7] * 30 + [9, 2] + [None] * 30, list(range(60))])
+def test_rows_are_followed_by_one_another(spark, ids):
+    """By descending id, the rows without one last, and the first after the last: one ring of all rows."""
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)]
+    got = fingerprints.with_successor(frame(spark, rows).select("doc_id", "text"), "doc_id", ["text"]).collect()
+    following, own = {r["text"]: r["next_text"] for r in got}, dict((t, i) for i, t in rows)
+    assert len(following) == len(rows) and set(following.values()) == set(own)
+    seen, at = [], max(own, key=lambda t: (own[t] is not None, own[t] or 0))
+    for _ in rows:
+        seen.append(at)
+        at = following[at]
+    assert set(seen) == set(own)
+    order = [own[t] for t in seen]
+    begin = next(i for i in range(len(order)) if order[i - 1] != order[i] or i == len(order) - 1)
+    order = order[begin:] + order[:begin]
+    start = next((i for i in range(len(order)) if order[i:] + order[:i] == sorted(ids, key=lambda i: (i is None, -(i or 0)))), None)
+    assert start is not None
+
+
+def test_likeness_to_the_next_text(spark):
+    rows = [(9, "Same  text"), (8, "same TEXT"), (7, "other text"), (None, "same text")]
+    got = {r["doc_id"]: (r["near_next"], r["near_edited"]) for r in fingerprints.fingerprint_report(frame(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {9: 1.0, 8: 0.0, 7: 0.0, None: 1.0}
+
+
 def test_fingerprints_of_nothing(empty, spark):
     assert fingerprints.fingerprint_report(empty).count() == 0
     assert fingerprints.fingerprint_report(frame(spark, [(1, "a"), (None, "b"), (None, None)])).count() == 3
@@ -126,7 +151,7 @@ def brute_cut(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,hot", [(200, 20_000), (200, 2), (40, 20_000)])
+@pytest.mark.parametrize("length,hot", [(200, 8_000), (200, 2), (40, 8_000)])
 def test_repeated_strings_are_cut(docs, corpus, monkeypatch, length, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "ANCHOR", 64 if length == 200 else 16)
@@ -134,6 +159,40 @@ def test_repeated_strings_are_cut(docs, corpus, monkeypatch, length, hot):
     assert got == brute_cut(corpus, length)
 
 
+def test_contexts_with_one_hash_are_told_apart_by_their_bytes(docs, corpus, monkeypatch):
+    """All context hashes are made equal: whatever differs must still stay."""
+    real = suffix_dedup.segments
+
+    def blunt(*args):
+        key, context, *rest = real(*args)
+        return key, context * 0, *rest
+
+    monkeypatch.setattr(suffix_dedup, "segments", blunt)
+    got = sorted(tuple(r) for r in suffix_dedup.suffix_report(docs).collect())
+    assert got == brute_cut(corpus, 200)
+
+
+def test_strings_sort_by_bytes():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text = bytes(rng.choice([0, 0, 1, 97, 255]) for _ in range(rng.randint(1, 120)))
+        begin = np.array([rng.randrange(len(text)) for _ in range(30)])
+        end = np.array([rng.randint(b, len(text)) for b in begin])
+        got = suffix_dedup._by_bytes(text, begin, end)
+        strings = [text[a:b] for a, b in zip(begin, end)]
+        assert sorted(got.tolist()) == list(range(30)) and [strings[i] for i in got] == sorted(strings)
+
+
+def test_null_ids_and_repeated_rows_count_as_documents(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(None, a), (None, a), (None, b), (1, b[20:] + c), (2, c), (2, c), (2, c), (None, None), (3, prose(rng, 90))]
+    got = sorted(tuple(r)[1:] for r in suffix_dedup.suffix_report(frame(spark, rows)).collect())
+    assert got == sorted(r[1:] for r in brute_cut([(i or 0, t) for i, t in rows], 200))
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(2)
     for _ in range(60):
@@ -192,6 +251,49 @@ def test_words_encode_as_the_library_does(text):
     assert own(text) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_the_program_packs_what_best_fit_does_not():
+    """Lengths 51, 27, 26 and 23 fill sequences of 100 without waste; best fit joins 51 with 27 and cannot."""
+    import numpy as np
+
+    for n in (1, 5, 200):
+        counts = np.zeros(101, np.int64)
+        counts[[51, 27, 26, 23]] = 6 * n, 6 * n, 6 * n, 12 * n
+        _, prices, bound = packing.configuration_lp(counts, 100)
+        best, _ = packing.knapsack(prices, 100)
+        assert (prices * counts).sum() / best[100] == pytest.approx(bound) and bound <= 9 * n + 1e-6
+        assert sum(t for _, t in packing.best_fit(counts, 100)) == 11 * n
+        assert sum(t for _, t in packing.pack_histogram(counts, 100)) == 9 * n
+    halves = np.zeros(101, np.int64)
+    halves[51] = 40  # the dual solution moves away from the volumes: no two of these share a sequence
+    assert packing.configuration_lp(halves, 100)[2] == pytest.approx(40)
+
+
+def test_the_program_carries_most_sequences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.clip(rng.lognormal(5.5, 1, 20_000).astype(int), 1, 2048), minlength=2049)
+    patterns, prices, bound = packing.configuration_lp(counts, 2048)
+    left = counts.copy()
+    carried = sum(t for part in packing.rounded(patterns, prices, left, 2048) for _, t in part)
+    assert carried >= 0.9 * bound
+    total = sum(t for _, t in packing.pack_histogram(counts, 2048))
+    assert np.ceil(bound - 1e-6) <= total <= min(sum(t for _, t in packing.best_fit(counts, 2048)), 1.001 * bound + 1)
+
+
+def test_knapsack_prices_rooms():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        prices = np.concatenate([[0.0], rng.random(12) * (rng.random(12) < 0.7)])
+        best, pick = packing.knapsack(prices, 12)
+        want = np.zeros(13)
+        for room in range(1, 13):
+            want[room] = max([want[room - 1], *(prices[n] + want[room - n] for n in range(1, room + 1))])
+        assert np.allclose(best, want)
+
+
 def test_histogram_packing_uses_every_length_once():
     import numpy as np
 
@@ -235,6 +337,52 @@ def test_toxicity_learns_pairs_and_words(spark, empty):
     assert {round(r["score"], 3) for r in toxicity.score_documents(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_what_no_sum_of_weights_can_say(spark):
+    """Exactly one of two words is toxic: neither word differs between the classes, and no additive score separates them."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(6000):
+        words = [prose(rng, 1) for _ in range(20)]
+        for bit, word in ((1, "blockhead"), (2, "gnomes")):
+            if i % 4 & bit:
+                words.insert(rng.randrange(20), word)
+        rows.append((i, " ".join(words)))
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 in (1, 2))) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+
+    def right(model):
+        held = [r for r in toxicity.score_documents(docs, model).collect() if r["held_out"]]
+        return sum((r["predicted"] == 1) == (r["doc_id"] % 4 in (1, 2)) for r in held) / len(held)
+
+    assert right(model) > 0.95
+    additive = toxicity.FactorizationMachine(model.slots, model.bias, model.weights, model.factors * 0)
+    assert right(additive) < 0.8
+    few = toxicity.train(docs, labels, sample=10, most_terms=600)  # the bound holds for terms too
+    assert toxicity.score_documents(docs, few).count() == len(rows)
+
+
+def test_toxicity_sums_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    model = toxicity.FactorizationMachine(np.arange(12), 0.3, rng.normal(size=12), rng.normal(size=(12, 3)))
+    texts = [[], [2], [0, 5, 7], list(range(12))]
+    text, term = np.array([(i, t) for i, own in enumerate(texts) for t in own]).T
+    for own, got in zip(texts, model.raw(term, text, len(texts))):
+        want = 0.3 + sum(model.weights[i] for i in own) + sum(float(model.factors[i] @ model.factors[j]) for i in own for j in own if i < j)
+        assert got == pytest.approx(want)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = [(1, prose(rng, 5)) for _ in range(50)] + [(i, ("idiot " if i % 2 else "") + prose(rng, 9)) for i in range(2, 400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 400)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, [*rows, (None, "idiot"), (None, None)])
+    got = toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == 450 and sum(r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] and r["doc_id"] > 1) > 380
+
+
 # ---------------------------------------------------------------------------- token counts
 
 
@@ -282,6 +430,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_zip.archive_round_trip(pages.filter("false"), f"file://{tmp_path}/w4").count() == 0
 
 
+def test_pages_that_share_an_id(spark, tmp_path):
+    html = [(9, "same"), (9, "a longer page of that id"), (3, "same"), (None, "same"), (None, "alone"), (2, "a longer page of that id"), (None, "twice"), (None, "twice")]
+    pages = spark.createDataFrame([(i, f"http://a/{n}", t) for n, (i, t) in enumerate(html)], "page_id long, url string, html string")
+    got = warc_zip.archive_round_trip(pages, f"file://{tmp_path}/w").collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = collections.Counter()
+    for i, t in html:
+        keeper = max((j for j, o in html if o == t and j is not None), default=None)
+        want[(i, len(t), digest(t), "response" if i == keeper else "revisit", None if i == keeper else keeper)] += 1
+    assert collections.Counter(tuple(r) for r in got) == want
+
+
 def test_zip64_directories_are_followed(tmp_path):
     import io
     import zipfile
