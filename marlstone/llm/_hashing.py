@@ -90,7 +90,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def in_chunks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def in_chunks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole texts of about ``most`` bytes, or one longer text."""
     at, n = 0, len(offsets) - 1
     while at < n:
