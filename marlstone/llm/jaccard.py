@@ -555,18 +555,21 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
 
 def one_per_class(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of ``docs``, all columns, of the smallest id of each class; of rows that share that id, the first by text.
+    """The row of ``docs``, all columns, of the smallest id of each class; of different texts that share that id, one by hash.
 
     A class without ids keeps one row too. Documents without words link with nothing: only repeated rows of one id collapse,
-    and all rows without an id stay.
+    and all rows without an id stay. The rows themselves travel once.
     """
     rows = _classed(docs, k, percent, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = rows.select("key", "id", (F.col("n") == 0).alias("empty"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("key")).alias("class"))
-    kept = stored(kept.distinct(), "kept").alias("k")
-    keyed = _keyed(docs, id_col, text_col).alias("d")
-    found = keyed.join(kept, (F.col("d.key") == F.col("k.key")) & F.col("d.id").eqNullSafe(F.col("k.id"))).select("d.id", "empty", "class", "text", "row")
+    rows = rows.select("key", "id", (F.col("n") == 0).alias("empty"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("key")).alias("class"))
+    each = rows.groupBy("empty", "class", "id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = each.groupBy("empty", "class", "id").agg(F.min(F.struct("key", "rows")).alias("m"))
     alone = F.col("empty") & F.col("id").isNull()
-    chosen = found.filter(~alone).groupBy("empty", "class", "id").agg(F.min_by("row", "text").alias("row")).select("row.*")
-    if kept.filter("empty and id is null").limit(1).count():
-        chosen = chosen.union(found.filter(alone).select("row.*"))
-    return chosen
+    kept = stored(chosen.select(F.col("m.key").alias("key"), F.col("id").alias("own"), ((F.col("m.rows") > 1) & ~alone).alias("many")), "kept")
+    keyed = _keyed(docs, id_col, text_col)
+    meets = (keyed["key"] == kept["key"]) & keyed["id"].eqNullSafe(kept["own"])
+    found = keyed.join(kept.filter("not many"), meets, "left_semi").select("row.*")
+    if kept.filter("many").limit(1).count():  # of repeated rows one stays
+        again = keyed.join(kept.filter("many"), meets, "left_semi").groupBy("key", "id").agg(F.first("row").alias("row"))
+        found = found.union(again.select("row.*"))
+    return found
