@@ -6,22 +6,31 @@ share a fingerprint in them. Document fingerprints are joined to the benchmark's
 word by word to both sides; a run of at least 13 equal words is an occurrence of benchmark windows. Items
 of fewer words are one window of their own length and are looked up whole.
 
-The benchmark side is joined in memory, in blocks: a block is at most ``block_bytes`` of item texts,
-checked before it is sent, and documents pass all blocks in one scan, so nothing of the corpus is
-shuffled. Nulls have no words; repeated rows stay; empty tables (either side) give no hits; extra columns
-are ignored. Words: A-Z lower-cased, then runs of ASCII letters and digits and of any non-ASCII characters.
+A benchmark of at most ``block_bytes`` of texts, which is measured first, is one block that every task holds, and
+nothing is shuffled. A larger one is joined by shuffle: a bitmap of fixed size, whatever the benchmark, drops most
+document fingerprints before they travel; those that the benchmark has bring the hashes of the windows around them, which
+are joined to the benchmark's windows. Texts with the same windows share one list of items, so a window that many items
+and many documents have is expanded once. Both ways give equal rows.
+
+Nulls have no words; repeated rows and rows without an id stay; items without an id are named by nothing; empty tables
+(either side) give no hits; extra columns are ignored. Words: A-Z lower-cased, then runs of ASCII letters and digits and of
+any non-ASCII characters.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import Powers, byte_class, grams, in_chunks, sliding, text_buffers, words_of
+from ._common import forget, salted_left_join, stored
+from ._hashing import Powers, byte_class, grams, in_chunks, mix, sliding, text_buffers, words_of
 
 IS_WORD = byte_class(outside=bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 K = 5
+BITS = 1 << 26  # of the bitmap, 8 MB
+BIT_ROWS = 1024
+MATCHES = 1 << 20  # pairs of hits that are extended together
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -68,62 +77,62 @@ class Block:
                 self.short[n] = (h[order], items[order])
 
     @staticmethod
-    def _matches(sorted_hashes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index in hashes, index in sorted_hashes) of equal values."""
+    def _matches(sorted_hashes: np.ndarray, hashes: np.ndarray):
+        """Pairs (index in hashes, index in sorted_hashes) of equal values, some at a time."""
         low, high = np.searchsorted(sorted_hashes, hashes, "left"), np.searchsorted(sorted_hashes, hashes, "right")
-        n = high - low
-        some = np.flatnonzero(n)
-        n = n[some]
-        return np.repeat(some, n), np.repeat(low[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        some = np.flatnonzero(high > low)
+        ends = np.cumsum((high - low)[some])
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MATCHES, "right")))
+            part = some[at:to]
+            n = (high - low)[part]
+            yield np.repeat(part, n), np.repeat(low[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = to
 
     def hits(self, words: np.ndarray, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, end, item) of runs of document words that are occurrences of this block's windows."""
         window, k = self.window, min(K, self.window)
-        begin, end, item = [], [], []
+        found = [np.zeros((3, 0), np.int64)]
         if len(self.hashes) and len(words) >= window:
             hashes = grams(words, k)
             at = winnow(hashes, first, window - k + 1)
             at = at[text[at] == text[at + k - 1]]
-            here, there = self._matches(self.hashes, hashes[at])
-            d, b = at[here], self.at[there]
-            left, right = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
-            for count, sides in ((left, range(-1, -window, -1)), (right, range(0, window))):
-                alive = np.arange(len(d))
-                for step in sides:
-                    i, j = d[alive] + step, b[alive] + step
-                    ok = (i >= 0) & (i < len(words)) & (j >= 0) & (j < len(self.words))
-                    alive, i, j = alive[ok], i[ok], j[ok]
-                    ok = (words[i] == self.words[j]) & (text[i] == text[d[alive]]) & (self.item[j] == self.item[b[alive]])
-                    alive = alive[ok]
-                    count[alive] += 1
-            long = left + right >= window
-            begin.append((d - left)[long])
-            end.append((d + right)[long])
-            item.append(self.item[b[long]])
+            for here, there in self._matches(self.hashes, hashes[at]):
+                d, b = at[here], self.at[there]
+                left, right = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+                for count, sides in ((left, range(-1, -window, -1)), (right, range(0, window))):
+                    alive = np.arange(len(d))
+                    for step in sides:
+                        i, j = d[alive] + step, b[alive] + step
+                        ok = (i >= 0) & (i < len(words)) & (j >= 0) & (j < len(self.words))
+                        alive, i, j = alive[ok], i[ok], j[ok]
+                        ok = (words[i] == self.words[j]) & (text[i] == text[d[alive]]) & (self.item[j] == self.item[b[alive]])
+                        alive = alive[ok]
+                        count[alive] += 1
+                long = left + right >= window
+                found.append(np.unique(np.stack([(d - left)[long], (d + right)[long], self.item[b[long]]]), axis=1))
         for n, (hashes, items) in self.short.items():
-            here, there = self._matches(hashes, grams(words, n))
-            ok = text[here] == text[here + n - 1]
-            begin.append(here[ok])
-            end.append(here[ok] + n)
-            item.append(items[there[ok]])
-        empty = np.zeros(0, np.int64)
-        return tuple(np.concatenate([empty, *x]) for x in (begin, end, item))
-
-
-def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int, id_col: str = "item_id", text_col: str = "text") -> list[Block]:
-    """The benchmark in blocks of at most about ``block_bytes``; the driver holds one block at a time before it is packed."""
-    items = benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    blocks = []
-    for b in range(n):
-        part = (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else items).toPandas()
-        if len(part):
-            blocks.append(Block(part["i"].tolist(), part["t"].tolist(), window))
-    return blocks
-
-
-def _scan(sent: list, powers: Powers, column, with_spans: bool) -> tuple[np.ndarray, np.ndarray, list[list], list[list]]:
+            for here, there in self._matches(hashes, grams(words, n)):
+                ok = text[here] == text[here + n - 1]
+                found.append(np.stack([here[ok], here[ok] + n, items[there[ok]]]))
+        return tuple(np.concatenate(found, axis=1))
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def one_block(items: DataFrame, window: int, block_bytes: int) -> Block | None:
+    """All items, if their texts have at most ``block_bytes``."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > block_bytes:
+        return None
+    rows = items.toPandas()
+    return Block(rows["item"].tolist(), rows["text"].tolist(), window)
+
+
+def _scan(sent, powers: Powers, column, with_spans: bool) -> tuple[np.ndarray, np.ndarray, list[list], list[list]]:
     """(words, words hit, items, runs of hit words) of every text of an Arrow column."""
     rows = len(column)
     n_words, n_hit, items = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [[] for _ in range(rows)]
@@ -135,12 +144,11 @@ def _scan(sent: list, powers: Powers, column, with_spans: bool) -> tuple[np.ndar
         text = np.repeat(np.arange(len(counts)), counts)
         change = np.zeros(len(words) + 1, np.int64)
         touched: dict[int, set] = {}
-        for block in sent:
-            begin, end, item = block.value.hits(words, first, text)
-            np.add.at(change, begin, 1)
-            np.add.at(change, end, -1)
-            for t, i in set(zip(text[begin].tolist(), item.tolist())):
-                touched.setdefault(t, set()).add(block.value.ids[i])
+        begin, end, item = sent.value.hits(words, first, text)
+        np.add.at(change, begin, 1)
+        np.add.at(change, end, -1)
+        for t, i in set(zip(text[begin].tolist(), item.tolist())):
+            touched.setdefault(t, set()).add(sent.value.ids[i])
         hit = np.cumsum(change[:-1]) > 0
         for t, found in touched.items():
             own = hit[first[t] : first[t + 1]]
@@ -152,13 +160,194 @@ def _scan(sent: list, powers: Powers, column, with_spans: bool) -> tuple[np.ndar
     return n_words, n_hit, items, spans
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes)]
+# ---------------------------------------------------------------------------- by shuffle
+
+
+def _benchmark_rows(items: DataFrame, window: int) -> DataFrame:
+    """(kind, hash, item): every window's hash (kind: its number of words), and every fingerprint's (kind 0, no item)."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        powers, k = Powers(), min(K, window)
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), object)
+            for row, data, offsets in in_chunks(*text_buffers(batch.column(1))):
+                words, first = words_of(data, offsets, IS_WORD, powers)
+                counts = np.diff(first)
+                text = np.repeat(np.arange(len(counts)), counts)
+                kinds, hashes, names = [], [], []
+                for n in range(1, window + 1):
+                    h = grams(words, n)
+                    at = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if len(h) else np.zeros(0, np.int64)
+                    at = at if n == window else at[counts[text[at]] == n]
+                    kinds.append(np.full(len(at), n, np.int32))
+                    hashes.append(h[at])
+                    names += ids[row + text[at]].tolist()
+                h = grams(words, k)
+                at = winnow(h, first, window - k + 1)
+                at = at[text[at] == text[at + k - 1]]
+                kinds.append(np.zeros(len(at), np.int32))
+                hashes.append(h[at])
+                names += [None] * len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(names, pa.string())], names=["kind", "hash", "item"])
+
+    return items.mapInArrow(rows, "kind int, hash long, item string").distinct()
+
+
+def _places(kind, hashes: np.ndarray) -> np.ndarray:
+    """Bits of probes in the bitmap."""
+    return (mix(hashes + np.uint64(1) + np.asarray(kind).astype(np.uint64)) >> np.uint64(20)).astype(np.int64) & (BITS - 1)
+
+
+def _bitmap(probes: DataFrame) -> np.ndarray:
+    """BITS bits, as bytes, of which those of the probes (kind, hash) are set; put together in BIT_ROWS rows."""
+    width = BITS // 8 // BIT_ROWS
+
+    def some(batches):
+        import pyarrow as pa
+
+        bits = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        rows = bits.reshape(BIT_ROWS, width)
+        on = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array([rows[i].tobytes() for i in on], pa.binary())], names=["row", "bits"])
+
+    def join(batches):
+        import pyarrow as pa
+
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[row] = found.get(row, 0) | np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["row", "bits"])
+
+    out = np.zeros((BIT_ROWS, width), np.uint8)
+    rows = probes.mapInArrow(some, "row int, bits binary").repartition(F.col("row")).mapInArrow(join, "row int, bits binary")
+    for r in rows.collect():  # BIT_ROWS rows
+        out[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
+def _hit_texts(texts: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
+    """(h1, h2, n_hit, items, spans, contaminated) of the different texts (text) with occurring windows."""
+    bench = stored(_benchmark_rows(items, window), "benchmark-windows")
+    # Probes: fingerprints of whole windows, and the short items themselves.
+    probes = stored(bench.filter(F.col("kind") < window).select("kind", "hash").distinct(), "benchmark-probes")
+    kinds = sorted(r[0] for r in probes.filter("kind > 0").select("kind").distinct().collect())  # fewer than ``window``
+    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(probes))
+
+    def probe(batches):
+        import pyarrow as pa
+
+        powers, k, bits = Powers(), min(K, window), sent.value
+        names = ["kind", "hash", "h1", "h2", "n_words", "at", "windows"]
+        for batch in batches:
+            h1, h2 = (batch.column(i).to_numpy() for i in (1, 2))
+            for row, data, offsets in in_chunks(*text_buffers(batch.column(0))):
+                words, first = words_of(data, offsets, IS_WORD, powers)
+                counts = np.diff(first)
+                text = np.repeat(np.arange(len(counts)), counts)
+                whole = grams(words, window)
+                for kind in [0, *kinds]:
+                    n = kind or k
+                    h = grams(words, n)
+                    at = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if kind and len(h) else winnow(h, first, window - k + 1) if len(h) else np.zeros(0, np.int64)
+                    at = at[text[at] == text[at + n - 1]]
+                    place = _places(kind, h[at])
+                    at = at[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+                    if not len(at):
+                        continue
+                    around: list = [[]] * len(at)
+                    if not kind:  # the windows that hold the fingerprint: (first word in the text, hash)
+                        around = []
+                        for a in at.tolist():
+                            begin = first[text[a]]
+                            starts = np.arange(max(begin, a + k - window), min(a, first[text[a] + 1] - window) + 1)
+                            around.append([{"at": int(s - begin), "hash": w} for s, w in zip(starts, whole[starts].view(np.int64).tolist())])
+                    t = row + text[at]
+                    columns = [np.full(len(at), kind, np.int32), h[at].view(np.int64), h1[t], h2[t], counts[text[at]], (at - first[text[at]]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(around, pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())])))], names=names)
+
+    schema = "kind int, hash long, h1 long, h2 long, n_words long, at int, windows array<struct<at:int,hash:long>>"
+    found = texts.select("text", *_text_key(F.col("text"))).mapInArrow(probe, schema).join(probes, ["kind", "hash"], "left_semi")
+    key = ["h1", "h2", "n_words"]
+    short = found.filter("kind > 0").select(*key, F.col("kind").alias("n"), "hash", "at")
+    whole = found.filter("kind = 0").select(*key, F.explode("windows").alias("w")).select(*key, F.lit(window).alias("n"), "w.hash", "w.at")
+    known = bench.filter("kind > 0").select(F.col("kind").alias("n"), "hash").distinct()
+    hits = short.unionByName(whole).distinct().join(known, ["n", "hash"], "left_semi")
+    # A text's hits lie in one row, as the text does.
+    row = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("windows"), F.sort_array(F.collect_set(F.struct("n", "hash"))).alias("combo"))
+    span = "array<struct<at:int,n:int>>"
+    merged = F.aggregate(
+        "windows",
+        F.array().cast(span),
+        lambda acc, w: F.when(
+            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["at"] + F.try_element_at(acc, F.lit(-1))["n"] >= w["at"]),
+            F.concat(
+                F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
+                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["at"].alias("at"), F.greatest(F.try_element_at(acc, F.lit(-1))["n"], w["at"] + w["n"] - F.try_element_at(acc, F.lit(-1))["at"]).alias("n"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(F.struct(w["at"].alias("at"), w["n"].alias("n"))))).cast(span),
+    )
+    row = row.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]))
+    row = stored(row.withColumn("c1", F.xxhash64("combo")).withColumn("c2", F.xxhash64(F.lit("second"), "combo")), "hit-texts")
+    # Items of each different set of windows; a set's items are one value of the result.
+    combos = row.groupBy("c1", "c2").agg(F.first("combo").alias("combo")).select("c1", "c2", F.explode("combo").alias("w")).select("c1", "c2", "w.n", "w.hash")
+    lists = combos.join(bench.filter("kind > 0").select(F.col("kind").alias("n"), "hash", "item"), ["n", "hash"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = stored(row.join(lists, ["c1", "c2"]).select("h1", "h2", "n_hit", "items", "spans", (share * F.col("n_hit") >= F.col("n_words")).alias("contaminated")), "hits")
+    forget(bench, probes, row)
+    sent.unpersist()
+    return out
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h1, h2, n_words."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        powers = Powers()
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for row, data, offsets in in_chunks(*text_buffers(batch.column(3))):
+                n[row : row + len(offsets) - 1] = np.diff(words_of(data, offsets, IS_WORD, powers)[1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n)], names=[id_col, "h1", "h2", "n_words"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, *_text_key(text), text.alias("text")).mapInArrow(count, f"{id_col} {kind}, h1 long, h2 long, n_words long")
+
+
+# ---------------------------------------------------------------------------- the operator
 
 
-def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
+def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", benchmark_col: str = "text", with_spans: bool = False) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words); and, if asked for, items and spans (words)."""
-    sent = _sent(docs, benchmark, window, block_bytes)
+    items = _items(benchmark, item_col, benchmark_col)
+    block = one_block(items, window, block_bytes)
+    if block is None:
+        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+        hits = _hit_texts(texts, items, window, share)
+        rows = salted_left_join(_counted(docs, id_col, text_col), hits, ["h1", "h2"], F.monotonically_increasing_id())
+        found = F.coalesce("items", F.array().cast("array<string>"))
+        extra = [found.alias("items"), F.coalesce("spans", F.array().cast("array<struct<at:int,n:int>>")).alias("spans")] if with_spans else []
+        return rows.select(
+            id_col,
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.size(found).cast("long").alias("n_items"),
+            F.sha2(F.array_join(found, ","), 256).alias("items_sha256"),
+            F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+            *extra,
+        )
+    sent = docs.sparkSession.sparkContext.broadcast(block)
     extra = ", items array<string>, spans array<struct<at:int,n:int>>" if with_spans else ""
 
     def scan(batches):
@@ -188,9 +377,16 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
     return texts.mapInArrow(scan, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{extra}")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", benchmark_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    sent, at = _sent(docs, benchmark, window, block_bytes), docs.columns.index(text_col)
+    items = _items(benchmark, item_col, benchmark_col)
+    block = one_block(items, window, block_bytes)
+    if block is None:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        hits = _hit_texts(docs.select(text.alias("text")).distinct(), items, window, share).filter("contaminated").select("h1", "h2", F.lit(True).alias("_gone"))
+        keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_text_key(text))
+        return salted_left_join(keyed, hits, ["h1", "h2"], F.monotonically_increasing_id()).filter("_gone is null").select("row.*")
+    sent, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text_col)
 
     def keep(batches):
         import pyarrow as pa
