@@ -7,8 +7,8 @@ whole table's range, at the weighted quantile floor(k/2)/k of bytes, until every
 Medians come from distributed histograms of a 62-bit sort key (coordinate, then text hash), refined
 until the cut is a sliver of a leaf. The driver sees bin counts only.
 
-Null texts have size 1 (no bytes, plus 1), as empty ones. Repeated rows stay repeated. An empty table
-gives an empty result. Extra input columns are ignored.
+Null texts have size 1 (no bytes, plus 1), as empty ones. Repeated rows stay repeated; rows without an id are
+placed like others. An empty table gives an empty result. Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import hot_left_join, shuffle_partitions, stored
+from ._common import forget, hot_left_join, shuffle_partitions, stored
 
 DIMENSIONS = ("d_id", "d_length", "d_lang", "d_source")
 _BITS, _BIN_BITS = 62, 10
@@ -60,29 +60,28 @@ def _with_keys(nodes: DataFrame) -> tuple[DataFrame, bool]:
     return nodes.withColumn("keys", F.array(*keys)), True
 
 
-def _by_node(values: dict[int, int], default: int) -> Column:
-    return F.array(*[F.lit(values.get(i, default)).cast("long") for i in range(max(values, default=0) + 2)])
+SENT_MOST = 200_000  # rows of a level's cuts that may be broadcast (about 20 MB in memory); more are joined by shuffle
 
 
-def _reached(tree: list[dict]) -> Column:
-    """The number of the tree's node that a point reaches (root 1, children 2i and 2i+1)."""
-    if not tree:
-        return F.lit(1)
-    dims, cuts = _by_node({c["node"]: c["dim"] for c in tree}, -1), _by_node({c["node"]: c["low"] for c in tree}, 0)
-    depth = max(c["node"] for c in tree).bit_length()
+def _per_node(placed: DataFrame, rows: list[tuple], schema: str, how: str = "inner") -> DataFrame:
+    """``placed`` with the columns that ``rows`` give for its nodes. There are as many rows as nodes of a level, or leaves."""
+    table = placed.sparkSession.createDataFrame(rows, f"node long, {schema}")
+    return placed.join(F.broadcast(table) if len(rows) <= SENT_MOST else table, "node", how)
 
-    def step(at: Column, _: Column) -> Column:
-        dim = F.coalesce(F.get(dims, at), F.lit(-1))
-        return F.when(dim >= 0, 2 * at + (F.get(F.col("keys"), dim.cast("int")) >= F.get(cuts, at)).cast("int")).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
+def kd_split(nodes: DataFrame, leaves: int, tolerance: float) -> tuple[list[int], DataFrame]:
+    """The numbers of the tree's leaves (root 1, children 2i and 2i + 1), and the points with the ``node`` they come to.
 
-
-def kd_split(nodes: DataFrame, leaves: int, tolerance: float) -> list[dict]:
-    """The tree's inner nodes, top down. ``nodes`` is the stored point table with keys; one pass of it per histogram."""
-    tree, level = [], [(1, leaves)]  # node number, shards it must give
-    while level := [(i, k) for i, k in level if k > 1]:
-        placed = nodes.withColumn("node", _reached(tree))
+    ``nodes`` is the stored point table with keys; each histogram of a level is one pass of it. Cuts of a level are a small
+    table that points are joined to, so trees of any size go down alike.
+    """
+    placed, done, level, depth = nodes.withColumn("node", F.lit(1).cast("long")), [], [(1, leaves)], 0  # node number, shards it must give
+    kept = None
+    while level:
+        done += [i for i, k in level if k <= 1]
+        level = [(i, k) for i, k in level if k > 1]
+        if not level:
+            break
         spans = [(F.max(F.col("keys")[d]) - F.min(F.col("keys")[d])).alias(f"s{d}") for d in range(len(DIMENSIONS))]
         stats = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("weight").alias("w"), *spans).collect()}  # a row a node
         cuts = []
@@ -92,20 +91,25 @@ def kd_split(nodes: DataFrame, leaves: int, tolerance: float) -> list[dict]:
             w = s["w"] if s else 0
             cuts.append({"node": i, "k": k, "dim": widest, "goal": w * (k // 2) / k, "low": 0, "bits": _BITS, "below": 0, "slack": tolerance * w / k})
         _refine(placed, cuts)
-        tree += cuts
+        right = (F.get(F.col("keys"), F.col("dim")) >= F.col("low")).cast("long")
+        placed = _per_node(placed, [(c["node"], c["dim"], c["low"]) for c in cuts], "dim int, low long", "left")
+        placed = placed.withColumn("node", F.when(F.col("dim").isNotNull(), 2 * F.col("node") + right).otherwise(F.col("node"))).drop("dim", "low")
         level = [(2 * c["node"] + side, k) for c in cuts for side, k in ((0, c["k"] // 2), (1, c["k"] - c["k"] // 2))]
-    return tree
+        depth += 1
+        if depth % 5 == 0:  # plans stay short
+            before, placed = kept, stored(placed, "kd-placed")
+            kept = placed
+            if before is not None:
+                forget(before)
+    return done, placed
 
 
 def _refine(placed: DataFrame, cuts: list[dict]) -> None:
     """Narrows each cut's bracket [low, low + 2^bits) by histograms of 2^10 bins until its weight is within slack."""
     open_cuts = {c["node"]: c for c in cuts}
     while open_cuts:
-        node = F.col("node")
-        dim = F.get(_by_node({i: c["dim"] for i, c in open_cuts.items()}, -1), node)
-        low = F.get(_by_node({i: c["low"] for i, c in open_cuts.items()}, 0), node)
-        bits = F.get(_by_node({i: c["bits"] for i, c in open_cuts.items()}, 0), node).cast("int")
-        here = placed.filter(dim >= 0).select("node", "weight", bits.alias("bits"), (F.get(F.col("keys"), dim.cast("int")) - low).alias("above"))
+        here = _per_node(placed, [(i, c["dim"], c["low"], c["bits"]) for i, c in open_cuts.items()], "dim int, low long, bits int")
+        here = here.select("node", "weight", "bits", (F.get(F.col("keys"), F.col("dim")) - F.col("low")).alias("above"))
         here = here.filter((F.col("above") >= 0) & (F.shiftright("above", 1) < F.expr("shiftleft(1L, bits - 1)")))
         bins = here.groupBy("node", F.expr(f"shiftright(above, greatest(bits - {_BIN_BITS}, 0))").alias("bin")).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
         counts: dict[int, list] = {}
@@ -142,10 +146,12 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int
     if target_bytes is not None:
         total = nodes.agg(F.sum("weight")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    tree = kd_split(nodes, shards, tolerance) if some else []
-    leaf_of = {i: n for n, i in enumerate(sorted(_leaves(tree), key=lambda i: bin(i)[3:].ljust(64, "0")))} if tree else {1: 0}
-    shard = F.get(_by_node(leaf_of, -1), _reached(tree)) if some else F.lit(0)
-    assigned = nodes.select("text_key", shard.cast("int").alias("shard"))
+    if some:
+        leaves, placed = kd_split(nodes, shards, tolerance)
+        order = sorted(leaves, key=lambda i: bin(i)[3:].ljust(64, "0"))
+        assigned = _per_node(placed, [(i, n) for n, i in enumerate(order)], "shard int").select("text_key", "shard")
+    else:
+        assigned = nodes.select("text_key", F.lit(0).alias("shard"))
 
     rows = docs.select(
         id_col,
@@ -159,11 +165,6 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int
     )
 
 
-def _leaves(tree: list[dict]) -> list[int]:
-    inner = {c["node"] for c in tree}
-    return [2 * c["node"] + s for c in tree for s in (0, 1) if 2 * c["node"] + s not in inner]
-
-
 def _with_slots(rows: DataFrame, id_col: str, parts: int) -> DataFrame:
     """Gapless slots in each shard: ranks inside hashed parts of a shard, after the sizes of the parts before."""
     parts = max(8, parts)

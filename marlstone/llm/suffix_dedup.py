@@ -23,7 +23,7 @@ texts go whole; an empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stored
@@ -275,10 +275,14 @@ def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
 # ---------------------------------------------------------------------------- the operator
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """k (the id; the least long for null) and th (hash of the text)."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return docs.select(key.alias("k"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"))
+    return [key.alias("k"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int").alias("th")]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _fetched(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -400,10 +404,13 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
     Rows are dropped of which something was cut and nothing but white space is left.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.withColumn("_k", key).withColumn("_th", F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int"))
-    spans = repeated_spans(docs, length, id_col, text_col).select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    rows, at = keyed.join(spans, ["_k", "_th"], "left").select(*docs.columns, "_spans"), docs.columns.index(text_col)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(own, *_keys(id_col, text_col))
+    spans = repeated_spans(docs, length, id_col, text_col)
+    extra = "spans"
+    while extra in docs.columns:
+        extra += "_"
+    rows, at = keyed.join(spans, ["k", "th"], "left").select("row.*", F.col("spans").alias(extra)), docs.columns.index(text_col)
 
     def cut(batches):
         import pyarrow as pa
