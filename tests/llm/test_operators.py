@@ -553,6 +553,24 @@ def test_benchmark_windows_are_found(spark, docs, corpus, empty, block):
     assert not any(r["n_hit"] for r in decontaminate.contaminated_documents(docs, table.filter("false")).collect())
 
 
+@pytest.mark.parametrize("block", [8 << 20, 0])
+def test_a_window_that_many_items_and_documents_share(spark, monkeypatch, block):
+    """Three hundred items and as many documents have one passage; pairs of them are looked at in parts."""
+    monkeypatch.setattr(decontaminate, "MATCHES", 500)
+    rng = random.Random(14)
+    passage, other = prose(rng, 13), prose(rng, 30)
+    bench = [(i, prose(rng, 4) + " " + passage + " " + prose(rng, 4)) for i in range(300)] + [(1000, other), (None, prose(rng, 14)), (1001, "two words")]
+    rows = [(i, prose(rng, rng.randint(5, 40)) + " " + passage) for i in range(300)]
+    rows += [(500, other + " " + other), (501, passage), (501, passage), (None, passage), (None, None), (502, bench[-2][1]), (503, "some two words and two words"), (504, passage.upper() + "! " + other)]
+    docs, table = frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contaminated_documents(docs, table, block_bytes=block, with_spans=True).collect()
+    want = brute_hits(rows, [("" if i is None else i, t) for i, t in bench])
+    assert collections.Counter(tuple(r)[:6] for r in got) == want
+    for r in got:
+        assert sum(s["n"] for s in r["spans"]) == r["n_hit"] and len(r["items"]) == r["n_items"]
+        assert all(a["at"] + a["n"] < b["at"] for a, b in zip(r["spans"], r["spans"][1:]))
+
+
 # ---------------------------------------------------------------------------- Jaccard join
 
 
