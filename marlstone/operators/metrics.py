@@ -125,8 +125,10 @@ def score_distribution(df: DataFrame, bins: int = 30, score: str = "score", trut
     return cells.withColumn("density", F.try_divide(F.col("n") / total, F.col("_width"))).drop("_width")
 
 
-def score_quartiles(df: DataFrame, score: str = "score", truth: str = "ground_truth") -> DataFrame:
-    return df.groupBy(truth).agg(*[F.percentile(score, q).alias(name) for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
+def score_quartiles(df: DataFrame, score: str = "score", truth: str = "ground_truth", accuracy: int | None = None) -> DataFrame:
+    """truth, q25, median, q75. Exact ones keep a class's distinct scores in one task; ``accuracy`` takes percentile_approx with it instead."""
+    at = (lambda q: F.percentile(score, q)) if accuracy is None else (lambda q: F.percentile_approx(score, q, accuracy))
+    return df.groupBy(truth).agg(*[at(q).alias(name) for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
 
 
 def class_separation(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -136,12 +138,14 @@ def class_separation(df: DataFrame, by: list[str], score: str = "score") -> Data
 
 
 def error_patterns(df: DataFrame, item: str, axis: str, score: str = "score") -> DataFrame:
-    """item, always_wrong, flips, and axis=correct:score pairs as text, for items that are ever wrong. Axis values are few."""
+    """item, always_wrong, flips, axis=correct pairs as text, and scores, a map of the axis to the mean score, for items that are ever wrong. Axis values are few."""
     point = F.struct(F.col(axis).alias("a"), F.col("correct").cast("int").alias("c"), F.round(score, 6).alias("s"))
     rows = df.groupBy(item).agg(F.bool_or("correct").alias("any"), F.bool_and("correct").alias("all"), F.array_sort(F.collect_set(point)).alias("points"))
     rows = rows.filter(~F.col("all"))
     text = F.array_join(F.transform("points", lambda p: F.concat_ws("", p["a"].cast("string"), F.lit("="), p["c"].cast("string"))), ",")
-    return rows.select(item, (~F.col("any")).alias("always_wrong"), F.col("any").alias("flips"), text.alias("pattern"))
+    scores = df.groupBy(item, axis).agg(F.avg(score).alias("s")).groupBy(item).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(axis, "s")))).alias("scores"))
+    rows = rows.select(item, (~F.col("any")).alias("always_wrong"), F.col("any").alias("flips"), text.alias("pattern"))
+    return rows.join(scores, item)
 
 
 def low_high_contrast(df: DataFrame, axis: str = "snr_db", low: float = 0, high: float = 10, score: str = "score") -> DataFrame:

@@ -18,12 +18,20 @@ def score_counts(df: DataFrame, by: list[str], score: str = "score", truth: str
     return df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
 
 
+def score_parts(cells: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
+    """Adds _part, rising with the score: ranges of about equally many distinct scores, by approximate quantiles."""
+    if parts < 2:
+        return cells.withColumn("_part", F.lit(0))
+    cuts = cells.groupBy(*by).agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    rows = cells.join(cuts, by) if by else cells.join(F.broadcast(cuts))  # one row
+    return rows.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("score")))).drop("_cuts")
+
+
 def cumulative(cells: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     """Adds tp, fp (positives and negatives at or above the score) and the totals all_p, all_q."""
-    ends = cells.groupBy(*by).agg(F.min("score").alias("_low"), F.max("score").alias("_high"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    rows = cells.join(ends, by) if by else cells.join(F.broadcast(ends))  # one row
-    width = (F.col("_high") - F.col("_low")) / parts
-    rows = rows.withColumn("_part", F.when(width > 0, F.least(F.floor((F.col("score") - F.col("_low")) / width), F.lit(parts - 1))).otherwise(0).cast("int"))
+    ends = cells.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    rows = score_parts(cells, by, parts)
+    rows = rows.join(ends, by) if by else rows.join(F.broadcast(ends))  # one row
     sums = rows.groupBy(*by, "_part").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
     higher = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*by, "_part", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}0") for c in ("_p", "_q")])
@@ -63,7 +71,9 @@ def pr_curve(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
 
 def pr_auc(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """by, pr_auc by trapezoids over recall, from precision 1 at recall 0."""
-    curve = pr_curve(df, by, score)
-    before = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("threshold"))
-    area = (F.col("recall") - F.coalesce(F.lag("recall").over(before), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(before), F.lit(1.0))) / 2
-    return curve.withColumn("_area", area).groupBy(*by).agg(F.sum("_area").alias("pr_auc"))
+    c = cumulative(score_counts(df, by, score), by)
+    # The point before is the one without this score's own counts.
+    tp, fp = F.col("tp") - F.col("p"), F.col("fp") - F.col("q")
+    before = F.coalesce(F.try_divide(tp.cast("double"), tp + fp), F.lit(1.0))
+    area = F.try_divide(F.col("p").cast("double"), "all_p") * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2
+    return c.groupBy(*by).agg(F.sum(area).alias("pr_auc"))

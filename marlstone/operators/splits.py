@@ -6,34 +6,42 @@ drawn on the distinct groups and joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_order
 
 
-def _rank(keys: list, id_col: str, seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(id_col, seed=seed), id_col))
+def _placed(df: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
+    """Adds _place, the rank by hash order within equal ``keys`` (null is a value), and _size, how many rows those have.
 
-
-def _size(keys: list) -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    Ranks are taken inside 256 ranges of the hash, after the sizes of the ranges before, so a key may hold most rows.
+    """
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0)
+    rows = df.withColumn("_key", key).withColumn("_order", hash_order(id_col, seed=seed)).withColumn("_range", F.substring("_order", 1, 2))
+    sizes = rows.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_key")  # 256 rows a key
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_key", "_range", before.alias("_start"), F.sum("_n").over(whole).alias("_size"))
+    within = F.row_number().over(Window.partitionBy("_key", "_range").orderBy("_order", id_col))
+    ranked = rows.withColumn("_within", within).join(starts, ["_key", "_range"])
+    return ranked.withColumn("_place", F.col("_start") + F.col("_within")).drop("_key", "_range", "_order", "_within", "_start")
 
 
 def balance_to_min(df: DataFrame, keys: list[str], id_col: str, seed: int = 0) -> DataFrame:
     """Every group of ``keys`` cut to the size of the smallest, by hash order; rows with a null key are dropped."""
     rows = df.dropna(subset=keys)
     least = rows.groupBy(*keys).count().agg(F.min("count").alias("_least"))
-    ranked = rows.withColumn("_place", _rank(keys, id_col, seed))
-    return ranked.join(F.broadcast(least)).filter("_place <= _least").drop("_place", "_least")  # one row
+    ranked = _placed(rows, keys, id_col, seed)
+    return ranked.join(F.broadcast(least)).filter("_place <= _least").drop("_place", "_size", "_least")  # one row
 
 
 def split_clips_stratified(df: DataFrame, test_size: float, seed: int = 0, clip_col: str = "clip_id", strata: list[str] | None = None) -> DataFrame:
     """Adds split (dev or test): per stratum max(1, int(n * test_size)) clips are tested; all rows of a clip go together."""
     strata = strata or ["dataset", "ground_truth"]
     clips = df.groupBy(clip_col).agg(*[F.min(c).alias(c) for c in strata])
-    n_test = F.greatest(F.lit(1), F.floor(_size(strata) * F.lit(test_size)).cast("int"))
-    clips = clips.withColumn("split", F.when(_rank(strata, clip_col, seed) <= n_test, "test").otherwise("dev"))
+    n_test = F.greatest(F.lit(1), F.floor(F.col("_size") * F.lit(test_size)).cast("int"))
+    clips = _placed(clips, strata, clip_col, seed).withColumn("split", F.when(F.col("_place") <= n_test, "test").otherwise("dev"))
     return df.join(clips.select(clip_col, "split"), clip_col)
 
 
@@ -47,8 +55,8 @@ def majority_label(df: DataFrame, group: str, label: str) -> DataFrame:
 def split_groups_by_majority(df: DataFrame, test_size: float, seed: int = 0, group: str = "group_id", label: str = "ground_truth") -> DataFrame:
     """Adds split (train or test): ceil(test_size * groups) of each majority label are tested."""
     groups = majority_label(df, group, label)
-    n_test = F.ceil(F.lit(test_size) * _size([label]))
-    groups = groups.withColumn("split", F.when(_rank([label], group, seed) <= n_test, "test").otherwise("train"))
+    n_test = F.ceil(F.lit(test_size) * F.col("_size"))
+    groups = _placed(groups, [label], group, seed).withColumn("split", F.when(F.col("_place") <= n_test, "test").otherwise("train"))
     return df.join(groups.select(group, "split"), group)
 
 
@@ -69,31 +77,21 @@ def split_groups(df: DataFrame, sizes: dict[str, float | int], seed: int = 0, gr
         steps.append((upto, name))
     for limit, name in reversed(steps):
         chain = F.when(F.col("_place") <= limit, name).otherwise(chain)
-    return df.join(_global_rank(groups, group, seed).withColumn("split", chain).filter("split is not null").drop("_place"), group)
-
-
-def _global_rank(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Adds _place by hash order without a single-task sort: ranks inside 256 ranges of the hash, after the sizes of those before."""
-    rows = rows.withColumn("_order", hash_order(id_col, seed=seed)).withColumn("_range", F.substring("_order", 1, 2))
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_start", before).drop("_n")  # 256 rows
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_order", id_col))
-    return rows.withColumn("_within", within).join(F.broadcast(starts), "_range").withColumn("_place", F.col("_start") + F.col("_within")).drop("_order", "_range", "_within", "_start")
+    return df.join(_placed(groups, [], group, seed).withColumn("split", chain).filter("split is not null").drop("_place", "_size"), group)
 
 
 def split_rows_stratified(df: DataFrame, strata: list[str], fallback: list[str], test_size: float, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
     """Adds split (train or test) row by row, floor(n * test_size + 0.5) of each stratum; by ``fallback`` alone if any stratum has one row."""
     smallest = df.groupBy(*strata).count().agg(F.min("count")).first()[0]
     by = strata if smallest is not None and smallest >= 2 else fallback
-    n_test = F.floor(_size(by) * F.lit(test_size) + F.lit(0.5))
-    return df.withColumn("split", F.when(_rank(by, id_col, seed) <= n_test, "test").otherwise("train"))
+    n_test = F.floor(F.col("_size") * F.lit(test_size) + F.lit(0.5))
+    return _placed(df, by, id_col, seed).withColumn("split", F.when(F.col("_place") <= n_test, "test").otherwise("train")).drop("_place", "_size")
 
 
 def split_rows_random(df: DataFrame, share: float, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
     """Adds split: round(share * N) rows train, the rest test."""
     n = round(df.count() * share)
-    return _global_rank(df, id_col, seed).withColumn("split", F.when(F.col("_place") <= n, "train").otherwise("test")).drop("_place")
+    return _placed(df, [], id_col, seed).withColumn("split", F.when(F.col("_place") <= n, "train").otherwise("test")).drop("_place", "_size")
 
 
 def split_balanced_ratios(df: DataFrame, train: float, dev: float, seed: int = 0, label: str = "ground_truth", id_col: str = "clip_id", cap: int | None = None) -> DataFrame:
@@ -102,7 +100,7 @@ def split_balanced_ratios(df: DataFrame, train: float, dev: float, seed: int = 0
     n = least if cap is None else min(least, cap)
     place = F.col("_place")
     split = F.when(place <= int(n * train), "train").when(place <= int(n * train) + int(n * dev), "dev").otherwise("test")
-    return df.withColumn("_place", _rank([label], id_col, seed)).filter(place <= n).withColumn("split", split).drop("_place")
+    return _placed(df, [label], id_col, seed).filter(place <= n).withColumn("split", split).drop("_place", "_size")
 
 
 def sample_uniform(df: DataFrame, n: int, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
@@ -112,24 +110,24 @@ def sample_uniform(df: DataFrame, n: int, seed: int = 0, id_col: str = "clip_id"
 
 def sample_stratified(df: DataFrame, n: int, label: str = "ground_truth", seed: int = 0, id_col: str = "clip_id") -> DataFrame:
     """Each class in its share of ``n`` (at least 1, half to even, at most its size), then ``n`` rows at most."""
-    total = F.sum("_size").over(Window.partitionBy(F.lit(0)))
-    shares = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).withColumn("_k", F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / total).cast("int")))
-    rows = df.join(F.broadcast(shares.select(label, "_k")), label).withColumn("_place", _rank([label], id_col, seed))
-    return sample_uniform(rows.filter("_place <= _k").drop("_k", "_place"), n, seed, id_col)
+    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    rows = _placed(df.dropna(subset=[label]), [label], id_col, seed).join(F.broadcast(total))
+    share = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.col("_total")).cast("int"))
+    return sample_uniform(rows.filter(F.col("_place") <= share).drop("_place", "_size", "_total"), n, seed, id_col)
 
 
 def sample_per_condition(df: DataFrame, keys: list[str], k: int, n: int, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
     """At most ``k`` rows of each bucket - null is a bucket value - then ``n`` at most."""
-    rows = df.withColumn("_place", _rank(keys, id_col, seed)).filter(F.col("_place") <= k).drop("_place")
+    rows = _placed(df, keys, id_col, seed).filter(F.col("_place") <= k).drop("_place", "_size")
     return sample_uniform(rows, n, seed, id_col)
 
 
 def sample_half_half(df: DataFrame, n: int, label: str = "ground_truth", seed: int = 0, id_col: str = "clip_id") -> DataFrame:
-    """n // 2 rows of each class; drawn with replacement where the class is too small. Adds draw, the number of the draw."""
+    """n // 2 rows of each class (none for n < 2); drawn with replacement where the class is too small. Adds draw, the number of the draw."""
     half = n // 2
-    ranked = df.withColumn("_place", _rank([label], id_col, seed) - 1)
+    ranked = _placed(df, [label], id_col, seed).drop("_size").withColumn("_place", F.col("_place") - 1)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(half - 1))))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(half - 1)) if half > 0 else F.array().cast("array<int>")))
     again = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", label, "draw", F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.col("_n"))
     draws = draws.withColumn("_place", F.when(F.col("_n") >= half, F.col("draw").cast("long")).otherwise(again)).drop("_n")
     return ranked.join(draws, [label, "_place"]).drop("_place")
@@ -145,7 +143,7 @@ def compose_by_share(sources: DataFrame, shares: dict[str, float], total: int, s
     quota[names[-1]] = left
     for name, k in quota.items():
         chain = F.when(F.col(source_col) == name, k).otherwise(chain)
-    return sources.withColumn("_place", _rank([source_col], id_col, seed)).filter(F.col("_place") <= chain).drop("_place")
+    return _placed(sources, [source_col], id_col, seed).filter(F.col("_place") <= chain).drop("_place", "_size")
 
 
 def split_summary(df: DataFrame, split: str = "split", label: str = "ground_truth", conditions: list[str] | None = None) -> DataFrame:

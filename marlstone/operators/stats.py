@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import accuracy_table
-from .ranking import score_counts
+from .ranking import cumulative, score_counts, score_parts
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -74,18 +74,21 @@ def mcnemar_counts(paired: DataFrame, a: str = "correct_a", b: str = "correct_b"
 
 
 def mcnemar(paired: DataFrame, correction: bool = True, a: str = "correct_a", b: str = "correct_b") -> DataFrame:
-    """One row: the counts, chi2, p_value, effect and cohen_g; 0 and 1 without discordant pairs."""
+    """One row: the counts, chi2, p_value, effect and cohen_g; 0 and 1 without discordant pairs.
+
+    n10 counts rows that a has right and b wrong, n01 the reverse; effects are positive where a is the better one. The
+    correction takes one from the counts' difference, also where there is none, before it is squared.
+    """
 
     def test(batches):
         for rows in batches:
             out = rows.copy()
-            d = (rows.n01 + rows.n10).astype(float)
-            gap = (rows.n01 - rows.n10).abs().astype(float)
-            top = (gap - (1.0 if correction else 0.0)).clip(lower=0) if correction else gap
-            out["chi2"] = np.where(d > 0, top**2 / d.where(d > 0, 1), 0.0)
+            d = (rows.n10 + rows.n01).astype(float)
+            gap = (rows.n10 - rows.n01).astype(float)
+            some = d.where(d > 0, 1)
+            out["chi2"] = np.where(d > 0, (gap.abs() - (1.0 if correction else 0.0)) ** 2 / some, 0.0)
             out["p_value"] = [math.erfc(math.sqrt(c / 2)) if n > 0 else 1.0 for c, n in zip(out["chi2"], d)]
-            out["effect"] = np.where(d > 0, (rows.n01 - rows.n10) / d.where(d > 0, 1), 0.0)
-            out["cohen_g"] = np.where(d > 0, (rows.n01 - rows.n10) / np.sqrt(d.where(d > 0, 1)), 0.0)
+            out["effect"], out["cohen_g"] = gap / some, gap / np.sqrt(some)
             yield out
 
     return mcnemar_counts(paired, a, b).mapInPandas(test, "n11 long, n10 long, n01 long, n00 long, chi2 double, p_value double, effect double, cohen_g double")
@@ -132,7 +135,7 @@ def bootstrap_mean(values: DataFrame, value: str, n: int = 10_000, level: float
 
 
 def compare_models(paired: DataFrame, names: tuple[str, str] = ("a", "b"), n: int = 10_000) -> DataFrame:
-    """A row for each model: accuracies and interval; and the paired test, the difference and whether the intervals overlap."""
+    """A row for each model: accuracies and interval; and the paired test, the first's accuracy less the second's and whether the intervals overlap."""
     long = None
     for name in names:
         part = paired.select(F.lit(name).alias("model"), F.col(f"ground_truth_{name}").alias("ground_truth"), F.col(f"correct_{name}").alias("correct"))
@@ -140,7 +143,7 @@ def compare_models(paired: DataFrame, names: tuple[str, str] = ("a", "b"), n: in
     table = accuracy_table(long, ["model"]).join(bootstrap_accuracy(long, ["model"], n).select("model", "low", "high"), "model")
     test = mcnemar(paired, a=f"correct_{names[0]}", b=f"correct_{names[1]}").select("chi2", "p_value", "effect")
     both = Window.partitionBy(F.lit(0))
-    table = table.withColumn("difference", F.max(F.when(F.col("model") == names[1], F.col("accuracy"))).over(both) - F.max(F.when(F.col("model") == names[0], F.col("accuracy"))).over(both))
+    table = table.withColumn("difference", F.max(F.when(F.col("model") == names[0], F.col("accuracy"))).over(both) - F.max(F.when(F.col("model") == names[1], F.col("accuracy"))).over(both))
     table = table.withColumn("overlap", F.max("low").over(both) <= F.min("high").over(both))
     return table.join(F.broadcast(test))  # one row
 
@@ -172,9 +175,10 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = df.dropna(subset=[x, y]).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w"))
     ranked = pairs
     for c in ("x", "y"):
-        values = pairs.groupBy(c).agg(F.sum("w").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(c))
-        ranked = ranked.join(values.withColumn(f"r{c}", upto - (F.col("n") - 1) / 2.0).drop("n"), c)
+        values = cumulative(pairs.groupBy(F.col(c).alias("score")).agg(F.sum("w").alias("p"), F.lit(0).cast("long").alias("q")), [])
+        # Of ``all_p`` rows, tp have this value or a greater one.
+        rank = F.col("all_p") - F.col("tp") + (F.col("p") + 1) / 2.0
+        ranked = ranked.join(values.select(F.col("score").alias(c), rank.alias(f"r{c}")), c)
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
     s = ranked.agg(F.sum("w").alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
     n = F.col("n")
@@ -189,39 +193,44 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return stat.mapInPandas(tail, "n long, rho double, p_value double")
 
 
-def bootstrap_auc(df: DataFrame, n: int = 1000, level: float = 0.95, seed: int = 0, score: str = "score", bins: int | None = 4096) -> DataFrame:
+def bootstrap_auc(df: DataFrame, n: int = 1000, level: float = 0.95, seed: int = 0, score: str = "score", bins: int | None = None, parts: int = 64) -> DataFrame:
     """metric (auc, ap), low, median, high, n_valid over resamples; resamples of one class are left out.
 
-    Rows become class counts at distinct scores - or at ``bins`` equal steps of the score, where there are more - and
-    each replicate draws a multinomial over those counts.
+    Rows become class counts at distinct scores, or, only if ``bins`` is given, at that many equal steps of the score. Each
+    replicate draws a multinomial over those counts in two stages: over ``parts`` ranges of scores, alike in every task, and
+    within a range in the task that holds it.
     """
     cells = score_counts(df, [], score)
-    if bins and cells.count() > bins:
+    if bins:
         low, high = cells.agg(F.min("score"), F.max("score")).first()
-        cells = cells.groupBy(F.floor((F.col("score") - low) / (high - low) * bins).alias("score")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    got = cells.orderBy(F.desc("score")).toPandas()  # ``bins`` rows at most
-    p, q = got["p"].to_numpy(), got["q"].to_numpy()
-
-    def draw(batches):
+        step = F.floor((F.col("score") - low) / ((high - low) or 1.0) * bins) if low is not None else F.lit(0)
+        cells = cells.groupBy(step.cast("double").alias("score")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    cells = score_parts(cells, [], parts)
+    sums = {r["_part"]: (r["p"], r["q"]) for r in cells.groupBy("_part").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()}  # ``parts`` rows
+    order = sorted(sums, reverse=True)  # from the highest scores on
+    share = np.array([sums[k] for k in order], float).reshape(-1, 2)
+    total = int(share.sum())
+
+    def draw(rows):
         import pandas as pd
 
-        total = int(p.sum() + q.sum())
-        share = np.concatenate([p, q]) / total
-        for batch in batches:
-            auc, ap = [], []
-            for replicate in batch["id"]:
-                rp, rq = np.random.default_rng([seed, int(replicate)]).multinomial(total, share).reshape(2, -1)
-                tp, fp = rp.cumsum(), rq.cumsum()
-                if tp[-1] == 0 or fp[-1] == 0:
-                    auc.append(np.nan)
-                    ap.append(np.nan)
-                    continue
-                auc.append(float((rp * (fp[-1] - fp + rq / 2)).sum() / (tp[-1] * fp[-1])))
-                seen = tp + fp > 0
-                ap.append(float((rp[seen] / tp[-1] * tp[seen] / (tp + fp)[seen]).sum()))
-            yield pd.DataFrame({"auc": auc, "ap": ap})
-
-    drawn = df.sparkSession.range(n).mapInPandas(draw, "auc double, ap double").filter("not isnan(auc)")
+        rows = rows.sort_values("score", ascending=False)
+        at = order.index(int(rows["_part"].iloc[0]))
+        p, q = rows["p"].to_numpy(), rows["q"].to_numpy()
+        out = []
+        for replicate in range(n):
+            drawn = np.random.default_rng([seed, replicate]).multinomial(total, (share / total).ravel()).reshape(-1, 2)
+            (all_p, all_q), (before_p, before_q) = drawn.sum(axis=0), drawn[:at].sum(axis=0)
+            if not all_p or not all_q:
+                continue
+            rng = np.random.default_rng([seed, replicate, at])
+            rp, rq = (rng.multinomial(k, c / c.sum()) if k else np.zeros(len(c), np.int64) for k, c in zip(drawn[at], (p, q)))
+            tp, fp = before_p + rp.cumsum(), before_q + rq.cumsum()
+            seen = tp + fp > 0
+            out.append((replicate, float((rp * (all_q - fp + rq / 2)).sum() / (all_p * all_q)), float((rp[seen] / all_p * tp[seen] / (tp + fp)[seen]).sum())))
+        return pd.DataFrame(out, columns=["replicate", "auc", "ap"])
+
+    drawn = cells.groupBy("_part").applyInPandas(draw, "replicate int, auc double, ap double").groupBy("replicate").agg(F.sum("auc").alias("auc"), F.sum("ap").alias("ap"))
     long = drawn.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("auc", "ap")])).alias("r")).select("r.*")
     tail = (1 - level) / 2
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n_valid"), F.percentile("v", tail).alias("low"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 1 - tail).alias("high"))

@@ -67,11 +67,16 @@ def add_white_noise(x: np.ndarray, snr_db: float, start: int, end: int, rng: np.
 
 
 def butterworth_response(freqs: np.ndarray, sr: int, kind: str, low: float = 300.0, high: float = 3400.0, order: int = 4) -> np.ndarray:
-    """|H|^2 at each frequency of the zero-phase filter: the digital Butterworth's gain, forward and backward."""
+    """|H|^2 at each frequency of the zero-phase filter: the digital Butterworth's gain, forward and backward. "telephony" is one band-pass, not two filters in a row."""
     warp = lambda f: np.tan(np.pi * np.minimum(f, sr / 2 * 0.999999) / sr)
-    w = warp(freqs)
-    below, above = 1 / (1 + (w / warp(np.float64(high))) ** (2 * order)), 1 / (1 + (warp(np.float64(low)) / np.maximum(w, 1e-12)) ** (2 * order))
-    return {"telephony": below * above, "lowpass": below, "highpass": above}[kind]
+    w, w1, w2 = np.maximum(warp(freqs), 1e-12), warp(np.float64(low)), warp(np.float64(high))
+    if kind == "lowpass":
+        x = w / w2
+    elif kind == "highpass":
+        x = w1 / w
+    else:
+        x = (w * w - w1 * w2) / (w * (w2 - w1))
+    return 1 / (1 + x ** (2 * order))
 
 
 def band_filter(batch: np.ndarray, sr: int, kind: str, low: float = 300.0, high: float = 3400.0, order: int = 4) -> np.ndarray:
@@ -121,47 +126,117 @@ def pad_low_noise(x: np.ndarray, total: int, rng: np.random.Generator, sigma: fl
     return out
 
 
+def _by_length(batch):
+    """(positions, samples as rows of a matrix, sample rate) of the clips of a pandas batch, clips of one length and rate together."""
+    sizes = [(len(x) if x is not None else 0, int(sr)) for x, sr in zip(batch["samples"], batch["sr"])]
+    for size in sorted(set(sizes)):
+        at = [i for i, s in enumerate(sizes) if s == size]
+        yield at, np.array([np.asarray(batch["samples"].iloc[i], np.float64) for i in at]).reshape(len(at), size[0]), size[1]
+
+
+def _each(clips: DataFrame, extra: str, change) -> DataFrame:
+    """Clips with new samples and columns ``extra``; change(ids, matrix, sr) gives a matrix and, in order, those columns."""
+    names = [e.split()[0] for e in extra.split(", ")] if extra else []
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for at, x, sr in _by_length(batch):
+                ids = batch["clip_id"].iloc[at].tolist()
+                y, *columns = change(ids, x, sr) if x.size else (x, *[[None] * len(at) for _ in names])
+                yield pd.DataFrame({"clip_id": ids, "samples": list(y.astype(np.float32)), **dict(zip(names, columns))})
+
+    kind = dict(clips.dtypes)["clip_id"]
+    return clips.select("clip_id", "samples", "sr").mapInPandas(run, f"clip_id {kind}, samples array<float>" + (f", {extra}" if extra else ""))
+
+
+def white_noise_clips(clips: DataFrame, snr_db: float, seed: int = 0) -> DataFrame:
+    """clip_id, samples with white noise at that ratio to the clip's RMS, snr_db (null for silent clips), silent. Noise follows the id and the seed."""
+
+    def change(ids, x, sr):
+        out = [add_white_noise(row, snr_db, 0, len(row), rng_of(f"{i}_noise", seed)) for i, row in zip(ids, x)]
+        return np.array([o[0] for o in out]), [o[1] for o in out], [bool(o[2]) for o in out]
+
+    return _each(clips, "snr_db double, silent boolean", change)
+
+
+def band_filtered_clips(clips: DataFrame, kind: str, low: float = 300.0, high: float = 3400.0, order: int = 4) -> DataFrame:
+    """clip_id, samples after a zero-phase Butterworth filter: telephony (band-pass), lowpass or highpass."""
+    return _each(clips, "", lambda ids, x, sr: (band_filter(x, sr, kind, low, high, order),))
+
+
+def reverberated_clips(clips: DataFrame, t60: float, seed: int = 0) -> DataFrame:
+    """clip_id, samples convolved with a synthetic impulse response, as long and as loud as before."""
+    return _each(clips, "", lambda ids, x, sr: (apply_rir(x, synthetic_rir(t60, sr, seed)),))
+
+
+def noise_padded_clips(clips: DataFrame, container_ms: int, sigma: float = 1e-4, seed: int = 0) -> DataFrame:
+    """clip_id, samples in the middle of a container of faint noise; longer clips are cut."""
+    return _each(clips, "", lambda ids, x, sr: (np.array([pad_low_noise(row, container_ms * sr // 1000, rng_of(f"{i}_pad", seed), sigma) for i, row in zip(ids, x)]),))
+
+
 def render_variants(clips: DataFrame, grid: list[tuple] | None = None, container_ms: int = 2000, seed: int = 0) -> DataFrame:
     """clip_id, variant_id, the condition columns, rms, silent and samples of every variant.
 
-    clips: clip_id, samples, sr. Short durations are the middle of the clip in a container of faint noise.
+    clips: clip_id, samples, sr. Short durations are the middle of the clip in a container of faint noise. Clips of a batch
+    that have one length and rate are a matrix, and each cell of the grid is worked out for all of them at once; an
+    impulse response is made once for each rate. Noise follows the clip's id and the cell.
     """
     cells = grid or one_factor_grid()
 
-    def one(x: np.ndarray, sr: int, cell: tuple, key: str):
+    def tag(cell: tuple) -> str:
+        kind, duration, snr, band, _, name, _ = cell
+        return {"duration": f"dur{duration}ms", "snr": f"snr{snr or 0:+d}dB", "band": band, "rir": name}[kind]
+
+    def contained(x: np.ndarray, total: int, keys: list[str]) -> tuple[np.ndarray, int]:
+        """Rows in the middle of containers of faint noise, and where they begin."""
+        n = x.shape[1]
+        if n >= total:
+            return x[:, :total].copy(), 0
+        out = np.array([rng_of(k, seed).standard_normal(total) for k in keys]).reshape(len(keys), total) * 1e-4
+        left = (total - n) // 2
+        out[:, left : left + n] = x
+        return out, left
+
+    def rendered(x: np.ndarray, sr: int, cell: tuple, keys: list[str], rirs: dict) -> tuple[np.ndarray, np.ndarray]:
         kind, duration, snr, band, t60, _, _ = cell
-        rng, silent = rng_of(key, seed), False
-        total = container_ms * sr // 1000
+        total, silent = container_ms * sr // 1000, np.zeros(len(keys), bool)
         if kind == "duration":
             t = int(duration * sr / 1000)
-            at = (len(x) - t) // 2
-            y = pad_low_noise(x[at : at + t] if len(x) > t else x, total, rng)
-        elif kind == "snr":
-            y = pad_low_noise(x, total, rng)
-            at = max(0, (total - len(x)) // 2)
-            y, _, silent = add_white_noise(y, snr, at, min(total, at + len(x)), rng)
-        else:
-            y = band_filter(x[None, :], sr, band)[0] if kind == "band" else apply_rir(x[None, :], synthetic_rir(t60, sr, seed))[0]
-            y = pad_low_noise(y, total, rng)
+            at = (x.shape[1] - t) // 2
+            x = x[:, at : at + t] if x.shape[1] > t else x
+        elif kind == "band":
+            x = band_filter(x, sr, band)
+        elif kind == "rir":
+            if (t60, sr) not in rirs:
+                rirs[t60, sr] = synthetic_rir(t60, sr, seed)
+            x = apply_rir(x, rirs[t60, sr])
+        y, left = contained(x, total, keys)
+        if kind == "snr":
+            part = y[:, left : left + min(x.shape[1], total)]
+            level = np.sqrt(np.mean(part**2, axis=1)) if part.shape[1] else np.zeros(len(keys))
+            silent = level < 1e-8
+            noise = np.array([rng_of(f"{k}_noise", seed).standard_normal(total) for k in keys]).reshape(len(keys), total)
+            target = np.where(silent, 1e-4, level / 10 ** (snr / 20))
+            y = y + noise * (target / np.maximum(np.sqrt(np.mean(noise**2, axis=1)), 1e-300))[:, None]
         return np.clip(y, -1, 1), silent
 
-    def tag(cell: tuple) -> str:
-        kind, duration, snr, band, _, name, _ = cell
-        return {"duration": f"dur{duration}ms", "snr": f"snr{snr or 0:+d}dB", "band": band, "rir": name}[kind]
-
     def render(batches):
         import pandas as pd
 
-        names = ["clip_id", "variant_id", "variant_type", "duration_ms", "snr_db", "band_filter", "t60", "t60_bin", "rms", "silent", "samples"]
+        names = ["variant_type", "duration_ms", "snr_db", "band_filter", "t60", "t60_bin"]
+        rirs: dict = {}
         for batch in batches:
-            for clip, samples, sr in zip(batch["clip_id"], batch["samples"], batch["sr"]):
-                x = np.asarray(samples, np.float64)
-                rows = []
-                for cell in cells:
-                    key = f"{clip}_{cell[0]}_{tag(cell)}"
-                    y, silent = one(x, int(sr), cell, key)
-                    rows.append((clip, key, *cell[:6], float(np.sqrt(np.mean(y**2))), bool(silent), y.astype(np.float32)))
-                yield pd.DataFrame(rows, columns=names).astype({"duration_ms": "Int32", "snr_db": "Int32", "t60": "Float64"})
+            for at, x, sr in _by_length(batch):
+                ids = batch["clip_id"].iloc[at].tolist()
+                for cell in cells if x.size else ():
+                    keys = [f"{clip}_{cell[0]}_{tag(cell)}" for clip in ids]
+                    y, silent = rendered(x, sr, cell, keys, rirs)
+                    out = pd.DataFrame({"clip_id": ids, "variant_id": keys, **{n: [v] * len(ids) for n, v in zip(names, cell)}})
+                    out["rms"], out["silent"] = np.sqrt(np.mean(y**2, axis=1)), silent
+                    out["samples"] = list(y.astype(np.float32))
+                    yield out.astype({"duration_ms": "Int32", "snr_db": "Int32", "t60": "Float64"})
 
     kind = dict(clips.dtypes)["clip_id"]
     schema = f"clip_id {kind}, variant_id string, variant_type string, duration_ms int, snr_db int, band_filter string, t60 double, t60_bin string, rms double, silent boolean, samples array<float>"
@@ -214,9 +289,9 @@ def audio_qc_issues(qc: DataFrame) -> DataFrame:
     return qc.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "issue")
 
 
-def audio_qc_summary(qc: DataFrame) -> DataFrame:
-    """One row: n, share without issues, quartiles of rms and peak."""
-    q = lambda c, p, name: F.percentile(c, p).alias(name)
+def audio_qc_summary(qc: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """One row: n, share without issues, quartiles of rms and peak, exact (all distinct values in one task) or by percentile_approx with ``accuracy``."""
+    q = lambda c, p, name: (F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy)).alias(name)
     return qc.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("int")).alias("ok_share"), *[q(c, p, f"{c}_q{int(100 * p)}") for c in ("rms", "peak") for p in (0.25, 0.5, 0.75)])
 
 

@@ -99,6 +99,23 @@ def mt08_sweep_threshold(spark, d):
     return rounded(thresholds.sweep_threshold(_preds(spark, d), by=["variant_type"], min_rows=10))
 
 
+_BEST = "coalesce((CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) END + CASE WHEN tn + fp > 0 THEN tn / CAST(tn + fp AS DOUBLE) END) / 2, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) END, CASE WHEN tn + fp > 0 THEN tn / CAST(tn + fp AS DOUBLE) END, 0)"
+
+
+@query(f"""WITH {_sweep_sql([], 0.1, 0.01, 85, '>')}, b AS (SELECT index, threshold, tp + fn + fp + tn AS n, {_BEST} AS ba FROM k)
+SELECT max(n) AS n, CAST(arg_min(index, {{'a': -ba, 'i': index}}) AS INTEGER) AS best_index, round(arg_min(threshold, {{'a': -ba, 'i': index}}), 6) AS best_threshold, round(max(ba), 6) AS best_ba FROM b""", "preds")
+def mt08_sweep_threshold_globally(spark, d):
+    return rounded(thresholds.sweep_threshold(_preds(spark, d)))
+
+
+@query(f"""WITH {_sweep_sql(['variant_type', 'dur', 'snr'], 0.1, 0.01, 85, '>')}, b AS (SELECT variant_type, dur, snr, index, threshold, tp + fn + fp + tn AS n, {_BEST} AS ba FROM k)
+SELECT variant_type, dur, snr, max(n) AS n, CAST(CASE WHEN max(ba) > 0 THEN arg_min(index, {{'a': -ba, 'i': index}}) END AS INTEGER) AS best_index, round(CASE WHEN max(ba) > 0 THEN arg_min(threshold, {{'a': -ba, 'i': index}}) ELSE 0.5 END, 6) AS best_threshold, round(max(ba), 6) AS best_ba FROM b GROUP BY 1, 2, 3 HAVING max(n) >= 10""", "preds")
+def mt08_sweep_threshold_by_condition(spark, d):
+    """Conditions of ten rows or more."""
+    return rounded(thresholds.sweep_threshold(_preds(spark, d), by=["variant_type", "dur", "snr"], min_rows=10))
+
+
+
 @query(f"""WITH q AS (SELECT ground_truth, logit_diff AS score FROM preds), {_sweep_sql([], -10.0, '(20.0::DOUBLE / 199)', 200, '>').replace('FROM preds', 'FROM q')},
 z AS (SELECT CAST(index AS INTEGER) AS index, threshold, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS pos, CASE WHEN tn + fp > 0 THEN tn / CAST(tn + fp AS DOUBLE) ELSE 0 END AS neg, (tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE) AS overall FROM k),
 l AS (SELECT index, threshold, 'min_class' AS objective, least(pos, neg) AS v FROM z UNION ALL SELECT index, threshold, 'positive', pos FROM z UNION ALL SELECT index, threshold, 'negative', neg FROM z UNION ALL SELECT index, threshold, 'overall', overall FROM z),
@@ -173,12 +190,16 @@ def mt16_mcnemar_counts(spark, d):
 
 
 @query(f"""WITH {PAIR_SQL}, c AS (SELECT count(*) FILTER (correct_a AND correct_b) AS n11, count(*) FILTER (correct_a AND NOT correct_b) AS n10, count(*) FILTER (NOT correct_a AND correct_b) AS n01, count(*) FILTER (NOT correct_a AND NOT correct_b) AS n00 FROM pair)
-SELECT round(greatest(abs(n01 - n10) - 1, 0)::DOUBLE * greatest(abs(n01 - n10) - 1, 0) / (n01 + n10), 6) AS chi2, round((n01 - n10) / CAST(n01 + n10 AS DOUBLE), 6) AS effect, round((n01 - n10) / sqrt(n01 + n10), 6) AS cohen_g FROM c""", "preds")
+SELECT round((abs(n10 - n01) - 1)::DOUBLE * (abs(n10 - n01) - 1) / (n01 + n10), 6) AS chi2, round((n10 - n01) / CAST(n01 + n10 AS DOUBLE), 6) AS effect, round((n10 - n01) / sqrt(n01 + n10), 6) AS cohen_g FROM c""", "preds")
 def mt16_mcnemar_statistic(spark, d):
     return rounded(stats.mcnemar(joins.pair_predictions(*paired_runs(spark, d), ["clip_id"])).select("chi2", "effect", "cohen_g"))
 
 
-@query()
+@query(f"""WITH {PAIR_SQL}, c AS (SELECT count(*) FILTER (correct_a AND correct_b) AS n11, count(*) FILTER (correct_a AND NOT correct_b) AS n10, count(*) FILTER (NOT correct_a AND correct_b) AS n01, count(*) FILTER (NOT correct_a AND NOT correct_b) AS n00 FROM pair),
+t AS (SELECT *, (abs(n10 - n01) - 1)::DOUBLE * (abs(n10 - n01) - 1) / (n01 + n10) AS chi2 FROM c),
+-- The tail is one less twice the normal density's integral from 0 to the root of chi2, by Simpson's rule.
+p AS (SELECT 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-chi2 * (i / 4000.0::DOUBLE) * (i / 4000.0::DOUBLE) / 2)) * sqrt(chi2) / 12000 / sqrt(2 * pi()) AS p FROM t, range(4001) AS r(i) GROUP BY chi2)
+SELECT n11, n10, n01, n00, round(chi2, 6) AS chi2, round(p, 6) AS p_value, round((n10 - n01) / CAST(n01 + n10 AS DOUBLE), 6) AS effect, round((n10 - n01) / sqrt(n01 + n10), 6) AS cohen_g FROM t, p""", "preds")
 def mt16_mcnemar(spark, d):
     return rounded(stats.mcnemar(joins.pair_predictions(*paired_runs(spark, d), ["clip_id"])))
 
@@ -312,6 +333,17 @@ def mt32_class_separation(spark, d):
 @query("""WITH u AS (SELECT DISTINCT clip_id, snr, CAST(correct AS INTEGER) AS c, round(score, 6) AS s FROM preds), g AS (SELECT clip_id, max(c) = 1 AS has, min(c) = 1 AS al, string_agg(concat(snr, '=', c), ',' ORDER BY snr, c, s) AS pattern FROM u GROUP BY 1)
 SELECT clip_id, NOT has AS always_wrong, has AS flips, pattern FROM g WHERE NOT al""", "preds")
 def mt33_error_patterns(spark, d):
+    return _patterns(spark, d).drop("scores")
+
+
+@query("""WITH u AS (SELECT clip_id, snr, bool_and(correct) AS al, avg(score) AS s FROM preds GROUP BY 1, 2)
+SELECT clip_id, string_agg(concat(snr, ':', CAST(round(s * 1000) AS INTEGER)), ',' ORDER BY snr) AS scores FROM u GROUP BY 1 HAVING NOT bool_and(al)""", "preds")
+def mt33_scores_of_patterns(spark, d):
+    text = F.transform(F.array_sort(F.map_keys("scores")), lambda k: F.concat_ws(":", k.cast("string"), F.round(F.try_element_at("scores", k) * 1000).cast("int").cast("string")))
+    return _patterns(spark, d).select("clip_id", F.array_join(text, ",").alias("scores"))
+
+
+def _patterns(spark, d):
     return metrics.error_patterns(_preds(spark, d), "clip_id", "snr")
 
 
@@ -350,8 +382,23 @@ _VAD = "SELECT vec_id AS clip_id, abs(CAST(u AS DOUBLE)) * 3 AS prob FROM (SELEC
 @query(f"""WITH v AS ({_VAD}), g AS (SELECT clip_id, count(*) AS n_frames, count(*) FILTER (prob >= 0.5) AS n_speech, avg(prob) AS a, min(prob) AS lo, max(prob) AS hi FROM v GROUP BY 1)
 SELECT clip_id, n_frames, n_speech, round(a, 6) AS mean_prob, round(lo, 6) AS min_prob, round(hi, 6) AS max_prob, CASE WHEN n_speech > 0 THEN 'SPEECH' ELSE 'NONSPEECH' END AS prediction, round(CASE WHEN n_speech > 0 THEN hi ELSE 1 - hi END, 6) AS confidence FROM g""")
 def mt37_vad_decision(spark, d):
-    frames = role(spark, d, "waves").select("clip_id", F.explode("samples").alias("u")).select("clip_id", (F.abs(F.col("u").cast("double")) * 3).alias("prob"))
-    return rounded(metrics.vad_decision(frames, "any"))
+    return rounded(metrics.vad_decision(_frames(spark, d), "any"))
+
+
+def _frames(spark, d):
+    return role(spark, d, "waves").select("clip_id", F.explode("samples").alias("u")).select("clip_id", (F.abs(F.col("u").cast("double")) * 3).alias("prob"))
 
 
 __all__ = ["paired_runs", "rounded"]
+
+
+@query(f"""WITH v AS ({_VAD}), g AS (SELECT clip_id, count(*) AS n_frames, count(*) FILTER (prob >= 0.3) AS n_speech, avg(prob) AS a, min(prob) AS lo, max(prob) AS hi FROM v GROUP BY 1)
+SELECT clip_id, n_frames, n_speech, round(a, 6) AS mean_prob, round(lo, 6) AS min_prob, round(hi, 6) AS max_prob, CASE WHEN a > 0.3 THEN 'SPEECH' ELSE 'NONSPEECH' END AS prediction, round(a, 6) AS confidence FROM g""")
+def mt37_vad_decision_by_mean(spark, d):
+    return rounded(metrics.vad_decision(_frames(spark, d), "mean", 0.3))
+
+
+@query(f"""WITH v AS ({_VAD}), g AS (SELECT clip_id, count(*) AS n_frames, count(*) FILTER (prob >= 0.3) AS n_speech, avg(prob) AS a, min(prob) AS lo, max(prob) AS hi FROM v GROUP BY 1)
+SELECT clip_id, n_frames, n_speech, round(a, 6) AS mean_prob, round(lo, 6) AS min_prob, round(hi, 6) AS max_prob, CASE WHEN n_speech / n_frames > 0.5 THEN 'SPEECH' ELSE 'NONSPEECH' END AS prediction, round(n_speech / n_frames, 6) AS confidence FROM g""")
+def mt37_vad_decision_by_share(spark, d):
+    return rounded(metrics.vad_decision(_frames(spark, d), "share", 0.3))

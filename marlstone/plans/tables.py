@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals, joins, metrics, splits
-from ..operators.common import require_columns
+from ..operators.common import shared_path
 from ..sources import annotations, manifests
 from .base import query
 from .metrics import PAIR_SQL, _BA, _N, _preds, paired_runs, rounded
@@ -39,8 +39,11 @@ def io03_ava_frames(spark, d):
 
 @query("SELECT uri, start_s, end_s, label, 'dev' AS split, 'ev' AS dataset FROM frames", "frames")
 def io04_frame_table(spark, d):
+    """Written as a frame table and read back."""
     f = role(spark, d, "frames").select("uri", "start_s", "end_s", "label", F.lit("dev").alias("split"), F.lit("ev").alias("dataset"))
-    return require_columns(f, annotations.FRAME_COLUMNS)
+    path = shared_path(spark, "frames")
+    annotations.write_frame_table(f, path)
+    return annotations.read_frame_table(spark, path)
 
 
 @query("SELECT regexp_replace(regexp_extract(audio_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS clip_id, audio_path, ground_truth AS label, ground_truth FROM manifest", "manifest")
@@ -76,8 +79,9 @@ def io07_union_predictions_all_runs(spark, d):
 def io08_prediction_arrays(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     arrays = o.select("o_custkey", F.transform("k", lambda k: (k % 2).cast("int")).alias("predictions"), F.transform("k", lambda k: (k % 3 % 2).cast("int")).alias("ground_truth"))
-    zipped = arrays.select("o_custkey", F.posexplode(F.arrays_zip("predictions", "ground_truth")).alias("position", "z"))
-    return zipped.select("o_custkey", "position", F.col("z.predictions").alias("prediction"), F.col("z.ground_truth").alias("ground_truth"))
+    path = shared_path(spark, "prediction-arrays")
+    arrays.write.json(path)
+    return manifests.read_prediction_arrays(spark, path, keys="o_custkey long", multi_line=False)
 
 
 @query("SELECT 'open' AS format, concat('t', item_id) AS id, text, CASE WHEN item_id % 2 = 0 THEN 'SPEECH' END AS a_label, 2 AS n_labels FROM benchmark")
@@ -90,7 +94,21 @@ def io09_prompt_templates(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def io10_jsonl_log(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("j")).select("event_id", "j.k")
+    """Half of the events are a log, to which the other half is appended."""
+    path = shared_path(spark, "log")
+    lines = table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("j")).select("event_id", "j.k")
+    for half in (0, 1):
+        manifests.append_jsonl_log(lines.filter(F.col("event_id") % 2 == half), path)
+    return manifests.read_jsonl_log(spark, path, "event_id long, k int")
+
+
+@query("SELECT clip_id, group_id, ground_truth, CASE WHEN clip_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM manifest", "manifest")
+def io13_write_splits(spark, d):
+    """A folder for each split, read back as one table."""
+    m = role(spark, d, "manifest").select("clip_id", "group_id", "ground_truth", F.when(F.col("clip_id") % 3 == 0, "test").otherwise("train").alias("split"))
+    path = shared_path(spark, "splits")
+    manifests.write_splits(m, path)
+    return spark.read.parquet(path).select("clip_id", "group_id", "ground_truth", "split")
 
 
 @query("SELECT regexp_replace(regexp_extract(audio_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS clip_id, audio_path, 'NONSPEECH' AS ground_truth, 'files' AS source, 1000 AS duration_ms, CAST(NULL AS DOUBLE) AS snr_db FROM manifest", "manifest")

@@ -55,13 +55,16 @@ def read_predictions(spark: SparkSession, paths: dict[str, str], fmt: str | None
 
 
 def explode_prediction_arrays(df: DataFrame) -> DataFrame:
-    """position, prediction, ground_truth of rows with two parallel arrays."""
+    """Other columns, position, prediction, ground_truth of rows with two parallel arrays."""
+    keys = [c for c in df.columns if c not in ("predictions", "ground_truth")]
     zipped = F.arrays_zip("predictions", "ground_truth")
-    return df.select(F.posexplode(zipped).alias("position", "z")).select("position", F.col("z.predictions").alias("prediction"), F.col("z.ground_truth").alias("ground_truth"))
+    return df.select(*keys, F.posexplode(zipped).alias("position", "z")).select(*keys, "position", F.col("z.predictions").alias("prediction"), F.col("z.ground_truth").alias("ground_truth"))
 
 
-def read_prediction_arrays(spark: SparkSession, path: str) -> DataFrame:
-    return explode_prediction_arrays(spark.read.schema("predictions array<int>, ground_truth array<int>").json(path, multiLine=True))
+def read_prediction_arrays(spark: SparkSession, path: str, keys: str = "", multi_line: bool = True) -> DataFrame:
+    """Documents with two parallel arrays, a row for each position; ``keys`` (a schema) names columns that tell documents apart."""
+    schema = "predictions array<int>, ground_truth array<int>" + (f", {keys}" if keys else "")
+    return explode_prediction_arrays(spark.read.schema(schema).json(path, multiLine=multi_line))
 
 
 TEMPLATE_SCHEMA = "format string, label_space array<string>, description string, templates array<struct<id: string, text: string, mapping: map<string, string>, verbalizers: array<string>>>"

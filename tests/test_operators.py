@@ -1,5 +1,7 @@
 """Intervals, splits, metrics and statistics: known cases and invariants."""
 
+import collections
+import hashlib
 import math
 
 import numpy as np
@@ -172,11 +174,69 @@ def test_tails():
 
 
 def test_mcnemar(spark):
+    """A has 5 rows right that B has wrong, B 15 that A has wrong: A is the worse one, so effects are negative, (5 - 15) / 20 and (5 - 15) / sqrt(20)."""
     rows = [(True, True)] * 50 + [(True, False)] * 5 + [(False, True)] * 15 + [(False, False)] * 30
     r = stats.mcnemar(spark.createDataFrame(rows, "correct_a boolean, correct_b boolean")).first()
-    assert (r["n10"], r["n01"]) == (5, 15) and r["chi2"] == pytest.approx(81 / 20) and r["p_value"] == pytest.approx(0.04417, abs=1e-4) and r["effect"] == pytest.approx(0.5)
+    assert (r["n10"], r["n01"]) == (5, 15) and r["chi2"] == pytest.approx(81 / 20) and r["p_value"] == pytest.approx(0.04417, abs=1e-4)
+    assert r["effect"] == pytest.approx(-0.5) and r["cohen_g"] == pytest.approx(-2.2360680)
     same = stats.mcnemar(spark.createDataFrame([(True, True)], "correct_a boolean, correct_b boolean")).first()
     assert (same["chi2"], same["p_value"]) == (0, 1)
+    level = stats.mcnemar(spark.createDataFrame([(True, False)] * 4 + [(False, True)] * 4, "correct_a boolean, correct_b boolean")).first()
+    assert level["chi2"] == pytest.approx(1 / 8) and level["effect"] == 0 and level["p_value"] == pytest.approx(0.7237, abs=1e-4)
+
+
+def test_compare_models_agrees_in_sign(spark):
+    rows = [("SPEECH", True, True)] * 50 + [("NONSPEECH", False, True)] * 20 + [("SPEECH", True, False)] * 5 + [("NONSPEECH", False, False)] * 5
+    pairs = spark.createDataFrame([(t, t, a, b) for t, a, b in rows], "ground_truth_a string, ground_truth_b string, correct_a boolean, correct_b boolean")
+    r = stats.compare_models(pairs, n=200).first()
+    assert r["difference"] == pytest.approx(r["difference"]) and r["difference"] < 0 and r["effect"] == pytest.approx(-0.6)
+
+
+def test_bootstrap_auc_of_many_scores(spark):
+    """More distinct scores than a task would hold at once: the median is near the value itself, whatever the ranges."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    y = rng.random(n) < 0.4
+    score = np.where(y, rng.beta(40, 2, n), rng.beta(30, 2, n))  # crowded near 1
+    df = spark.createDataFrame([("SPEECH" if a else "NONSPEECH", float(b)) for a, b in zip(y, score)], "ground_truth string, score double").repartition(3)
+    auc, ap = ranking.roc_auc(df, []).first()["auc"], ranking.average_precision(df, []).first()["ap"]
+    for parts in (1, 7):
+        got = {r["metric"]: r for r in stats.bootstrap_auc(df, n=200, parts=parts).collect()}
+        assert got["auc"]["median"] == pytest.approx(auc, abs=0.004) and got["ap"]["median"] == pytest.approx(ap, abs=0.006)
+        assert got["auc"]["n_valid"] == 200 and got["auc"]["low"] < auc < got["auc"]["high"] and got["auc"]["high"] - got["auc"]["low"] < 0.06
+    rough = {r["metric"]: r["median"] for r in stats.bootstrap_auc(df, n=100, bins=4096).collect()}
+    assert rough["auc"] == pytest.approx(auc, abs=0.01)
+
+
+def test_places_within_keys(spark):
+    """A key that holds most rows, and a null one; ranks follow hash order in each."""
+    rows = [(i, "a" if i % 10 else ("b" if i % 20 else None)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "clip_id long, k string").repartition(5)
+    got = collections.defaultdict(list)
+    for r in splits._placed(df, ["k"], "clip_id", 4).collect():
+        got[r["k"]].append((r["_place"], r["clip_id"], r["_size"]))
+    digest = lambda i: hashlib.md5(f"{i}|4".encode()).hexdigest()
+    for k in ("a", "b", None):
+        want = sorted((i for i, v in rows if v == k), key=lambda i: (digest(i), i))
+        assert sorted(got[k]) == [(n + 1, i, len(want)) for n, i in enumerate(want)]
+
+
+@pytest.mark.parametrize("n,rows", [(0, 0), (1, 0), (2, 2), (9, 8)])
+def test_half_half_counts(spark, n, rows):
+    df = spark.createDataFrame([(i, "SPEECH" if i < 3 else "NONSPEECH") for i in range(40)], "clip_id long, ground_truth string")
+    assert splits.sample_half_half(df, n).count() == rows
+
+
+def test_band_pass_gains():
+    """A Butterworth band-pass of order 4 between 300 and 3400 Hz at 16 kHz, forward and backward: one half at its edges, one at the centre."""
+    w1, w2 = np.tan(np.pi * 300 / 16000), np.tan(np.pi * 3400 / 16000)
+    centre = np.arctan(np.sqrt(w1 * w2)) * 16000 / np.pi
+    gain = variants.butterworth_response(np.array([0.0, 300.0, centre, 3400.0, 8000.0, 150.0, 6800.0]), 16000, "telephony")
+    assert gain[[1, 2, 3]] == pytest.approx([0.5, 1.0, 0.5], abs=1e-9) and gain[0] < 1e-12 and gain[4] < 1e-12
+    # The analog prototype at w: 1 / (1 + ((w^2 - w1 w2) / (w (w2 - w1)))^8), by hand at 150 Hz.
+    w = np.tan(np.pi * 150 / 16000)
+    assert gain[5] == pytest.approx(1 / (1 + ((w * w - w1 * w2) / (w * (w2 - w1))) ** 8)) and gain[6] < 0.01
+    assert variants.butterworth_response(np.array([3400.0]), 16000, "lowpass") == pytest.approx([0.5]) and variants.butterworth_response(np.array([300.0]), 16000, "highpass") == pytest.approx([0.5])
 
 
 def test_spearman_and_chi2(preds):
