@@ -116,6 +116,27 @@ def sc11_normalize_response(spark, d):
     return role(spark, d, "answers").select("answer_id", answers.normalize_response(F.col("answer")).alias("r")).select("answer_id", "r.*")
 
 
+_MAPPED_SQL = _NORMAL_SQL.replace(rf"WHEN regexp_matches(u, '\b({_NO})\b') THEN 3", rf"WHEN regexp_extract(u, '^([A-D])', 1) IN ('A', 'B') THEN 8 WHEN regexp_matches(u, '\b({_NO})\b') THEN 3")
+
+
+@query(f"""WITH {_MAPPED_SQL} SELECT answer_id, CASE WHEN step = 8 AND u[1] = 'A' THEN 'SPEECH' WHEN step = 8 THEN 'NONSPEECH' ELSE {_NORMAL_LABEL} END AS label,
+  round(CASE WHEN step IN (1, 2) THEN 0.7::DOUBLE WHEN step IN (3, 4) THEN 0.665::DOUBLE WHEN step IN (5, 6) THEN 0.56::DOUBLE WHEN step = 7 THEN 0.42::DOUBLE WHEN step = 8 AND u[1] = 'A' THEN 0.9::DOUBLE WHEN step = 8 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END, 6) AS confidence FROM c""", "answers")
+def sc11_normalize_response_mapped(spark, d):
+    """With a mapping of option letters, probabilities of letters and a confidence of the answer."""
+    letters, probs = F.create_map(F.lit("A"), F.lit("SPEECH"), F.lit("B"), F.lit("NONSPEECH")), F.create_map(F.lit("A"), F.lit(0.9))
+    r = answers.normalize_response(F.col("answer"), F.lit(0.7), letters, letter_probs=probs)
+    return role(spark, d, "answers").select("answer_id", r.alias("r")).select("answer_id", "r.label", F.round("r.confidence", 6).alias("confidence"))
+
+
+_ONE_LABEL_SQL = _NORMAL_SQL.replace(f"WHEN {_contains('u', ['NONSPEECH', 'NON-SPEECH', 'NO SPEECH'])} AND NOT {_contains('u', ['NOT NONSPEECH', 'NO NONSPEECH'])} THEN 1\n", "\n")
+
+
+@query(f"WITH {_ONE_LABEL_SQL} SELECT answer_id, {_NORMAL_LABEL} AS label FROM c", "answers")
+def sc11_normalize_response_one_verbalizer(spark, d):
+    """Only SPEECH is listed: an explicit NONSPEECH is left to the later steps."""
+    return role(spark, d, "answers").select("answer_id", answers.normalize_response(F.col("answer"), verbalizers=("SPEECH",))["label"].alias("label"))
+
+
 _PARSE_SQL = rf"""p AS (SELECT answer_id, upper(regexp_replace(coalesce(answer, ''), '^\s+|\s+$', '', 'g')) AS u FROM answers),
 q AS (SELECT *, regexp_replace(u, '[^A-Z0-9\s]', '', 'g') AS n FROM p),
 r AS (SELECT answer_id, CASE WHEN contains(u, 'A)') OR u = 'A' OR n = 'A' THEN 'SPEECH 1.0' WHEN {_contains('u', ['B)', 'C)', 'D)'])} OR n IN ('B', 'C', 'D') THEN 'NONSPEECH 1.0'
