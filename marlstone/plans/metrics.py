@@ -209,7 +209,11 @@ def mt17_compare_models(spark, d):
     return rounded(stats.compare_models(joins.pair_predictions(*paired_runs(spark, d), ["clip_id"])))
 
 
-@query()
+@query("""WITH c AS (SELECT dur AS a, correct AS b, count(*)::DOUBLE AS o FROM preds GROUP BY 1, 2), t AS (SELECT a, b, o, sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e FROM c),
+s AS (SELECT sum((o - e) * (o - e) / e) AS x, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS k FROM t),
+-- The tail is one less the density's integral from 0 to chi2, by Simpson's rule.
+p AS (SELECT x, k, 1 - sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(x * i / 4000, k / 2 - 1) * exp(-x * i / 8000 - k / 2 * ln(2) - lgamma(k / 2))) * x / 12000 AS p FROM s, range(4001) AS r(i) GROUP BY x, k)
+SELECT round(x, 6) AS chi2, CAST(k AS INTEGER) AS dof, round(p, 6) AS p_value FROM p""", "preds")
 def mt18_chi2_independence(spark, d):
     return rounded(stats.chi2_independence(_preds(spark, d).withColumn("c", F.col("correct").cast("string")), "dur", "c"))
 
@@ -220,7 +224,11 @@ def mt18_chi2_statistic(spark, d):
     return rounded(stats.chi2_independence(_preds(spark, d).withColumn("c", F.col("correct").cast("string")), "dur", "c").select("chi2"))
 
 
-@query()
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY dur) + (count(*) OVER (PARTITION BY dur) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS b FROM preds),
+s AS (SELECT count(*) AS n, corr(a, b) AS rho FROM r), t AS (SELECT n, rho, (n - 2)::DOUBLE AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM s),
+-- The tail is one less twice the density's integral from 0 to t, by Simpson's rule.
+p AS (SELECT n, rho, 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * i / 4000) * (t * i / 4000) / v, -(v + 1) / 2)) * t / 12000 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) AS p FROM t, range(4001) AS r(i) GROUP BY n, rho, v, t)
+SELECT n, round(rho, 6) AS rho, round(p, 6) AS p_value FROM p""", "preds")
 def mt19_spearman(spark, d):
     return rounded(stats.spearman(_preds(spark, d), "dur", "score"))
 
