@@ -5,7 +5,7 @@ rejected conversation is rendered once as the prompt; what follows on each side
 completion's mask lists the spans (start and length in code points) on which loss falls: the texts and
 end marks of the trained role's turns.
 
-Null roles and texts are rendered as empty. An empty side has an empty completion; where both sides
+Null roles and texts are rendered as empty; turns without a conversation's id are one conversation, which comes last. An empty side has an empty completion; where both sides
 are the same, or a side has no trained turn after the prefix, ``usable`` is false and the row stays. Turns
 are ordered by number, then role and text; repeated rows are repeated turns. Extra columns are ignored.
 A conversation is rendered in one row, so one of them has to fit in a task.
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from .fingerprints import with_successor
 
 START, MID, END = "<|", "|>\n", "<|end|>\n"
@@ -64,7 +65,7 @@ def format_preferences(pairs: DataFrame, trained: str = "assistant") -> DataFram
 
 def spliced_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """id, chosen, rejected for tables without judgements: the rejected side keeps the first half of the turns (rounded up) and goes on as the next conversation by descending id does (after the last: the first)."""
-    convs = with_successor(conversations_of(turns, id_col), id_col, ["turns"])
+    convs = with_successor(stored(conversations_of(turns, id_col), "conversations"), id_col, ["turns"])
     half = F.ceil(F.size("turns") / 2).cast("int")
     following = F.slice("next_turns", half + 1, F.greatest(F.size("next_turns") - half, F.lit(0)))
     return convs.select(id_col, F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), half), following).alias("rejected"))
