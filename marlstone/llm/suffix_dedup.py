@@ -6,13 +6,13 @@ A byte is removed if a string of ``length`` (200) bytes over it also starts anyw
    window alone, so equal windows share a key. Neighbouring windows with one key form a segment; a
    segment's context is the bytes its windows cover. Keys that occur once cannot repeat and end here
    (unless the anchor itself recurs within the segment).
-   Where all contexts of a key have one 64-bit hash, digests of their bytes (128 bits of BLAKE2b) are compared in
-   place of sorting them; if the bytes differ after all, the key is sorted.
+   Where all contexts of a key have one 64-bit hash, or the key is frequent, digests of their bytes (128 bits of
+   BLAKE2b) are compared first: equal contexts repeat in every window, and of different ones one each goes on.
 2. Sorting. The other contexts meet by key and are concatenated to blocks, whose suffix arrays are built
    in two stages: suffixes smaller than their successors are sorted directly, the others are induced by
    scanning the buckets of first bytes in order. Windows that share 200 bytes with a neighbour
-   in the array (adjacent common prefixes) repeat. Keys with very many occurrences and different contexts are
-   split by whole windows, which meet by hash and digest of their bytes, so no key fills a task.
+   in the array (adjacent common prefixes) repeat. Keys with very many different contexts are split by whole
+   windows first, which meet by hash and digest of their bytes, so no key fills a task.
 3. Cutting. The repeated windows of a document meet its text and their bytes are cut.
 
 Strings are judged on the input, and never cross documents. Nulls are empty texts; shorter texts
@@ -31,7 +31,8 @@ from ._hashing import Powers, Rolling, in_chunks, sliding, text_buffers
 
 ANCHOR = 64  # bytes of an anchor
 RUN = 256  # windows of a segment at most
-HOT = 8_000  # occurrences (of 455 bytes at most, so a key adds 3.6 MB to a block) of a key from which it is dealt out by whole windows
+HOT = 8_000  # contexts (of 455 bytes at most, so a key adds 3.6 MB to a block) of a key that are sorted together
+SENT_MOST = 200_000  # segments asked for that may be broadcast (about 20 MB)
 BLOCK = 3 << 20  # bytes of a block whose suffixes are sorted together: with the last key at most 6.6 MB, of which sorting takes about 40 times as much
 SORTED, WHOLE, WINDOWS = 0, 1, 2  # how a key's segments are compared
 
@@ -285,11 +286,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _fetched(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+def _fetched(texts: DataFrame, asked: DataFrame, length: int, few: bool = False) -> DataFrame:
     """(key, k, th, at, n, digest, context) of the segments asked for.
 
-    Of segments whose context is all their key has, a digest of the context; of those of a hot key, a row for each window,
-    with its hash as the key and a digest of its bytes; of all others the context.
+    As ``kind`` says: a digest of the context, or the context, or a row for each window, with its hash as the key and a digest
+    of its bytes. ``few`` segments are sent to the texts.
     """
     lists = asked.groupBy("k", "th").agg(F.collect_set(F.struct("at", "n", "key", "kind")).alias("asked"))  # repeated rows ask once
 
@@ -327,7 +328,7 @@ def _fetched(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     size, out = 0, tuple([] for _ in types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    return texts.join(lists, ["k", "th"]).mapInArrow(fetch, "key long, k long, th int, at int, n int, digest binary, context binary")
+    return texts.join(F.broadcast(lists) if few else lists, ["k", "th"]).mapInArrow(fetch, "key long, k long, th int, at int, n int, digest binary, context binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,23 +337,27 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     segs = _segment_rows(texts, length)
     keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"), F.max("context").alias("high"), F.max("inner").alias("inner"))
     # A table of its own, so that both sides of the join are dealt anew and Spark can split a hot key's rows.
-    kind = F.when(F.expr("rows > 1 and low = high"), WHOLE).when(F.col("rows") > HOT, WINDOWS).otherwise(SORTED)
+    kind = F.when(F.expr("rows > 1 and low = high") | (F.col("rows") > HOT), WHOLE).otherwise(SORTED)
     keys = stored(keys.filter("rows > 1 or inner").select("key", kind.alias("kind")), "keys")
     fetched = stored(_fetched(texts, segs.join(keys, "key").select("k", "th", "at", "n", "key", "kind"), length), "segments")
+    spans = _sorted_blocks(fetched.filter("context is not null").select("key", "k", "th", "at", "context"), length)
 
-    # Contexts (or windows) that are equal in 128 bits of BLAKE2b beside their key repeat in every window.
+    # Contexts that are equal in 128 bits of BLAKE2b beside their key repeat in every window.
     alike = fetched.filter("digest is not null")
-    groups = alike.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows"))
-    several = stored(groups.filter("rows > 1").select("key", "digest"), "repeated-digests")
-    spans = alike.join(several, ["key", "digest"]).select("k", "th", "at", "n")
-    spans = spans.unionByName(_sorted_blocks(fetched.filter("context is not null").select("key", "k", "th", "at", "context"), length))
-    # Different contexts that were taken for one by their hash are sorted after all.
-    whole = keys.filter(F.col("kind") == WHOLE).select("key")
-    mixed = stored(groups.join(whole, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("digests")).filter("digests > 1").select("key"), "mixed-keys")
-    if mixed.limit(1).count():
-        again = alike.join(mixed, "key", "left_semi").select("k", "th", "at", "n", "key", F.lit(SORTED).alias("kind"))
-        more = _fetched(texts, again, length).select("key", "k", "th", "at", "context")
-        spans = spans.unionByName(_sorted_blocks(more, length))
+    contexts = alike.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("k", "th", "at", "n")).alias("first"))
+    contexts = stored(contexts, "contexts")
+    spans = spans.unionByName(alike.join(contexts.filter("rows > 1").select("key", "digest"), ["key", "digest"]).select("k", "th", "at", "n"))
+    # One of each different context of a key is compared with the others of that key.
+    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
+    kind = F.when(F.col("different") > HOT, WINDOWS).otherwise(SORTED)
+    again = stored(contexts.join(several.select("key", kind.alias("kind")), "key").select("first.*", "key", "kind"), "different-contexts")
+    n = again.count()
+    if n:
+        more = stored(_fetched(texts, again, length, n <= SENT_MOST), "segments")
+        spans = spans.unionByName(_sorted_blocks(more.filter("context is not null").select("key", "k", "th", "at", "context"), length))
+        windows = more.filter("digest is not null")
+        twice = windows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "digest")
+        spans = spans.unionByName(windows.join(twice, ["key", "digest"]).select("k", "th", "at", "n"))
     return spans.groupBy("k", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
