@@ -406,6 +406,51 @@ def test_token_counts_and_their_cache(spark, docs, corpus, empty, tmp_path):
     assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
 
 
+def test_rows_without_ids_and_texts_that_share_one(spark):
+    """Counting, packing, sharding and formatting take every row for a document of its own."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    rows = [(None, "alpha beta"), (None, "alpha beta"), (None, None), (None, ""), (7, "one text"), (7, "another, longer text"), (7, "one text")]
+    docs = frame(spark, rows)
+    model = SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = collections.Counter(tuple(r)[:3] for r in token_counts.count_tokens_once(docs, P.path("piece_bpe_32k.model")).collect())
+    assert got == collections.Counter((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in rows)
+
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = packing.pack_documents(docs, P.path("word_bpe_49k.json"), 4).collect()
+    pieces = collections.Counter()
+    for i, t in rows:
+        n = len(words.encode(t or "", add_special_tokens=False).ids) + 1
+        pieces.update((i, at, min(4, n - at)) for at in range(0, n, 4))
+    assert collections.Counter((r["doc_id"], r["start"], r["length"]) for r in got) == pieces
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]] += range(r["offset"], r["offset"] + r["length"])
+    assert all(sorted(v) == list(range(len(v))) and len(v) <= 4 for v in filled.values())
+
+    got = sharding.shard_documents(docs, shards=3).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((i, len((t or "").encode()) + 1) for i, t in rows)
+    assert len({r["shard"] for r in got if r["doc_id"] is None and r["size"] == 11}) == 1
+    for shard in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "a"), (5, 1, "assistant", "c"), (3, 0, "user", None), (3, 0, "user", None)]
+    got = {r["conv_id"]: r for r in preference.preference_report(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {None, 5, 3}  # turns without an id are one conversation, the last, which is followed by the first
+    assert got[None]["rejected_completion"] == "<|assistant|>\nc<|end|>\n" and got[3]["rejected_completion"] == "<|assistant|>\nb<|end|>\n"
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_hot_keys_join_like_others(spark, hot):
+    from marlstone.llm._common import hot_left_join
+
+    left = spark.createDataFrame([(i, "a" if i < 20 else ("b" if i < 22 else None if i == 22 else "z")) for i in range(30)], "i int, k string")
+    right = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    got = sorted((r["i"], r["k"], r["v"]) for r in hot_left_join(left, right, ["k"], "i", hot=hot).collect())
+    assert got == sorted((r["i"], r["k"], r["v"]) for r in left.join(right, "k", "left").collect())
+
+
 # ---------------------------------------------------------------------------- WARC
 
 
