@@ -17,6 +17,7 @@ capacity. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -31,16 +32,33 @@ from ._common import shuffle_partitions, stored, worker_store
 _L = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-į"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = " \t\n\r\x0b\x0c"
-#: For lower-cased texts of Latin letters below U+0130, the tokenizer file's own pattern with its classes spelled out.
-_PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _BEYOND = re.compile("[^\x09-\x0d\x20-\x7e\xa1-į]|<\\|")
 _KNOWN_MOST = 1_500_000  # words kept by a worker process
 
 
+def word_pattern(settings: dict) -> re.Pattern | None:
+    """How a tokenizer file's settings cut lower-cased texts of Latin letters below U+0130 into words, its pattern's classes spelled out.
+
+    None where the settings let neighbouring words matter: normalisers other than composition, white space and lower case,
+    other cuts than by one pattern whose matches are the words, or added tokens that do not begin with "<|".
+    """
+    normal = [(n.get("type"), n.get("content")) for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = normal == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and settings["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+    plain = plain and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+    plain = plain and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and settings.get("post_processor") is None
+    if not plain or any(not t["content"].startswith("<|") for t in settings["added_tokens"]):
+        return None
+    pattern = cuts[0]["pattern"].get("Regex", "\\")
+    for own, spelled in ((r"\p{L}", _L), (r"\p{N}", _N), (r"\s", _S)):
+        pattern = pattern.replace(own, spelled)
+    return None if "\\" in pattern else re.compile(pattern)
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer whose words do not influence each other, each different word encoded once.
 
-    Texts with anything outside the spelled-out range go to the library whole.
+    Texts with anything outside the spelled-out range go to the library whole, as do all where the file's settings are others.
     """
 
     def __init__(self, path: str):
@@ -50,6 +68,8 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.pattern = word_pattern(json.load(f))
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -62,9 +82,9 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _BEYOND.search(text):
+        if self.pattern is None or _BEYOND.search(text):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _PRETOKEN.findall(text.lower())
+        words = self.pattern.findall(text.lower())
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:

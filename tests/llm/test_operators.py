@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -251,6 +252,16 @@ def test_words_encode_as_the_library_does(text):
     assert own(text) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+@pytest.mark.parametrize("file,by_words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_whole_documents_encode_as_the_library_does(spark, file, by_words):
+    own = packing.WordTokenizer(P.path(file))
+    assert (own.pattern is not None) == by_words
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        ids = own.model.encode(r["text"] or "", add_special_tokens=False).ids
+        assert own(r["text"] or "") == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 def test_the_program_packs_what_best_fit_does_not():
     """Lengths 51, 27, 26 and 23 fill sequences of 100 without waste; best fit joins 51 with 27 and cannot."""
     import numpy as np
