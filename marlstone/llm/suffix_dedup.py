@@ -33,7 +33,7 @@ ANCHOR = 64  # bytes of an anchor
 RUN = 256  # windows of a segment at most
 HOT = 8_000  # contexts (of 455 bytes at most, so a key adds 3.6 MB to a block) of a key that are sorted together
 SENT_MOST = 200_000  # segments asked for that may be broadcast (about 20 MB)
-BLOCK = 3 << 20  # bytes of a block whose suffixes are sorted together: with the last key at most 6.6 MB, of which sorting takes about 40 times as much
+BLOCK = 1 << 20  # bytes of a block whose suffixes are sorted together: with the last key at most 4.6 MB, of which sorting takes about 60 times as much
 SORTED, WHOLE, WINDOWS = 0, 1, 2  # how a key's segments are compared
 
 
@@ -125,33 +125,34 @@ def suffix_order(text: bytes, ends: np.ndarray, wanted: np.ndarray, depth: int)
     """
     t = np.frombuffer(text, np.uint8)
     n = len(t)
-    last = ends == np.arange(n) + 1
+    places = np.arange(n, dtype=np.int32)
+    last = ends == places + 1
     following = np.append(t[1:], 0).astype(np.int16)
     rise = np.sign(following - t)
     rise[last] = -1  # the end is smaller
     # Equal neighbours share their type with the next position that differs.
-    at = np.where(rise != 0, np.arange(n), n)
+    at = np.where(rise != 0, places, np.int32(n))
     at = np.minimum.accumulate(at[::-1])[::-1]
     smaller = rise[at] > 0  # smaller than its successor
     need = np.zeros(n, bool)
     need[wanted] = True
     # Larger ones are induced from their successors: add those up to the next smaller one.
-    stop = np.where(smaller | last, np.arange(n), n)
+    stop = np.where(smaller | last, places, np.int32(n))
     stop = np.minimum.accumulate(stop[::-1])[::-1]
-    reach = np.zeros(n + 1, np.int64)
+    reach = np.zeros(n + 1, np.int32)
     np.add.at(reach, wanted, 1)
     np.add.at(reach, stop[wanted] + 1, -1)
     need |= np.cumsum(reach[:n]) > 0
 
     # Stage one: direct.
-    direct = np.flatnonzero(need & smaller)
+    direct = places[need & smaller]
     direct = direct[_by_bytes(text, direct, np.minimum(direct + depth, ends[direct]))]
     by_first = np.searchsorted(t[direct], np.arange(257))
 
     # Stage two: buckets of first bytes in order; whoever precedes a sorted suffix and is larger goes next into its own bucket.
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induce = need & ~smaller
-    for i in np.flatnonzero(induce & last):
+    for i in places[induce & last]:
         induced[t[i]].append(np.array([i]))
     starts = np.zeros(n + 1, bool)
     starts[0], starts[1:] = True, last
@@ -215,8 +216,8 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, which of its windows of ``length`` bytes occur at another place in these contexts."""
     text = b"".join(contexts)
     sizes = np.array([len(c) for c in contexts])
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    wanted = np.flatnonzero(np.arange(len(text)) + length <= ends)
+    ends = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)  # a block is far below 2^31 bytes
+    wanted = np.flatnonzero(np.arange(len(text), dtype=np.int32) + length <= ends).astype(np.int32)
     order = suffix_order(text, ends, wanted, length)
     prefix = common_prefixes(text, order, length)
     twice = np.zeros(len(text), bool)
