@@ -539,6 +539,7 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     if still.limit(1).count():
         links = links.union(_linked(_towards_hubs(still), ids, texts, k, percent))
         labels = classes_of(links)
+    forget(pairs, still)
 
     # Classes of signatures, named by their smallest document.
     named = members.select("sig", "id").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
