@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import tempfile
 import types
@@ -78,6 +79,14 @@ def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from:
     return marked.join(others, [*keys, "_salt"], "left").drop("_salt")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Numbers and texts that the driver holds, as a table that the JVM reads from one JSON literal (createDataFrame would start Python workers)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    fields = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker process, so later tasks find what earlier ones loaded."""
     module = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store"))

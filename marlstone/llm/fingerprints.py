@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import salted_left_join, shuffle_partitions
+from ._common import salted_left_join, shuffle_partitions, small_table
 
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
@@ -109,8 +109,9 @@ def with_successor(docs: DataFrame, id_col: str, carried: list[str], derived: Co
     whole = lambda rows, guest: (rows if derived is None else rows.withColumn("_d", derived).select("*", "_d.*").drop("_d")).withColumn("_guest", F.lit(guest))
     rows = whole(ranged, False)
     if tops:
-        above = [(top, top_tie, tops[(i + 1) % len(tops)][0]) for i, (_, top, top_tie) in enumerate(tops)]
-        guests = F.broadcast(spark.createDataFrame(above, f"_top {kind.simpleString()}, _top_tie long, _to int"))
+        above = [(None if top is None else str(top), top_tie, tops[(i + 1) % len(tops)][0]) for i, (_, top, top_tie) in enumerate(tops)]
+        guests = small_table(spark, above, "_top string, _top_tie long, _to int").withColumn("_top", F.col("_top").cast(kind))
+        guests = F.broadcast(guests)  # a row a range
         sent = ranged.join(guests, F.col(id_col).eqNullSafe(F.col("_top")) & (F.col("_tie") == F.col("_top_tie")))
         rows = rows.unionByName(whole(sent.withColumn("_range", F.col("_to")).drop("_top", "_top_tie", "_to"), True))
     order = Window.partitionBy("_range").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col("_tie").desc())

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import forget, hot_left_join, shuffle_partitions, stored
+from ._common import forget, hot_left_join, shuffle_partitions, small_table, stored
 
 DIMENSIONS = ("d_id", "d_length", "d_lang", "d_source")
 _BITS, _BIN_BITS = 62, 10
@@ -65,7 +65,7 @@ SENT_MOST = 200_000  # rows of a level's cuts that may be broadcast (about 20 MB
 
 def _per_node(placed: DataFrame, rows: list[tuple], schema: str, how: str = "inner") -> DataFrame:
     """``placed`` with the columns that ``rows`` give for its nodes. There are as many rows as nodes of a level, or leaves."""
-    table = placed.sparkSession.createDataFrame(rows, f"node long, {schema}")
+    table = small_table(placed.sparkSession, rows, f"node long, {schema}")
     return placed.join(F.broadcast(table) if len(rows) <= SENT_MOST else table, "node", how)
 
 
