@@ -62,7 +62,7 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str | list[str], sa
     return joined.drop("_salt")
 
 
-def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from: str, counts: DataFrame | None = None, salts: int = 16, hot: int = 10_000) -> DataFrame:
+def hot_left_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from: str, counts: DataFrame | None = None, salts: int = 16, hot: int = 1_000) -> DataFrame:
     """The same for a right side as large as the left one: only keys with over ``hot`` rows are salted.
 
     ``counts`` (keys, _rows) saves counting them. Results are the same whatever is hot; there are at most rows / ``hot`` such keys.
