@@ -33,8 +33,49 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.leas
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS least FROM r GROUP BY 1) m ON m.a = d.doc_id
 """
 
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+_LEAF = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _FIELDS)
+_TEXT = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_BITS = "lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC = f"""xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda a, b: list_reduce([xor(a, b)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), {_BITS})), 4294967295)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All levels over the nodes of (tree, pos, n, node)."""
+    return f"""{name} AS (SELECT 0 AS level, tree, pos, n, node FROM {leaves}
+  UNION ALL SELECT level + 1, tree, pos // 16, (max(n) + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY level, tree, pos // 16)"""
+
+
+def _folds(name: str, begin: str, tree: str) -> str:
+    """Every row's node folded with its siblings up a tree, and the siblings so far."""
+    return f"""{name} AS (SELECT 0 AS level, row, tree, pos, node, sib FROM {begin}
+  UNION ALL SELECT f.level + 1, f.row, f.tree, f.pos // 16, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.node ELSE t.node END, '' ORDER BY t.pos)),
+    f.sib || string_agg(CASE WHEN t.pos = f.pos THEN '' ELSE t.node END, '' ORDER BY t.pos)
+  FROM {name} f JOIN {tree} t ON t.level = f.level AND t.tree = f.tree AND t.pos // 16 = f.pos // 16 AND t.n > 1 GROUP BY f.level, f.row, f.tree, f.pos, f.node, f.sib)"""
+
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_LEAF} || {_TEXT.format('text')}) AS leaf,
+  CASE WHEN {_CRC} % 5 = 0 THEN sha256({_LEAF} || {_TEXT.format(f"translate(text, '{_UPPER}', '{_LOWER}')")}) END AS other FROM documents),
+p AS (SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, leaf AS node FROM d),
+{_tree('t', 'p')},
+s AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, node FROM t WHERE n = 1),
+{_tree('u', 's')},
+p0 AS (SELECT row, tree, pos, coalesce(other, leaf) AS node, '' AS sib FROM p),
+{_folds('f', 'p0', 't')},
+f0 AS (SELECT row, 0 AS tree, tree AS pos, node, sib FROM f QUALIFY level = max(level) OVER (PARTITION BY row)),
+{_folds('g', 'f0', 'u')},
+e AS (SELECT row, node AS folded_root, sib FROM g QUALIFY level = max(level) OVER (PARTITION BY row)),
+r AS (SELECT node AS root FROM u WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.node AS subroot, root, sha256(sib) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN e ON p.row = e.row JOIN s ON s.pos = p.tree, r
+"""
+
 ORACLE: dict[str, str] = {
     "op8_chat_formatting": preference.ORACLE_SQL,
     "op9_benchmark_decontamination": _DECONTAMINATION,
     "op10_ngram_jaccard_join": _JACCARD,
+    "op11_merkle_manifest": _MERKLE,
 }

@@ -9,6 +9,7 @@ from ._common import table
 from .decontaminate import contaminated_documents
 from .fingerprints import fingerprint_report
 from .jaccard import jaccard_classes
+from .merkle import proof_report
 from .oracles import ORACLE
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -59,6 +60,10 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return proof_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +77,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_benchmark_decontamination,
         op10_ngram_jaccard_join,
+        op11_merkle_manifest,
     )
 }
 
