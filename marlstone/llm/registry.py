@@ -13,6 +13,7 @@ from .merkle import proof_report
 from .oracles import ORACLE
 from .packing import pack_documents
 from .sharding import shard_documents
+from .simhash import simhash_classes
 from .suffix_dedup import suffix_report
 from .token_counts import count_tokens_once
 from .toxicity import score_documents, train
@@ -64,6 +65,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return proof_report(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_near_dedup(spark, sf_dir):
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +83,7 @@ QUERIES = {
         op9_benchmark_decontamination,
         op10_ngram_jaccard_join,
         op11_merkle_manifest,
+        op12_simhash_near_dedup,
     )
 }
 
