@@ -14,6 +14,7 @@ from .oracles import ORACLE
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import simhash_classes
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_report
 from .token_counts import count_tokens_once
 from .toxicity import score_documents, train
@@ -69,6 +70,10 @@ def op12_simhash_near_dedup(spark, sf_dir):
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op10_ngram_jaccard_join,
         op11_merkle_manifest,
         op12_simhash_near_dedup,
+        op13_spelling_variants,
     )
 }
 
