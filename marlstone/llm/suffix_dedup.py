@@ -16,8 +16,9 @@ A byte is removed if a string of ``length`` (200) bytes over it also starts anyw
 3. Cutting. The repeated windows of a document meet its text and their bytes are cut.
 
 Strings are judged on the input, and never cross documents. Nulls are empty texts; shorter texts
-than ``length`` are kept whole; repeated rows, and rows without an id, are documents of their own, so their long
-texts go whole; an empty table gives no rows. Extra columns are ignored.
+than ``length`` are kept whole; an empty table gives no rows. Extra columns are ignored. Repeated rows are documents of
+their own, and so are rows without an id: where rows are equal in id and text, every string of theirs repeats, so one of them
+is compared with the others and all of them go. Rows are told apart by 128 bits of hashes of id, length and text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import hot_left_join, stored
 from ._hashing import Powers, Rolling, in_chunks, sliding, text_buffers
 
 ANCHOR = 64  # bytes of an anchor
@@ -87,7 +88,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
                     names=["key", "context", "k", "th", "at", "n", "inner"],
                 )
 
-    return docs.mapInArrow(rows, "key long, context long, k long, th int, at int, n int, inner boolean")
+    return docs.mapInArrow(rows, "key long, context long, k long, th long, at int, n int, inner boolean")
 
 
 # ---------------------------------------------------------------------------- suffix arrays
@@ -232,7 +233,7 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
-SPANS = "k long, th int, at int, n int"
+SPANS = "k long, th long, at int, n int"
 
 
 def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
@@ -257,7 +258,7 @@ def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
                     for column, value in zip(out, (k, th, at + start, n)):
                         column.append(value)
             held.clear()
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["k", "th", "at", "n"])
 
         for batch in batches:
@@ -278,15 +279,22 @@ def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
-    """k (the id; the least long for null) and th (hash of the text)."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return [key.alias("k"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int").alias("th")]
+    """k and th: 64 bits each of id and text, and of length and text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.col(id_col).cast("long"), text).alias("k"), F.xxhash64(F.octet_length(text), text).alias("th")]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _repeated_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(k, th, size, _rows) of rows with equal id and text, where the text has ``length`` bytes or more."""
+    size = F.octet_length("text")
+    rows = texts.filter(size >= length).groupBy("k", "th").agg(F.count(F.lit(1)).alias("_rows"), F.min(size).alias("size"))
+    return stored(rows.filter("_rows > 1"), "repeated-rows")
+
+
 def _fetched(texts: DataFrame, asked: DataFrame, length: int, few: bool = False) -> DataFrame:
     """(key, k, th, at, n, digest, context) of the segments asked for.
 
@@ -300,7 +308,7 @@ def _fetched(texts: DataFrame, asked: DataFrame, length: int, few: bool = False)
 
         import pyarrow as pa
 
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         names = ["key", "k", "th", "at", "n", "digest", "context"]
         digest = lambda raw: hashlib.blake2b(raw, digest_size=16).digest()
         powers = Powers()
@@ -329,12 +337,16 @@ def _fetched(texts: DataFrame, asked: DataFrame, length: int, few: bool = False)
                     size, out = 0, tuple([] for _ in types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    return texts.join(F.broadcast(lists) if few else lists, ["k", "th"]).mapInArrow(fetch, "key long, k long, th int, at int, n int, digest binary, context binary")
+    return texts.join(F.broadcast(lists) if few else lists, ["k", "th"]).mapInArrow(fetch, "key long, k long, th long, at int, n int, digest binary, context binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (the id; the least long for null), th (hash of the text), spans: array of (at, n), n windows from byte at on that repeat."""
-    texts = _texts(docs, id_col, text_col)
+def repeated_spans(texts: DataFrame, repeated: DataFrame, length: int = 200) -> DataFrame:
+    """(k, th, spans) of rows (k, th, text): arrays of (at, n), n windows from byte at on that repeat. ``repeated`` has the keys of several rows."""
+    some = bool(repeated.limit(1).count())
+    if some:  # one of them stands for all
+        stands = repeated.select("k", "th")
+        first = texts.join(stands, ["k", "th"], "left_semi").groupBy("k", "th").agg(F.first("text").alias("text"))
+        texts = texts.join(stands, ["k", "th"], "left_anti").unionByName(first)
     segs = _segment_rows(texts, length)
     keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"), F.max("context").alias("high"), F.max("inner").alias("inner"))
     # A table of its own, so that both sides of the join are dealt anew and Spark can split a hot key's rows.
@@ -359,9 +371,22 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         windows = more.filter("digest is not null")
         twice = windows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "digest")
         spans = spans.unionByName(windows.join(twice, ["key", "digest"]).select("k", "th", "at", "n"))
+    if some:
+        spans = spans.join(stands, ["k", "th"], "left_anti").unionByName(repeated.select("k", "th", F.lit(0).alias("at"), (F.col("size") - length + 1).cast("int").alias("n")))
     return spans.groupBy("k", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
+def _with_spans(rows: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """Adds k, th, spans to every row; many equal rows are dealt over tasks."""
+    texts = _texts(rows, id_col, text_col)
+    repeated = _repeated_rows(texts, length)
+    spans = repeated_spans(texts, repeated, length)
+    keyed = rows.select("*", *_keys(id_col, text_col))
+    if not repeated.limit(1).count():
+        return keyed.join(spans, ["k", "th"], "left")
+    return hot_left_join(keyed.withColumn("_at", F.monotonically_increasing_id()), spans, ["k", "th"], "_at", repeated.select("k", "th", "_rows")).drop("_at")
+
+
 def _cut(own: np.ndarray, spans: list | None, length: int, whole_characters: bool) -> np.ndarray:
     """Which bytes of a text its repeated windows cover."""
     if not spans:
@@ -378,11 +403,11 @@ def _cut(own: np.ndarray, spans: list | None, length: int, whole_characters: boo
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: k, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
 
     ``whole_characters`` leaves every character of which a byte is not covered, so that ``kept`` is text.
     """
-    texts = _texts(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches):
         import hashlib
@@ -390,19 +415,19 @@ def cut_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = Fal
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
+            data, offsets = text_buffers(batch.column(1))
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, (k, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+            for i, (k, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 own = data[offsets[i] : offsets[i + 1]]
                 gone = _cut(own, spans, length, whole_characters)
                 kept = own[~gone].tobytes()
                 for column, value in zip(out, (k, len(own), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept)):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = texts.join(repeated_spans(docs, length, id_col, text_col), ["k", "th"], "left")
-    return found.mapInArrow(cut, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = _with_spans(texts, "id", "text", length).select("id", "text", "spans")
+    return found.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,12 +436,11 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     Rows are dropped of which something was cut and nothing but white space is left.
     """
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = docs.select(own, *_keys(id_col, text_col))
-    spans = repeated_spans(docs, length, id_col, text_col)
+    keyed = docs.select(own, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     extra = "spans"
     while extra in docs.columns:
         extra += "_"
-    rows, at = keyed.join(spans, ["k", "th"], "left").select("row.*", F.col("spans").alias(extra)), docs.columns.index(text_col)
+    rows, at = _with_spans(keyed, "id", "text", length).select("row.*", F.col("spans").alias(extra)), docs.columns.index(text_col)
 
     def cut(batches):
         import pyarrow as pa
@@ -439,4 +463,4 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
 def suffix_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = cut_repeats(docs, length, False, id_col, text_col)
-    return rows.select(F.nullif("k", F.lit(-(1 << 63))).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -194,6 +194,43 @@ def test_null_ids_and_repeated_rows_count_as_documents(spark):
     assert got == sorted(r[1:] for r in brute_cut([(i or 0, t) for i, t in rows], 200))
 
 
+def test_texts_without_ids_that_share_half_a_hash_stay_apart(spark):
+    """Pairs of texts, short and long, whose 64-bit hashes begin with the same 32 bits: neither is cut as the other is."""
+    import xxhash
+
+    rng = random.Random(4)
+    base = {n: prose(rng, n) for n in (12, 80, 130)}
+    half = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 32
+    cases = []
+    for short in (12, 130):  # one too short for the other's spans, one longer
+        known = {half(t): t for t in (f"{i} {base[short]}" for i in range(250_000))}
+        cases.append(next((known[h], t) for t in (f"{base[80]} {i}" for i in range(250_000)) if (h := half(t)) in known))
+    for other, long in cases:
+        rows = [(None, other), (None, long), (3, "another " + long)]
+        assert half(other) == half(long)
+        got = sorted(tuple(r)[1:] for r in suffix_dedup.suffix_report(frame(spark, rows)).collect())
+        assert got == sorted(r[1:] for r in brute_cut([(i or 0, t) for i, t in rows], 200))
+        kept = {(r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(frame(spark, rows)).collect()}
+        assert (None, other) in kept and len(kept) >= 2
+
+
+def test_many_rows_without_ids_of_one_text_are_dealt_over_tasks(spark, monkeypatch):
+    rng = random.Random(6)
+    hot, own = prose(rng, 60), prose(rng, 70)
+    rows = [(None, hot)] * 3000 + [(1, own + hot), (2, own)]
+    df = suffix_dedup._with_spans(frame(spark, rows, 6).select("doc_id", "text"), "doc_id", "text", 200)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = collections.Counter(r[0] for r in df.filter("doc_id is null").selectExpr("spark_partition_id()").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(parts.values()) == 3000 and len(parts) > 1
+    got = collections.Counter(tuple(r) for r in suffix_dedup.suffix_report(frame(spark, rows, 6)).collect())
+    raw = (own + hot).encode()
+    assert got[None, len(hot.encode()), len(hot.encode()), 1, hashlib.sha256(b"").hexdigest()] == 3000
+    assert got[1, len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest()] == 1  # own repeats too
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(2)
     for _ in range(60):
