@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,96 @@ def shared_path(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: later steps read it instead of working it out anew."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "numbered") -> tuple[DataFrame, DataFrame]:
+    """(``df`` with _place, from 0 in ``order`` within equal ``by``; table of by, _size).
+
+    Rows are dealt by ranges of the sorted keys and counted there; the sizes of the ranges before are added. No task holds a key.
+    """
+    by = by or []
+    keys = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = written(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), name)
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]) if by else F.lit(0)
+    rows = rows.withColumn("_key", key)
+    ranges = rows.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy("_key")  # a row a range
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("_key", "_range", (before - F.col("_first")).alias("_start"))
+    placed = rows.join(starts, ["_key", "_range"]).withColumn("_place", F.col("_start") + F.col("_at"))
+    sizes = ranges.groupBy("_key").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.select(*[F.col(f"_key.k{i}").alias(c) for i, c in enumerate(by)], "_size") if by else sizes.select("_size")
+    return placed.select(*df.columns, "_place"), sizes
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], cells: int = 256, most: int = 50_000) -> DataFrame:
+    """by and a column for each share: exact quantiles of ``column``, between two neighbours in proportion; nulls are left out.
+
+    Every wanted rank has a range of values. While one holds over ``most`` rows, it is cut into ``cells`` cells by a sketch, the rows
+    of each are counted and the one with the rank is the next range, for all groups and ranks at once. Then only the
+    different values in the ranges are sorted, at most ``most`` of each.
+    """
+    rows = df.filter(F.col(column).isNotNull()).select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("all")).alias("_key"), F.col(column).cast("double").alias("_v"))
+    whole = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    at = (F.col("_n") - 1) * F.col("_p.share")
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("share")) for name, q in shares.items()])
+    ranks = whole.withColumn("_p", F.explode(wanted)).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
+    spans = written(ranks.groupBy("_key", "_rank", "_low", "_high").agg(F.max("_n").alias("_in")).withColumn("_below", F.lit(0).cast("long")), "quantile-spans")
+    inside = lambda: rows.join(spans, "_key").filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+    large = (F.col("_in") > most) & (F.col("_low") < F.col("_high"))
+    while spans.filter(large).limit(1).count():
+        some = inside().filter(large)
+        cuts = some.groupBy("_key", "_rank").agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts"))
+        cell = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+        found = some.join(cuts, ["_key", "_rank"]).groupBy("_key", "_rank", "_below", cell.alias("_cell"), (F.col("_v") == F.get("_cuts", cell - 1)).alias("_cut"))
+        found = found.agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = F.coalesce(F.sum("_in").over(Window.partitionBy("_key", "_rank").orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = found.withColumn("_below", F.col("_below") + before).filter((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_in")))
+        spans = written(found.select(*spans.columns).unionByName(spans.filter(~large)), "quantile-spans")
+    values = inside().groupBy("_key", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_key", "_rank").orderBy("_v"))
+    values = values.withColumn("_upto", F.col("_below") + upto).filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+    known = values.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))  # two ranks a share
+    out = known.join(whole, "_key")
+    columns = []
+    for name, q in shares.items():
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        a, b = F.element_at("_m", F.floor(place)), F.element_at("_m", F.ceil(place))
+        columns.append((a + (place - F.floor(place)) * (b - a)).alias(name))
+    return out.select(*[F.col(f"_key.k{i}").alias(c) for i, c in enumerate(by)], *columns)
+
+
+def first_by_hash(df: DataFrame, n: int, ids: list[str], seed: int = 0, most: int = 10_000) -> DataFrame:
+    """The first ``n`` rows by (hash of ``ids``, ids). Where they end is found by counts of hash prefixes, made longer until few rows share one; the rest is a filter."""
+    if n <= 0:
+        return df.limit(0)
+    rows = df.withColumn("_order", hash_order(*ids, seed=seed))
+    prefix, need = "", n
+    while True:
+        here = rows.filter(F.col("_order").startswith(prefix)) if prefix else rows
+        counts = {r[0]: r[1] for r in here.groupBy(F.substring("_order", 1, len(prefix) + 3)).count().collect()}  # 4,096 at most
+        for p in sorted(counts):
+            if need <= counts[p]:
+                break
+            need -= counts[p]
+        else:
+            return df  # no more than n rows
+        prefix = p
+        if counts[p] <= most or len(prefix) >= 30:
+            break
+    key = F.struct("_order", *ids)
+    last = rows.filter(F.col("_order").startswith(prefix)).groupBy("_order", *ids).count().orderBy("_order", *ids).withColumn("_upto", F.sum("count").over(Window.orderBy("_order", *ids)))
+    cut = last.filter(F.col("_upto") >= need).orderBy("_order", *ids).first()
+    end = F.struct(F.lit(cut["_order"]).alias("_order"), *[F.lit(cut[c]).cast(df.schema[c].dataType).alias(c) for c in ids])
+    if cut["_upto"] == need:
+        return rows.filter(key <= end).drop("_order")
+    # Of rows alike in hash and ids, as many as still fit.
+    return rows.filter(key < end).unionByName(rows.filter(key == end).limit(need - (cut["_upto"] - cut["count"]))).drop("_order")

@@ -6,45 +6,79 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start_s, end_s: unions of overlapping or touching intervals; empty intervals are dropped."""
-    order = Window.partitionBy(*keys).orderBy("start_s", "end_s")
-    before = F.max("end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.filter("end_s > start_s").select(*keys, "start_s", "end_s")
-    rows = rows.withColumn("new", F.when(before.isNull() | (F.col("start_s") > before), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("island")
+def _parts(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Adds _part, rising with start_s: ranges of about equally many rows of a key, so a key may hold most rows."""
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("start_s", [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    return rows.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("start_s")))).drop("_cuts")
+
+
+def _island_starts(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, _part, start_s, _before) of intervals that begin after all before them have ended, at _before; and keys, _part, _last, the end of all.
+
+    The running end is taken inside ranges of time, from the largest end of the ranges before.
+    """
+    rows = _parts(df.filter("end_s > start_s").select(*keys, "start_s", "end_s"), keys, parts)
+    ends = rows.groupBy(*keys, "_part").agg(F.max("end_s").alias("_top"))
+    whole = Window.partitionBy(*keys)  # a row a range
+    carry = F.max("_top").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_part", carry.alias("_carry"), F.max("_top").over(whole).alias("_last"))
+    within = Window.partitionBy(*keys, "_part").orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_end", F.max("end_s").over(within)).join(ends, [*keys, "_part"]).withColumn("_before", F.greatest("_end", "_carry"))
+    starts = rows.filter("_before is null or start_s > _before").select(*keys, "_part", "start_s", "_before")
+    return starts, ends.select(*keys, "_part", "_last")
+
+
+def merge_intervals(df: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
+    """keys, start_s, end_s: unions of overlapping or touching intervals; empty intervals are dropped. A union ends where the next one's start found the running end."""
+    starts, ends = _island_starts(df, keys, parts)
+    heads = starts.groupBy(*keys, "_part").agg(F.min_by(F.struct("_before"), "start_s").alias("_head"))
+    later = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # a row a range
+    ahead = ends.join(heads, [*keys, "_part"], "left").withColumn("_next", F.first("_head", ignorenulls=True).over(later))
+    following = F.lead("_before").over(Window.partitionBy(*keys, "_part").orderBy("start_s"))
+    rows = starts.withColumn("_then", following).join(ahead.select(*keys, "_part", "_next", "_last"), [*keys, "_part"])
+    return rows.select(*keys, "start_s", F.coalesce("_then", "_next._before", "_last").alias("end_s"))
 
 
 def crop_intervals(segments: DataFrame, regions: DataFrame, key: str = "uri") -> DataFrame:
-    """Segments cut to the valid regions of their recording; recordings without regions are kept as they are."""
+    """Segments cut to the valid regions of their recording; recordings without regions are kept as they are.
+
+    Both sides lie in cells of time, as wide as an interval is on average, and meet by recording and cell: a pair counts in the first cell
+    that both lie in, so pairs looked at grow with the segments, not with their product.
+    """
+    span = lambda a, b: F.sum(F.abs(F.col(b) - F.col(a)))
+    sizes = segments.agg(span("start_s", "end_s").alias("s"), F.count(F.lit(1)).alias("n")).unionByName(regions.agg(span("start_s", "end_s").alias("s"), F.count(F.lit(1)).alias("n")))
+    width = sizes.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(F.when(F.col("s") > 0, F.col("s") / F.col("n")).otherwise(1.0).alias("_width"))  # one row
     r = regions.select(F.col(key).alias("_key"), F.col("start_s").alias("_from"), F.col("end_s").alias("_to"))
-    joined = segments.join(r, (F.col(key) == F.col("_key")) & (F.col("start_s") < F.col("_to")) & (F.col("end_s") > F.col("_from")))
+
+    def celled(df, a, b):
+        cell = lambda t: F.floor(t / F.col("_width")).cast("long")
+        low = cell(F.least(a, b))
+        return df.join(F.broadcast(width)).withColumn("_low", low).withColumn("_cell", F.explode(F.sequence(low, cell(F.greatest(a, b)))))
+
+    left, right = celled(segments, "start_s", "end_s").drop("_width"), celled(r, "_from", "_to").drop("_width").withColumnsRenamed({"_low": "_low_r", "_cell": "_cell_r"})
+    meets = (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_cell_r")) & (F.col("_cell") == F.greatest("_low", "_low_r"))
+    joined = left.join(right, meets & (F.col("start_s") < F.col("_to")) & (F.col("end_s") > F.col("_from")))
     cut = joined.withColumn("start_s", F.greatest("start_s", "_from")).withColumn("end_s", F.least("end_s", "_to"))
     free = segments.join(regions.select(key).distinct(), key, "left_anti")
     return cut.select(*segments.columns).unionByName(free.select(*segments.columns))
 
 
-def interval_gaps(speech: DataFrame, extents: DataFrame | None = None, key: str = "uri") -> DataFrame:
+def interval_gaps(speech: DataFrame, extents: DataFrame | None = None, key: str = "uri", parts: int = 64) -> DataFrame:
     """key, start_s, end_s: what lies between merged intervals, inside the extent of the recording.
 
     ``extents`` holds key, start_s, end_s; where it has no row the intervals' own extent counts.
     """
-    merged = merge_intervals(speech, [key])
-    own = merged.groupBy(key).agg(F.min("start_s").alias("own_from"), F.max("end_s").alias("own_to"))
-    if extents is not None:
-        given = extents.groupBy(key).agg(F.min("start_s").alias("given_from"), F.max("end_s").alias("given_to"))
-        own = own.join(given, key, "full_outer")
-        own = own.select(key, F.coalesce("given_from", "own_from").alias("low"), F.coalesce("given_to", "own_to").alias("high"))
-    else:
-        own = own.select(key, F.col("own_from").alias("low"), F.col("own_to").alias("high"))
-    order = Window.partitionBy(key).orderBy("start_s")
-    rows = merged.join(own, key, "right").withColumn("next", F.lead("start_s").over(order)).withColumn("previous", F.lag("end_s").over(order))
-    head = F.struct(F.col("low").alias("start_s"), F.coalesce("start_s", "high").alias("end_s"))
-    tail = F.struct(F.col("end_s").alias("start_s"), F.coalesce("next", "high").alias("end_s"))
-    gaps = F.array_compact(F.array(F.when(F.col("previous").isNull(), head), F.when(F.col("end_s").isNotNull(), tail)))
-    out = rows.select(key, "low", "high", F.explode(gaps).alias("gap"))
-    out = out.select(key, F.greatest("gap.start_s", "low").alias("start_s"), F.least("gap.end_s", "high").alias("end_s"))
+    starts, _ = _island_starts(speech, [key], parts)
+    between = starts.filter("_before is not null").select(key, F.col("_before").alias("start_s"), F.col("start_s").alias("end_s"))
+    if extents is None:
+        return between
+    own = speech.filter("end_s > start_s").groupBy(key).agg(F.min("start_s").alias("own_from"), F.max("end_s").alias("own_to"))
+    given = extents.groupBy(key).agg(F.min("start_s").alias("given_from"), F.max("end_s").alias("given_to"))
+    own = own.join(given, key, "full_outer").withColumn("low", F.coalesce("given_from", "own_from")).withColumn("high", F.coalesce("given_to", "own_to"))
+    pair = lambda a, b: F.struct(F.col(a).alias("start_s"), F.coalesce(b, "high").alias("end_s"))
+    sides = own.select(key, "low", "high", F.inline(F.array_compact(F.array(pair("low", "own_from"), F.when(F.col("own_to").isNotNull(), pair("own_to", "high"))))))
+    gaps = between.join(own.select(key, "low", "high"), key).unionByName(sides)
+    out = gaps.select(key, F.greatest("start_s", "low").alias("start_s"), F.least("end_s", "high").alias("end_s"))
     return out.filter("end_s > start_s")
 
 

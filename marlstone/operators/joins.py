@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order, hash_unit
+from .common import hash_order, hash_unit, numbered
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -14,11 +14,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def pair_predictions(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two runs, other columns with suffixes _a and _b."""
+    """Inner join of two runs, other columns with suffixes _a and _b. ``keys`` have to be unique on either side: ``duplicate_keys`` tells."""
     named = lambda df, s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in keys])
     return named(a, "a").join(named(b, "b"), keys)
 
 
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n of those with more than one row."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def pairing_report(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row: matched, only_a, only_b, and pairs whose ground truths differ."""
     left = a.select(*keys, F.col("ground_truth").alias("truth_a"), F.lit(1).alias("in_a"))
@@ -52,12 +57,15 @@ def leakage_audit(df: DataFrame, group: str, split: str) -> tuple[DataFrame, Dat
 
 
 def assign_noise(clips: DataFrame, pool: DataFrame, seed: int = 0, snr_low: float = 0.0, snr_high: float = 20.0, share: float = 1.0, clip_key: str = "clip_id", pool_key: str = "noise_id", type_col: str | None = None) -> DataFrame:
-    """Clips with noise_id (of the clip's type, where given), snr_db and applied; picks follow the clip's hash, not the order of rows."""
+    """Clips with noise_id (of the clip's type, where given), snr_db and applied; picks follow the clip's hash, not the order of rows.
+
+    The pool is numbered by ranges of its key, so it may be of any size.
+    """
     by = [type_col] if type_col else []
-    members = pool.withColumn("_slot", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(pool_key)) - 1)
-    sizes = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    pick = F.floor(hash_unit(clip_key, seed=seed) * F.col("_n")).cast("int")
-    rows = clips.join(sizes, by) if by else clips.join(sizes)
+    members, sizes = numbered(pool.select(*by, pool_key), [pool_key], by, "noise-pool")
+    members, sizes = members.withColumnRenamed("_place", "_slot"), sizes.withColumnRenamed("_size", "_n")
+    pick = F.floor(hash_unit(clip_key, seed=seed) * F.col("_n")).cast("long")
+    rows = clips.join(sizes, by) if by else clips.join(F.broadcast(sizes))
     rows = rows.withColumn("_slot", pick).join(members.select(*by, "_slot", pool_key), [*by, "_slot"])
     snr = F.lit(snr_low) + hash_unit(clip_key, seed=seed + 1) * F.lit(snr_high - snr_low)
     return rows.withColumn("snr_db", snr).withColumn("applied", hash_unit(clip_key, seed=seed + 2) < share).drop("_slot", "_n")

@@ -18,16 +18,17 @@ def seed_summary(df: DataFrame, seed: str = "run") -> DataFrame:
 
 
 def seed_disagreements(df: DataFrame, order: list[str], seed: str = "run", clip: str = "clip_id") -> DataFrame:
-    """clip, predictions (seed=prediction), n_seeds, share_correct, agreement of clips whose predictions differ; clips of the smallest seed, first row of each (seed, clip)."""
-    place = F.row_number().over(Window.partitionBy(seed, clip).orderBy(*order))
-    rows = df.withColumn("_place", place).filter("_place = 1")
-    least = rows.agg(F.min(seed).alias("_least"))
-    base = rows.join(F.broadcast(least), F.col(seed) == F.col("_least")).select(clip)
-    pair = F.concat_ws("=", F.col(seed).cast("string"), "prediction")
-    out = rows.groupBy(clip).agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("predictions"), F.count(F.lit(1)).alias("n_seeds"), F.avg(F.col("correct").cast("int")).alias("share_correct"), F.sum((F.col("prediction") == "SPEECH").cast("long")).alias("_yes"))
-    out = out.filter((F.col("_yes") > 0) & (F.col("_yes") < F.col("n_seeds")))
-    out = out.withColumn("agreement", F.greatest(F.col("_yes"), F.col("n_seeds") - F.col("_yes")) / F.col("n_seeds")).drop("_yes")
-    return out.join(base, clip, "left_semi")
+    """clip, ground_truth, predictions and correct_flags (maps by seed), n_seeds, agreement_rate (share of right ones) of clips with more than one prediction.
+
+    Clips are those of the smallest seed, whose ground truth counts; of several rows of a seed and clip the first by ``order``.
+    """
+    rows = df.select(seed, clip, F.struct("prediction", "correct", "ground_truth").alias("_v"), F.struct(*order).alias("_o"))
+    rows = rows.groupBy(seed, clip).agg(F.min_by("_v", "_o").alias("_v"))
+    least = df.agg(F.min(seed).alias("_least"))
+    entry = lambda field: F.map_from_entries(F.array_sort(F.collect_list(F.struct(seed, f"_v.{field}"))))
+    out = rows.groupBy(clip).agg(F.min(seed).alias("_first"), F.min_by("_v.ground_truth", seed).alias("ground_truth"), entry("prediction").alias("predictions"), entry("correct").alias("correct_flags"), F.count(F.lit(1)).alias("n_seeds"), F.avg(F.col("_v.correct").cast("int")).alias("agreement_rate"), F.countDistinct("_v.prediction").alias("_different"))
+    out = out.filter("_different > 1").join(F.broadcast(least), F.col("_first") == F.col("_least"))  # one row
+    return out.drop("_first", "_least", "_different")
 
 
 def ablation_summary(log: DataFrame, experiment: str, value: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import quantiles
+
 POSITIVE, NEGATIVE = "SPEECH", "NONSPEECH"
 
 
@@ -126,9 +128,11 @@ def score_distribution(df: DataFrame, bins: int = 30, score: str = "score", trut
 
 
 def score_quartiles(df: DataFrame, score: str = "score", truth: str = "ground_truth", accuracy: int | None = None) -> DataFrame:
-    """truth, q25, median, q75. Exact ones keep a class's distinct scores in one task; ``accuracy`` takes percentile_approx with it instead."""
-    at = (lambda q: F.percentile(score, q)) if accuracy is None else (lambda q: F.percentile_approx(score, q, accuracy))
-    return df.groupBy(truth).agg(*[at(q).alias(name) for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
+    """truth, q25, median, q75: exact, by narrowing ranges of scores, or by percentile_approx with ``accuracy``."""
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    if accuracy is None:
+        return quantiles(df, [truth], score, shares)
+    return df.groupBy(truth).agg(*[F.percentile_approx(score, q, accuracy).alias(name) for name, q in shares.items()])
 
 
 def class_separation(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -177,11 +181,24 @@ def vad_decision(frames: DataFrame, rule: str, threshold: float = 0.5, key: str
     return out.withColumn("prediction", F.when(decided, POSITIVE).otherwise(NEGATIVE)).withColumn("confidence", sure)
 
 
-def clip_vote(df: DataFrame, clip: str = "clip_id") -> DataFrame:
-    """clip, ground_truth, prediction by majority over its rows (ties: positive), correct, n_votes."""
-    votes = df.groupBy(clip).agg(F.min("ground_truth").alias("ground_truth"), F.sum((F.col("prediction") == POSITIVE).cast("long")).alias("yes"), F.count(F.lit(1)).alias("n_votes"))
+def clip_vote(df: DataFrame, clip: str = "clip_id", by: list[str] | None = None) -> DataFrame:
+    """by, clip, ground_truth, prediction by majority over its rows (ties: positive), correct, n_votes."""
+    by = by or []
+    votes = df.groupBy(*by, clip).agg(F.min("ground_truth").alias("ground_truth"), F.sum((F.col("prediction") == POSITIVE).cast("long")).alias("yes"), F.count(F.lit(1)).alias("n_votes"))
     votes = votes.withColumn("prediction", F.when(F.col("yes") * 2 >= F.col("n_votes"), POSITIVE).otherwise(NEGATIVE))
-    return votes.select(clip, "ground_truth", "prediction", (F.col("ground_truth") == F.col("prediction")).alias("correct"), "n_votes")
+    return votes.select(*by, clip, "ground_truth", "prediction", (F.col("ground_truth") == F.col("prediction")).alias("correct"), "n_votes")
+
+
+def clip_metrics(df: DataFrame, by: list[str] | None = None, clip: str = "clip_id") -> DataFrame:
+    """by, n_clips, accuracy, ba, acc_pos, acc_neg, macro_f1 after the vote of each clip's rows: a clip counts once, however many variants it has."""
+    by = by or []
+    votes = clip_vote(df, clip, by)
+    one = votes.withColumn("_all", F.lit(0))
+    keys = [*by, "_all"]
+    c = class_accuracies()
+    out = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"), F.avg(F.col("correct").cast("int")).alias("accuracy"), *[c[k].alias(k) for k in ("ba", "acc_pos", "acc_neg")], *[v.alias(k) for k, v in confusion().items()])
+    f1 = lambda hit: F.coalesce(F.try_divide(2.0 * F.col(hit), 2 * F.col(hit) + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return out.withColumn("macro_f1", (f1("tp") + f1("tn")) / 2).drop("_all", "tp", "fn", "fp", "tn")
 
 
 def gate_check(base: DataFrame, new: DataFrame, constrained_base: float, constrained_new: float) -> DataFrame:

@@ -6,10 +6,14 @@ drawn on the distinct groups and joined back.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order
+from .common import first_by_hash, hash_order
 
 
 def _placed(df: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
@@ -80,12 +84,41 @@ def split_groups(df: DataFrame, sizes: dict[str, float | int], seed: int = 0, gr
     return df.join(_placed(groups, [], group, seed).withColumn("split", chain).filter("split is not null").drop("_place", "_size"), group)
 
 
+def apportioned(sizes: DataFrame, keys: list[str], seats: int, total: int, seed: int = 0) -> DataFrame:
+    """keys, _seats: ``seats`` of ``total`` dealt to groups (keys, _size) by their size; what rounding down leaves goes to the largest remainders.
+
+    Of equal remainders the first by hash of the keys. Remainders are whole numbers (size * seats mod total), ranked inside 64 ranges of
+    them by 256 of the hash, after the sizes of the ranges before, so there may be any number of groups.
+    """
+    rows = sizes.withColumn("_exact", F.col("_size").cast("decimal(38,0)") * F.lit(seats).cast("decimal(19,0)"))
+    rows = rows.withColumn("_seats", F.expr(f"_exact div {total}")).withColumn("_rest", F.expr(f"_exact % {total}").cast("long")).withColumn("_order", hash_order(*keys, seed=seed))
+    high = (F.lit(63) - F.floor(F.lit(64.0) * F.col("_rest") / total)).cast("string")
+    rows = rows.withColumn("_range", F.concat(F.lpad(high, 2, "0"), F.substring("_order", 1, 2)))
+    left = rows.agg((F.lit(seats) - F.sum("_seats")).alias("_left"))  # one row
+    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    start = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 16,384 rows
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("_rest"), "_order", *keys))
+    rows = rows.withColumn("_within", within).join(ranges.select("_range", start.alias("_start")), "_range").join(F.broadcast(left))
+    more = F.col("_start") + F.col("_within") <= F.col("_left")
+    return rows.select(*keys, (F.col("_seats") + more.cast("long")).alias("_seats"))
+
+
 def split_rows_stratified(df: DataFrame, strata: list[str], fallback: list[str], test_size: float, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
-    """Adds split (train or test) row by row, floor(n * test_size + 0.5) of each stratum; by ``fallback`` alone if any stratum has one row."""
-    smallest = df.groupBy(*strata).count().agg(F.min("count")).first()[0]
-    by = strata if smallest is not None and smallest >= 2 else fallback
-    n_test = F.floor(F.col("_size") * F.lit(test_size) + F.lit(0.5))
-    return _placed(df, by, id_col, seed).withColumn("split", F.when(F.col("_place") <= n_test, "test").otherwise("train")).drop("_place", "_size")
+    """Adds split (train or test) row by row. ceil(n * test_size) rows are tested; the others are dealt to the strata by largest remainders.
+
+    By ``fallback`` alone where a stratum has one row, or there are more strata than rows of a side.
+    """
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
+    least, n, groups = sizes.agg(F.min("_size"), F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
+    n_test = math.ceil(n * test_size)
+    by = strata
+    if not n or least < 2 or groups > min(n_test, n - n_test):
+        by, sizes = fallback, df.groupBy(*fallback).agg(F.count(F.lit(1)).alias("_size"))
+    seats = apportioned(sizes, by, n - n_test, max(n, 1), seed)
+    rows = _placed(df, by, id_col, seed)
+    joined = rows.alias("r").join(seats.alias("s"), reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]))
+    split = F.when(F.col("_place") <= F.col("_size") - F.col("_seats"), "test").otherwise("train")
+    return joined.select("r.*", "s._seats").withColumn("split", split).drop("_place", "_size", "_seats")
 
 
 def split_rows_random(df: DataFrame, share: float, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
@@ -104,8 +137,8 @@ def split_balanced_ratios(df: DataFrame, train: float, dev: float, seed: int = 0
 
 
 def sample_uniform(df: DataFrame, n: int, seed: int = 0, id_col: str = "clip_id") -> DataFrame:
-    """``n`` rows: the first by hash order."""
-    return df.orderBy(hash_order(id_col, seed=seed), id_col).limit(n)
+    """``n`` rows: the first by hash order, taken by a cut through the hashes, so n may be half of the table."""
+    return first_by_hash(df, n, [id_col], seed)
 
 
 def sample_stratified(df: DataFrame, n: int, label: str = "ground_truth", seed: int = 0, id_col: str = "clip_id") -> DataFrame:

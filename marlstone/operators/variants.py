@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import waves
 from ..functions.conditions import variant_id
-from .common import hash_order
+from .common import first_by_hash, quantiles, written
 
 DURATIONS = [20, 40, 60, 80, 100, 200, 500, 1000]
 SNRS = [-10, -5, 0, 5, 10, 20]
@@ -275,7 +275,8 @@ def extract_segments(waveforms: DataFrame, tracks: DataFrame, genres: list[str],
     margin = F.least(F.floor(F.lit(margin_s) * F.col("sr")).cast("int"), F.floor((n - t) / 2).cast("int"))
     inner = F.slice("samples", margin + 1, n - 2 * margin)
     rows = rows.withColumn("samples", waves.random_slice(inner, F.lit(ms), F.col("sr"), F.concat_ws("_", F.col("track_id").cast("string"), F.col("segment_no").cast("string")), seed))
-    return rows.filter(waves.rms(F.col("samples")) >= least_rms).select("track_id", "segment_no", "samples").orderBy(hash_order("track_id", "segment_no", seed=seed), "track_id", "segment_no").limit(total)
+    rows = rows.filter(waves.rms(F.col("samples")) >= least_rms).select("track_id", "segment_no", "samples")
+    return first_by_hash(written(rows, "segments"), total, ["track_id", "segment_no"], seed)
 
 
 def audio_qc(clips: DataFrame, expected_sr: int, expected_ms: float, key: str = "clip_id") -> DataFrame:
@@ -290,9 +291,15 @@ def audio_qc_issues(qc: DataFrame) -> DataFrame:
 
 
 def audio_qc_summary(qc: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """One row: n, share without issues, quartiles of rms and peak, exact (all distinct values in one task) or by percentile_approx with ``accuracy``."""
-    q = lambda c, p, name: (F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy)).alias(name)
-    return qc.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("int")).alias("ok_share"), *[q(c, p, f"{c}_q{int(100 * p)}") for c in ("rms", "peak") for p in (0.25, 0.5, 0.75)])
+    """One row: n, share without issues, quartiles of rms and peak: exact, by narrowing ranges of values, or by percentile_approx with ``accuracy``."""
+    shares = {c: {f"{c}_q{int(100 * p)}": p for p in (0.25, 0.5, 0.75)} for c in ("rms", "peak")}
+    counts = [F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("int")).alias("ok_share")]
+    if accuracy is not None:
+        return qc.agg(*counts, *[F.percentile_approx(c, p, accuracy).alias(name) for c, wanted in shares.items() for name, p in wanted.items()])
+    out = qc.agg(*counts)
+    for c, wanted in shares.items():
+        out = out.join(F.broadcast(quantiles(qc, [], c, wanted)), F.lit(True), "left")  # one row each
+    return out
 
 
 def audio_qc_extremes(qc: DataFrame, k: int = 5, key: str = "clip_id") -> DataFrame:

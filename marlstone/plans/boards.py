@@ -19,10 +19,13 @@ def lb01_seed_summary(spark, d):
 
 
 @query("""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, clip_id ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM preds) WHERE rn = 1),
-g AS (SELECT clip_id, string_agg(concat(run, '=', prediction), ',' ORDER BY concat(run, '=', prediction)) AS predictions, count(*) AS n_seeds, avg(CAST(correct AS INTEGER)) AS share_correct, sum(CASE WHEN prediction = 'SPEECH' THEN 1 ELSE 0 END) AS y FROM f GROUP BY 1)
-SELECT clip_id, predictions, n_seeds, round(share_correct, 6) AS share_correct, round(greatest(y, n_seeds - y) / CAST(n_seeds AS DOUBLE), 6) AS agreement FROM g WHERE y > 0 AND y < n_seeds AND clip_id IN (SELECT clip_id FROM f WHERE run = 1)""", "preds")
+g AS (SELECT clip_id, arg_min(ground_truth, run) AS ground_truth, min(run) AS first, string_agg(concat(run, '=', prediction), ',' ORDER BY run) AS predictions, string_agg(concat(run, '=', CAST(correct AS INTEGER)), ',' ORDER BY run) AS correct_flags, count(*) AS n_seeds, avg(CAST(correct AS INTEGER)) AS agreement_rate FROM f GROUP BY 1 HAVING count(DISTINCT prediction) > 1)
+SELECT clip_id, ground_truth, predictions, correct_flags, n_seeds, round(agreement_rate, 6) AS agreement_rate FROM g WHERE first = (SELECT min(run) FROM preds)""", "preds")
 def lb02_seed_disagreements(spark, d):
-    return rounded(leaderboard.seed_disagreements(_preds(spark, d), _FIRST))
+    rows = leaderboard.seed_disagreements(_preds(spark, d), _FIRST)
+    text = lambda m, v: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"].cast("string"), v(e["value"]))), ",")
+    rows = rows.withColumn("predictions", text("predictions", lambda v: v)).withColumn("correct_flags", text("correct_flags", lambda v: v.cast("int").cast("string")))
+    return rounded(rows)
 
 
 @query("SELECT prompt_id, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std, count(*) AS n FROM (SELECT prompt_id, iteration, 100.0::DOUBLE * avg(CAST(is_correct AS INTEGER)) AS v FROM log GROUP BY 1, 2) GROUP BY 1", "log")

@@ -258,16 +258,29 @@ def mt21_brier(spark, d):
 
 
 _TBIN = _BIN.replace("score", "prob")
-_GRID = "(0.5::DOUBLE + i * (20.0::DOUBLE - 0.5::DOUBLE) / 39)"
 
 
-@query(f"""WITH g AS (SELECT 0 AS no, 1.0::DOUBLE AS t UNION ALL SELECT i + 1, {_GRID} FROM range(40) AS x(i)),
-v AS (SELECT ground_truth, logit_diff, count(*) AS w FROM preds GROUP BY 1, 2),
-p AS (SELECT no, t, w, 1 / (1 + exp(-logit_diff / t)) AS prob, CASE WHEN ground_truth = 'SPEECH' THEN 1 ELSE 0 END AS y FROM v, g),
-b AS (SELECT no, t, {_TBIN} AS bin, sum(w) AS n, sum(prob * w) AS sp, sum(CASE WHEN (prob > 0.5) = (y = 1) THEN w ELSE 0 END) AS sc, sum((prob - y) * (prob - y) * w) AS sb FROM p GROUP BY 1, 2, 3),
-e AS (SELECT no, t, sum(CASE WHEN bin IS NULL THEN 0 ELSE abs(sp - sc) END) / sum(n) AS ece, sum(sb) / sum(n) AS brier FROM b GROUP BY 1, 2)
-SELECT round((SELECT arg_min(t, {{'e': round(ece, 12), 'n': no}}) FROM e WHERE no > 0), 6) AS temperature, round((SELECT ece FROM e WHERE no = 0), 6) AS ece_before, round((SELECT min(ece) FROM e WHERE no > 0), 6) AS ece_after,
-  round((SELECT brier FROM e WHERE no = 0), 6) AS brier_before, round((SELECT arg_min(brier, {{'e': round(ece, 12), 'n': no}}) FROM e WHERE no > 0), 6) AS brier_after""", "preds")
+
+def _errors_sql(name: str, brackets: str, steps: int) -> str:
+    """Errors at the points of brackets (f, l), as the operator takes them."""
+    return f"""{name} AS MATERIALIZED (WITH p AS (SELECT f, l, i, f + i * (l - f) / {float(max(steps, 1))!r}::DOUBLE AS t FROM {brackets}, range({steps + 1}) AS x(i)),
+  q AS (SELECT p.*, w, y, 1 / (1 + exp(-logit_diff / t)) AS prob FROM v, p),
+  b AS (SELECT f, l, i, t, {_TBIN} AS bin, sum(w) AS n, sum(prob * w) AS sp, sum(CASE WHEN (prob >= 0.5) = (y = 1) THEN w ELSE 0 END) AS sc, sum((prob - y) * (prob - y) * w) AS sb FROM q GROUP BY 1, 2, 3, 4, 5)
+  SELECT f, l, i, t, sum(CASE WHEN bin IS NULL THEN 0 ELSE abs(sp - sc) END) / sum(n) AS ece, sum(sb) / sum(n) AS brier FROM b GROUP BY 1, 2, 3, 4)"""
+
+
+def _brackets_sql(name: str, errors: str, steps: int) -> str:
+    """Brackets of one step around the three best local minima."""
+    return f"""{name} AS MATERIALIZED (SELECT DISTINCT greatest(0.1::DOUBLE, t - (l - f) / {float(steps)!r}::DOUBLE) AS f, least(10.0::DOUBLE, t + (l - f) / {float(steps)!r}::DOUBLE) AS l FROM (SELECT *, round(ece, 9) AS e, lag(round(ece, 9)) OVER w AS bf, lead(round(ece, 9)) OVER w AS af FROM {errors} WINDOW w AS (PARTITION BY f, l ORDER BY i))
+  WHERE (bf IS NULL OR e <= bf) AND (af IS NULL OR e <= af) QUALIFY row_number() OVER (ORDER BY e, t, i) <= 3)"""
+
+
+@query(f"""WITH v AS (SELECT CASE WHEN ground_truth = 'SPEECH' THEN 1 ELSE 0 END AS y, logit_diff, count(*) AS w FROM preds GROUP BY 1, 2),
+one AS (SELECT 1.0::DOUBLE AS f, 1.0::DOUBLE AS l), r0 AS (SELECT 0.1::DOUBLE AS f, 10.0::DOUBLE AS l), {_errors_sql('e1', 'one', 0)}, {_errors_sql('a0', 'r0', 99)},
+{_brackets_sql('r1', 'a0', 99)}, {_errors_sql('a1', 'r1', 10)}, {_brackets_sql('r2', 'a1', 10)}, {_errors_sql('a2', 'r2', 10)}, {_brackets_sql('r3', 'a2', 10)}, {_errors_sql('a3', 'r3', 10)},
+u AS (SELECT t, ece, brier FROM a0 UNION ALL SELECT t, ece, brier FROM a1 UNION ALL SELECT t, ece, brier FROM a2 UNION ALL SELECT t, ece, brier FROM a3),
+z AS (SELECT t, ece, brier FROM u ORDER BY round(ece, 9), t LIMIT 1)
+SELECT round(z.t, 6) AS temperature, round(e1.ece, 6) AS ece_before, round(z.ece, 6) AS ece_after, round(e1.brier, 6) AS brier_before, round(z.brier, 6) AS brier_after FROM z, e1""", "preds")
 def mt22_find_temperature(spark, d):
     return rounded(calibration.find_temperature(_preds(spark, d)))
 
@@ -301,6 +314,13 @@ def mt27_clip_vote(spark, d):
     return metrics.clip_vote(_preds(spark, d))
 
 
+@query("""WITH v AS (SELECT run, clip_id, min(ground_truth) AS ground_truth, CASE WHEN sum(CASE WHEN prediction = 'SPEECH' THEN 1 ELSE 0 END) * 2 >= count(*) THEN 'SPEECH' ELSE 'NONSPEECH' END AS prediction FROM preds GROUP BY 1, 2),
+c AS (SELECT run, count(*) AS n_clips, count(*) FILTER (ground_truth = 'SPEECH' AND prediction = 'SPEECH')::DOUBLE AS tp, count(*) FILTER (ground_truth <> 'SPEECH' AND prediction = 'SPEECH')::DOUBLE AS fp, count(*) FILTER (ground_truth = 'SPEECH' AND prediction <> 'SPEECH')::DOUBLE AS fn, count(*) FILTER (ground_truth <> 'SPEECH' AND prediction <> 'SPEECH')::DOUBLE AS tn FROM v GROUP BY 1)
+SELECT run, n_clips, round((tp + tn) / n_clips, 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS ba, round(tp / (tp + fn), 6) AS acc_pos, round(tn / (tn + fp), 6) AS acc_neg, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1 FROM c""", "preds")
+def mt27_clip_metrics(spark, d):
+    return rounded(metrics.clip_metrics(_preds(spark, d), ["run"]))
+
+
 @query("""WITH c AS (SELECT run, count(*) FILTER (ground_truth = 'SPEECH' AND prediction = 'SPEECH') AS tp, count(*) FILTER (ground_truth <> 'SPEECH' AND prediction = 'SPEECH') AS fp, count(*) FILTER (ground_truth = 'SPEECH' AND prediction <> 'SPEECH') AS fn, count(*) FILTER (ground_truth <> 'SPEECH' AND prediction <> 'SPEECH') AS tn FROM preds GROUP BY run),
 f AS (SELECT run, coalesce(2.0::DOUBLE * tp / (2 * tp + fp + fn), 0) AS a, coalesce(2.0::DOUBLE * tn / (2 * tn + fp + fn), 0) AS b FROM c) SELECT run, round(a, 6) AS f1_pos, round(b, 6) AS f1_neg, round((a + b) / 2, 6) AS macro_f1 FROM f""", "preds")
 def mt28_macro_f1(spark, d):
@@ -366,9 +386,9 @@ def mt34_low_high_contrast(spark, d):
     return rounded(metrics.low_high_contrast(_preds(spark, d), "snr"))
 
 
-@query(f"WITH c AS (SELECT dur, snr, round(({_POS} + {_NEG}) / 2, 6) AS ba FROM preds GROUP BY 1, 2) SELECT dur" + "".join(f", max(CASE WHEN snr = {s} THEN ba END) AS \"{s}\"" for s in (-10, -1, 8, 20)) + " FROM c GROUP BY dur", "preds")
+@query(f"WITH c AS (SELECT dur, snr, round(({_POS} + {_NEG}) / 2, 6) AS ba FROM preds GROUP BY 1, 2) SELECT dur" + "".join(f", max(CASE WHEN snr = {s} THEN ba END) AS \"{s}\"" for s in range(-10, 21, 3)) + " FROM c GROUP BY dur", "preds")
 def mt35_condition_matrix(spark, d):
-    return rounded(metrics.condition_matrix(_preds(spark, d), "dur", "snr", [-10, -1, 8, 20]))
+    return rounded(metrics.condition_matrix(_preds(spark, d), "dur", "snr", list(range(-10, 21, 3))))
 
 
 _SNR = tuple(range(-10, 21, 3))  # all that the role has

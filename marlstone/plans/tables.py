@@ -57,13 +57,14 @@ def io06_union_split_manifests(spark, d):
     return manifests.union_split_manifests({"dev": m.filter("clip_id % 2 = 0").select("clip_id", "snr_db"), "test": m.filter("clip_id % 2 = 1").select("clip_id")})
 
 
-@query("SELECT CASE WHEN run = 1 THEN 'base' ELSE 'tuned' END AS run, ground_truth, count(*) AS n, sum(CAST(correct AS INTEGER))::BIGINT AS n_correct FROM preds WHERE run IN (1, 2) GROUP BY 1, 2", "preds")
+@query("SELECT concat('run_', CAST(run AS STRING)) AS run, clip_id, ground_truth, prediction, correct FROM preds", "preds")
 def io07_union_predictions(spark, d):
+    """The rows of all seven runs, of which every second one has y_true and y_pred in place of correct."""
     p = _preds(spark, d)
-    base = p.filter("run = 1").select("clip_id", "ground_truth", "correct")
-    tuned = p.filter("run = 2").select("clip_id", F.col("ground_truth").alias("y_true"), F.col("prediction").alias("y_pred"))
-    u = manifests.union_predictions({"base": base, "tuned": tuned})
-    return u.groupBy("run", "ground_truth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("n_correct"))
+    with_correct = ("clip_id", "ground_truth", "prediction", "correct")
+    without = ("clip_id", "prediction", F.col("ground_truth").alias("y_true"), F.col("prediction").alias("y_pred"))
+    u = manifests.union_predictions({f"run_{r}": p.filter(F.col("run") == r).select(*(with_correct if r % 2 else without)) for r in range(1, 8)})
+    return u.select("run", "clip_id", "ground_truth", "prediction", "correct")
 
 
 @query("SELECT concat('run_', CAST(run AS STRING)) AS run, ground_truth, count(*) AS n, sum(CAST(correct AS INTEGER))::BIGINT AS n_correct FROM preds GROUP BY 1, 2", "preds")
@@ -116,11 +117,15 @@ def io12_manifest_from_files(spark, d):
     return manifests.manifest_from_files(role(spark, d, "manifest").select(F.col("audio_path").alias("path")), "NONSPEECH", "files")
 
 
-@query(f"""WITH g AS (SELECT variant_type, CAST(dur AS STRING) AS condition, {_BA}, {_N} FROM preds GROUP BY 1, 2)
-SELECT concat('{{', string_agg(concat('"', variant_type, '":{{', c, '}}'), ',' ORDER BY variant_type), '}}') AS document FROM (SELECT variant_type, string_agg(concat('"', condition, '":{{"n":', n, ',"n_pos":', n_pos, '}}'), ',' ORDER BY condition) AS c FROM g GROUP BY 1)""", "preds")
+_JSON = '"ba":\', ba, \',"speech_acc":\', acc_pos, \',"nonspeech_acc":\', acc_neg, \''
+
+
+@query(f"""WITH c AS (SELECT variant_type, CAST(dur AS STRING) AS condition, {_BA}, {_N} FROM preds GROUP BY 1, 2), t AS (SELECT variant_type, {_BA}, {_N} FROM preds GROUP BY 1), o AS (SELECT {_BA}, {_N} FROM preds),
+cj AS (SELECT variant_type, string_agg(concat('"', condition, '":{{{_JSON},"n_samples":', n, ',"n_speech":', n_pos, ',"n_nonspeech":', n_neg, '}}'), ',' ORDER BY condition) AS j FROM c GROUP BY 1),
+tj AS (SELECT string_agg(concat('"', t.variant_type, '":{{{_JSON},"n_samples":', n, ',"conditions":{{', j, '}}}}'), ',' ORDER BY t.variant_type) AS j FROM t JOIN cj ON t.variant_type = cj.variant_type)
+SELECT concat('{{"mode":"base","threshold":0.5,"n_samples":', n, ',"overall":{{{_JSON}}},"by_variant_type":{{', j, '}}}}') AS document FROM o, tj""", "preds")
 def io14_metrics_document(spark, d):
-    b = metrics.balanced_accuracy(_preds(spark, d).withColumn("condition", F.col("dur").cast("string")), ["variant_type", "condition"])
-    return manifests.metrics_document(b, metrics=("n", "n_pos"))
+    return manifests.metrics_document(_preds(spark, d).withColumn("condition", F.col("dur").cast("string")), {"mode": "base", "threshold": 0.5}, digits=6)
 
 
 # ---------------------------------------------------------------------------- intervals
@@ -282,8 +287,11 @@ def sp04_split_groups(spark, d):
     return splits.split_groups(role(spark, d, "manifest"), {"train": 0.5, "dev": 0.25, "test": None}, 9).select("clip_id", "group_id", "split")
 
 
-@query(f"""WITH r AS (SELECT clip_id, ground_truth, row_number() OVER (PARTITION BY ground_truth, duration_ms, snr_db ORDER BY {_h('clip_id', 2)}) AS k, count(*) OVER (PARTITION BY ground_truth, duration_ms, snr_db) AS n FROM manifest)
-SELECT clip_id, CASE WHEN k <= floor(n * 0.3::DOUBLE + 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r""", "manifest")
+@query(f"""WITH r AS (SELECT clip_id, ground_truth, duration_ms, snr_db, row_number() OVER (PARTITION BY ground_truth, duration_ms, snr_db ORDER BY {_h('clip_id', 2)}) AS k, count(*) OVER (PARTITION BY ground_truth, duration_ms, snr_db) AS n FROM manifest),
+t AS (SELECT count(*) AS total, count(*) - CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT) AS seats FROM manifest),
+g AS (SELECT ground_truth, duration_ms, snr_db, n, n * seats // total AS least, n * seats % total AS rest, seats - sum(n * seats // total) OVER () AS spare FROM (SELECT DISTINCT ground_truth, duration_ms, snr_db, n FROM r), t),
+s AS (SELECT *, least + CASE WHEN row_number() OVER (ORDER BY rest DESC, md5(concat_ws('|', ground_truth, CAST(duration_ms AS STRING), CAST(snr_db AS STRING), '2')), ground_truth, duration_ms, snr_db) <= spare THEN 1 ELSE 0 END AS train FROM g)
+SELECT clip_id, CASE WHEN k <= r.n - train THEN 'test' ELSE 'train' END AS split FROM r JOIN s ON r.ground_truth = s.ground_truth AND r.duration_ms = s.duration_ms AND r.snr_db IS NOT DISTINCT FROM s.snr_db""", "manifest")
 def sp05_split_rows_stratified(spark, d):
     return splits.split_rows_stratified(role(spark, d, "manifest"), ["ground_truth", "duration_ms", "snr_db"], ["ground_truth"], 0.3, 2).select("clip_id", "split")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import clip_id_of_path
+from ..operators.metrics import condition_metrics
 
 
 def _read(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
@@ -96,10 +97,25 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split: str = "s
     df.write.mode(mode).partitionBy(split).format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
 
 
-def metrics_document(long_df: DataFrame, type_col: str = "variant_type", cond_col: str = "condition", metrics: tuple[str, ...] = ("ba", "acc_pos", "acc_neg", "n")) -> DataFrame:
-    """One row, one JSON document: type -> condition -> metrics. Types and conditions are few."""
-    entry = F.struct(F.col(cond_col).alias("key"), F.struct(*metrics).alias("value"))
-    by_type = long_df.groupBy(type_col).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("conditions"))
-    types = by_type.agg(F.collect_list(F.struct(F.col(type_col).alias("key"), F.to_json("conditions").alias("value"))).alias("types"))
-    ordered = F.array_sort("types")
-    return types.select(F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda t: F.concat(F.lit('"'), t["key"], F.lit('":'), t["value"])), ","), F.lit("}")).alias("document"))
+def metrics_document(df: DataFrame, settings: dict | None = None, type_col: str = "variant_type", cond_col: str = "condition", digits: int | None = None) -> DataFrame:
+    """One row, one JSON document of predictions: settings, n_samples, overall, and by_variant_type, each with its conditions.
+
+    Levels are one pass of grouping sets; the document is built as maps and written by ``to_json`` once, so any key is quoted.
+    Types and conditions are few. Rows without a type or condition count above that level only.
+    """
+    flat = condition_metrics(df.withColumnsRenamed({type_col: "variant_type", cond_col: "condition"}))
+    number = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    rising = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    by_key = lambda e: F.map_from_entries(F.array_sort(F.collect_list(e), rising))
+    shares = [number("ba").alias("ba"), number("acc_pos").alias("speech_acc"), number("acc_neg").alias("nonspeech_acc")]
+    counts = [F.col("n").alias("n_samples"), F.col("n_pos").alias("n_speech"), F.col("n_neg").alias("n_nonspeech")]
+    cells = flat.filter("level = 0 and variant_type is not null and condition is not null")
+    entry = F.struct(F.col("condition").cast("string").alias("key"), F.struct(*shares, *counts).alias("value"))
+    conditions = cells.groupBy("variant_type").agg(by_key(entry).alias("conditions"))
+    types = flat.filter("level = 1 and variant_type is not null").join(conditions, "variant_type", "left")
+    entry = F.struct(F.col("variant_type").cast("string").alias("key"), F.struct(*shares, counts[0], "conditions").alias("value"))
+    types = types.agg(by_key(entry).alias("by_variant_type"))
+    overall = flat.filter("level = 3").select(counts[0], F.struct(*shares).alias("overall"))
+    row = overall.join(F.broadcast(types))  # one row each
+    given = [F.lit(v).alias(k) for k, v in (settings or {}).items()]
+    return row.select(F.to_json(F.struct(*given, "n_samples", "overall", "by_variant_type")).alias("document"))
