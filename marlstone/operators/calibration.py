@@ -59,12 +59,13 @@ def _errors_at(cells: DataFrame, brackets: DataFrame, by: list[str], steps: int,
     return sums.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias("ece"), (F.sum("sb") / F.sum("n")).alias("brier"))
 
 
-def find_temperature(df: DataFrame, by: list[str] | None = None, low: float = 0.1, high: float = 10.0, points: int = 100, rounds: int = 3, minima: int = 3, bins: int = 10, logit: str = "logit_diff") -> DataFrame:
+def find_temperature(df: DataFrame, temperatures: list[float] | None = None, by: list[str] | None = None, low: float = 0.1, high: float = 10.0, points: int = 100, rounds: int = 3, minima: int = 3, bins: int = 10, logit: str = "logit_diff") -> DataFrame:
     """by, temperature of the least expected error in [low, high] (the first of equals), and error and Brier score before (at 1) and after.
 
     The error jumps where a logit changes its bin, so it has many minima: a grid of ``points`` first, then, ``rounds`` times, ten
     steps around each of the ``minima`` best local minima so far found, for all groups at once. The best of all points counts, so
-    the error is never above the grid's. Logits are grouped first: a point costs a row per distinct logit.
+    the error is never above the grid's. Logits are grouped first: a point costs a row per distinct logit. Where
+    ``temperatures`` are given, one of these is taken.
     """
     by = by or []
     cells = df.groupBy(*by, (F.col("ground_truth") == POSITIVE).cast("int").alias("_truth"), F.col(logit).cast("double").alias("_logit")).agg(F.count(F.lit(1)).alias("w"))
@@ -72,7 +73,11 @@ def find_temperature(df: DataFrame, by: list[str] | None = None, low: float = 0.
     groups = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
     at = lambda a, b: groups.select("*", F.lit(float(a)).alias("_from"), F.lit(float(b)).alias("_to"))
     error = F.round("ece", 9)
-    found, steps = [written(_errors_at(cells, at(low, high), by, points - 1, bins), "errors")], points - 1
+    if temperatures:
+        given = groups.withColumn("_from", F.explode(F.array(*[F.lit(float(t)) for t in temperatures]))).withColumn("_to", F.col("_from"))
+        found, steps, rounds = [_errors_at(cells, given, by, 0, bins)], 0, 0
+    else:
+        found, steps = [written(_errors_at(cells, at(low, high), by, points - 1, bins), "errors")], points - 1
     for _ in range(rounds):
         near = Window.partitionBy(*by, "_from", "_to").orderBy("_i")
         rows = found[-1].withColumn("_e", error).withColumn("_b", F.lag(error).over(near)).withColumn("_a", F.lead(error).over(near))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def _parts(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
     """Adds _part, rising with start_s: ranges of about equally many rows of a key, so a key may hold most rows."""
+    if parts < 2:
+        return rows.withColumn("_part", F.lit(0))
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("start_s", [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
     return rows.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("start_s")))).drop("_cuts")
 

@@ -79,15 +79,74 @@ def butterworth_response(freqs: np.ndarray, sr: int, kind: str, low: float = 300
     return 1 / (1 + x ** (2 * order))
 
 
+def butterworth_sections(sr: int, kind: str, low: float = 300.0, high: float = 3400.0, order: int = 4) -> np.ndarray:
+    """(b0, b1, b2, a1, a2) of each second-order section of the digital Butterworth filter, with gain 1 in its band.
+
+    The analog poles lie on a half circle; they are moved to the band at warped edges and mapped by the bilinear transform.
+    """
+    warp = lambda f: np.tan(np.pi * min(f, sr / 2 * 0.999999) / sr)
+    w1, w2 = warp(low), warp(high)
+    circle = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    if kind == "lowpass":
+        poles, zeros, at = circle * w2, (-1.0, -1.0), 1.0 + 0j
+    elif kind == "highpass":
+        poles, zeros, at = w1 / circle, (1.0, 1.0), -1.0 + 0j
+    else:
+        half = circle * (w2 - w1) / 2
+        root = np.sqrt(half * half - w1 * w2 + 0j)
+        poles, zeros = np.concatenate([half + root, half - root]), (1.0, -1.0)
+        at = np.exp(2j * np.arctan(np.sqrt(w1 * w2)))
+    poles = (1 + poles) / (1 - poles)
+    pairs = [(p, p.conjugate()) for p in poles[poles.imag > 1e-12]]
+    real = sorted(poles[abs(poles.imag) <= 1e-12].real)
+    pairs += list(zip(real[::2], real[1::2]))
+    sections = [([1.0, -sum(zeros), zeros[0] * zeros[1]], [-(p + q).real, (p * q).real]) for p, q in pairs]
+    if len(real) % 2:  # an odd order has one pole of its own
+        sections.append(([1.0, -zeros[0], 0.0], [-real[-1], 0.0]))
+    out = []
+    for b, a in sections:
+        gain = abs((b[0] + b[1] / at + b[2] / at**2) / (1 + a[0] / at + a[1] / at**2))
+        out.append([*(v / gain for v in b), *a])
+    return np.array(out)
+
+
+def run_sections(batch: np.ndarray, sections: np.ndarray, block: int = 64) -> np.ndarray:
+    """Rows of samples through sections in a row, from the state in which a constant at the first sample would have settled.
+
+    A section has two numbers of state. Of a block of samples, output and next state are matrices times the state before and the samples.
+    """
+    n = batch.shape[1]
+    out = np.concatenate([batch, np.zeros((len(batch), -n % block))], axis=1)
+    level = batch[:, :1].copy()
+    for b0, b1, b2, a1, a2 in sections:
+        step, drive = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = [np.eye(2)]
+        for _ in range(block):
+            powers.append(step @ powers[-1])
+        seen = np.array([p[0] for p in powers[:block]])  # output i, by the state
+        impulse = np.array([b0, *[p[0] @ drive for p in powers[: block - 1]]])
+        place = np.subtract.outer(np.arange(block), np.arange(block))
+        reach = np.where(place >= 0, impulse[np.abs(place)], 0.0)  # output i, by sample j
+        gather = np.array([powers[block - 1 - j] @ drive for j in range(block)]).T  # the next state, by sample j
+        state = level * np.linalg.solve(np.eye(2) - step, drive)
+        level = level * (b0 + b1 + b2) / (1 + a1 + a2)
+        for at in range(0, out.shape[1], block):
+            x = out[:, at : at + block].copy()
+            out[:, at : at + block] = state @ seen.T + x @ reach.T
+            state = state @ powers[block].T + x @ gather.T
+    return out[:, :n]
+
+
 def band_filter(batch: np.ndarray, sr: int, kind: str, low: float = 300.0, high: float = 3400.0, order: int = 4) -> np.ndarray:
-    """Filters rows of samples; ends are padded by odd reflection."""
+    """Filters rows of samples forward and backward, so without a shift; ends are padded by odd reflection."""
+    sections = butterworth_sections(sr, kind, low, high, order)
     n = batch.shape[1]
-    pad = min(3 * (2 * order + 1), max(0, n - 1))
+    pad = min(3 * (2 * len(sections) + 1 - int((sections[:, 2] == 0).sum())), max(0, n - 1))
     left, right = 2 * batch[:, :1] - batch[:, pad:0:-1], 2 * batch[:, -1:] - batch[:, -2 : -pad - 2 : -1]
     padded = np.concatenate([left, batch, right], axis=1) if pad else batch
-    gain = butterworth_response(np.fft.rfftfreq(padded.shape[1], 1 / sr), sr, kind, low, high, order)
-    out = np.fft.irfft(np.fft.rfft(padded, axis=1) * gain, padded.shape[1], axis=1)
-    return out[:, pad : pad + n]
+    for _ in range(2):
+        padded = run_sections(padded, sections)[:, ::-1]
+    return padded[:, pad : pad + n]
 
 
 def synthetic_rir(t60: float, sr: int, seed: int = 0) -> np.ndarray:
@@ -151,14 +210,27 @@ def _each(clips: DataFrame, extra: str, change) -> DataFrame:
     return clips.select("clip_id", "samples", "sr").mapInPandas(run, f"clip_id {kind}, samples array<float>" + (f", {extra}" if extra else ""))
 
 
-def white_noise_clips(clips: DataFrame, snr_db: float, seed: int = 0) -> DataFrame:
-    """clip_id, samples with white noise at that ratio to the clip's RMS, snr_db (null for silent clips), silent. Noise follows the id and the seed."""
+def white_noise_clips(clips: DataFrame, snr_db: float, seed: int = 0, container_ms: int | None = None, effective_ms: float | None = None) -> DataFrame:
+    """clip_id, samples with white noise at that ratio to the RMS of the clip's effective part, snr_db (null where that is silent), silent.
 
-    def change(ids, x, sr):
-        out = [add_white_noise(row, snr_db, 0, len(row), rng_of(f"{i}_noise", seed)) for i, row in zip(ids, x)]
-        return np.array([o[0] for o in out]), [o[1] for o in out], [bool(o[2]) for o in out]
+    The noise lies over the whole container, the effective part is ``effective_ms`` in its middle, or all of it. With ``container_ms`` there is
+    a column error, and clips of another length have no samples. Noise follows the id and the seed.
+    """
 
-    return _each(clips, "snr_db double, silent boolean", change)
+    def change(ids, x, sr):
+        n, want = x.shape[1], None if container_ms is None else int(sr * container_ms / 1000)
+        if want is not None and n != want:
+            nothing = [None] * len(ids)
+            return x, nothing, nothing, [f"{n} samples, {want} expected"] * len(ids)
+        size = n if effective_ms is None else int(sr * effective_ms / 1000)
+        start = (n - size) // 2
+        out = [add_white_noise(row, snr_db, max(start, 0), start + size, rng_of(f"{i}_noise", seed)) for i, row in zip(ids, x)]
+        return np.array([o[0] for o in out]), [o[1] for o in out], [bool(o[2]) for o in out], [None] * len(ids)
+
+    rows = _each(clips, "snr_db double, silent boolean, error string", change)
+    if container_ms is None:
+        return rows.drop("error")
+    return rows.withColumn("samples", F.when(F.col("error").isNull(), F.col("samples")))
 
 
 def band_filtered_clips(clips: DataFrame, kind: str, low: float = 300.0, high: float = 3400.0, order: int = 4) -> DataFrame:

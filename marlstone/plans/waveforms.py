@@ -115,6 +115,17 @@ def vr09_add_white_noise(spark, d):
     return noisy.select("clip_id", "snr_db", F.round(measured, 3).alias("measured_db"), "silent", F.size("noisy").alias("n_samples"))
 
 
+@query(f"WITH {_X} SELECT clip_id, CASE WHEN clip_id % 5 = 0 THEN NULL ELSE 10.0::DOUBLE END AS snr_db, CASE WHEN clip_id % 5 = 0 THEN NULL ELSE 10.0::DOUBLE END AS measured_db, CASE WHEN clip_id % 5 = 0 THEN NULL ELSE FALSE END AS silent, CASE WHEN clip_id % 5 = 0 THEN NULL ELSE 100 END AS n_samples, CASE WHEN clip_id % 5 = 0 THEN '64 samples, 100 expected' END AS error FROM x")
+def vr09_noise_in_container(spark, d):
+    """Clips of 64 ms in the middle of 100 ms, every fifth one left short: the level of the noise over the whole container follows the clip's part of it."""
+    w = _waves(spark, d)
+    held = w.withColumn("samples", F.when(F.col("clip_id") % 5 == 0, F.col("samples").cast("array<double>")).otherwise(waves.pad_center(F.col("samples"), 100, F.col("sr"))))
+    noisy = variants.white_noise_clips(held, 10.0, 3, 100, 64).withColumnRenamed("samples", "noisy").join(held.select("clip_id", "samples"), "clip_id")
+    gained = F.zip_with(F.col("noisy").cast("array<double>"), F.col("samples"), lambda a, b: a - b)
+    measured = 20 * F.log10(waves.rms(F.slice("samples", F.lit(19), F.lit(64))) / waves.rms(gained))
+    return noisy.select("clip_id", "snr_db", F.round(F.when(F.col("error").isNull(), measured), 3).alias("measured_db"), "silent", F.when(F.col("error").isNull(), F.size("noisy")).alias("n_samples"), "error")
+
+
 @query()
 def vr11_band_filter(spark, d):
     return _told(variants.band_filtered_clips(_waves(spark, d), "telephony", 60.0, 300.0))

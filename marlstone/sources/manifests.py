@@ -11,9 +11,23 @@ from ..functions.labels import clip_id_of_path
 from ..operators.metrics import condition_metrics
 
 
-def _read(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
+#: Types of the columns that manifests and predictions may have; others are text.
+COLUMN_TYPES = {
+    **dict.fromkeys(("duration_ms", "sr", "container_duration_ms", "n_speech_frames", "n_total_frames", "segment_no"), "int"),
+    **dict.fromkeys(("snr_db", "rms", "noise_amplitude", "t60", "start_s", "end_s", "score", "confidence", "p_first_token", "prob_A", "prob_B", "logit_A", "logit_B", "logit_diff", "max_prob", "min_prob", "mean_prob"), "double"),
+    **dict.fromkeys(("correct", "is_normal"), "boolean"),
+}
+
+
+def _read(spark: SparkSession, path: str, fmt: str | None, types: dict[str, str] | None = None) -> DataFrame:
+    """A CSV file's names come from its header, their types from COLUMN_TYPES and ``types``, so types do not depend on the rows and the rows are read once."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
-    return spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, header=True, inferSchema=True)
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    known = COLUMN_TYPES | (types or {})
+    names = spark.read.csv(path, header=True).columns
+    schema = ", ".join(f"`{c}` {known.get(c, 'string')}" for c in names)
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
 
 def harmonise_manifest(df: DataFrame) -> DataFrame:
@@ -28,8 +42,8 @@ def harmonise_manifest(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_manifest(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return harmonise_manifest(_read(spark, path, fmt))
+def read_manifest(spark: SparkSession, path: str, fmt: str | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    return harmonise_manifest(_read(spark, path, fmt, types))
 
 
 def union_split_manifests(parts: dict[str, DataFrame]) -> DataFrame:
@@ -50,9 +64,9 @@ def union_predictions(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [harmonise_predictions(df, run) for run, df in parts.items()])
 
 
-def read_predictions(spark: SparkSession, paths: dict[str, str], fmt: str | None = None) -> DataFrame:
+def read_predictions(spark: SparkSession, paths: dict[str, str], fmt: str | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """One long table of several prediction files; run is a column."""
-    return union_predictions({run: _read(spark, path, fmt) for run, path in paths.items()})
+    return union_predictions({run: _read(spark, path, fmt, types) for run, path in paths.items()})
 
 
 def explode_prediction_arrays(df: DataFrame) -> DataFrame:
