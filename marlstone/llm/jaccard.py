@@ -47,6 +47,7 @@ LIST_BLOCK = 4096  # entries of an inverted list that one task pairs
 WORDS = 8  # 64-bit words of a bitmap of a set of up to 128 shingles a word; twice as many for each doubling
 SHORT = 32  # entries of a list whose pairs are taken by shifting
 LEADERS = 3  # leaders that a set is compared with
+PAIRS = 1 << 20  # pairs (40 bytes each) that a task gathers before it hands their different ones on
 GROUP = 256  # sets that are compared with one of another in a task
 
 
@@ -341,7 +342,12 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
             size = np.diff(np.append(begin, len(token)))
             which = np.repeat(np.arange(len(begin)), size)
             short = (size <= SHORT)[which]
-            found = []
+            found, size_found = [], 0
+
+            def pairs_of(found):
+                """The different ones of the pairs so far; a task never holds more than PAIRS of them before."""
+                pairs = np.unique(np.stack([np.concatenate(v) for v in zip(*found)], axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(5)], names=["a", "b", "la", "lb", "apart"])
 
             def keep(x, y):
                 x, y = (v[label[x] != label[y]] for v in (x, y))
@@ -356,17 +362,26 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
                     swap = sig[x] > sig[y]
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     found.append((sig[x], sig[y], label[x], label[y], 1000 * apart[ok] // total[ok]))
+                    return len(x)
+                return 0
 
             for shift in range(1, int(min(size.max(), SHORT))):
                 x = np.flatnonzero((which[shift:] == which[:-shift]) & short[:-shift])
-                keep(x, x + shift)
+                size_found += keep(x, x + shift)
+                if size_found > PAIRS:
+                    yield pairs_of(found)
+                    found.clear()
+                    size_found = 0
             for i in np.flatnonzero(size > SHORT).tolist():
                 at, to = int(begin[i]), int(begin[i] + size[i])
                 for x, y in block_pairs(n[at:to], pos[at:to], label[at:to], percent):
-                    keep(x + at, y + at)
+                    size_found += keep(x + at, y + at)
+                    if size_found > PAIRS:
+                        yield pairs_of(found)
+                        found.clear()
+                        size_found = 0
             if found:
-                pairs = np.unique(np.stack([np.concatenate(v) for v in zip(*found)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(5)], names=["a", "b", "la", "lb", "apart"])
+                yield pairs_of(found)
 
         def parts(batch):
             column = batch.column(7)
@@ -545,7 +560,7 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     named = members.select("sig", "id").join(labels.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "label").select("sig", "label", "component_id")
-    joined = hot_left_join(rows, named, ["sig"], "key")
+    joined = hot_left_join(rows.withColumn("_at", F.monotonically_increasing_id()), named, ["sig"], "_at")
     return joined.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
