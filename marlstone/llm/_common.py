@@ -53,7 +53,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def salted_left_join(left: DataFrame, right: DataFrame, key: str | list[str], salt_from: str | Column, salts: int = 16) -> DataFrame:
     """Left join on ``key``, unique in ``right``, where few values of ``key`` may hold most rows of ``left``.
 
-    Rows of ``left`` are dealt over ``salts`` copies of the right side, so that has to be much smaller.
+    Rows of ``left`` are dealt over ``salts`` copies of the right side, so that has to be much smaller. ``salt_from`` is the row's
+    place where it was read, not its id, which many rows may lack or share.
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")

@@ -81,7 +81,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _with_groups(rows: DataFrame, groups: DataFrame, id_col: str, salts: int) -> DataFrame:
     """Rows of singletons need no partner: only groups of two or more travel to them."""
     shared = groups.filter("group_size > 1 or n_texts > 1").select(*_HASHES, "group_id", "group_size")
-    joined = salted_left_join(rows, shared, _HASHES, id_col, salts)
+    joined = salted_left_join(rows, shared, _HASHES, F.monotonically_increasing_id(), salts)
     return joined.withColumn("group_id", F.coalesce("group_id", F.col(id_col))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
 
 

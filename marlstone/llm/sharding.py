@@ -158,8 +158,9 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int
         (text_bytes(F.col(text_col)) + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
         F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"),
+        F.monotonically_increasing_id().alias("_at"),
     )
-    rows = hot_left_join(rows, assigned, ["text_key"], id_col, nodes.select("text_key", F.col("rows").alias("_rows")))
+    rows = hot_left_join(rows, assigned, ["text_key"], "_at", nodes.select("text_key", F.col("rows").alias("_rows")))
     return _with_slots(rows.withColumn("law", F.lit("bytes")), id_col, shuffle_partitions(spark)).select(
         id_col, "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

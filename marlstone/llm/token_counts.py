@@ -89,8 +89,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = open_cache(docs.sparkSession, cache_path).filter(F.col("tokenizer") == tokenizer_digest(tokenizer_path))
     counts = counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # runs side by side may append one content twice
-    rows = docs.select(id_col, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
-    joined = hot_left_join(rows, counts, ["content"], id_col)
+    rows = docs.select(id_col, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"), F.monotonically_increasing_id().alias("_at"))
+    joined = hot_left_join(rows, counts, ["content"], "_at")
     return joined.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

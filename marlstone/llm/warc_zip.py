@@ -195,7 +195,7 @@ def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYT
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     groups = rows.filter(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = salted_left_join(rows, groups.select("sha1", "keeper"), "sha1", "page_id", 8)
+    rows = salted_left_join(rows, groups.select("sha1", "keeper"), "sha1", F.monotonically_increasing_id(), 8)
     rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def write(batches):
@@ -289,7 +289,7 @@ def archive_round_trip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataF
     named = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("target"), "payload_digest").distinct()
     sizes = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("target"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
     sizes = sizes.join(named, ["target", "payload_digest"], "left_semi")  # only responses that others refer to
-    full = salted_left_join(rows.withColumn("target", F.col("refers_to")), sizes, ["target", "payload_digest"], "page_id", 8)
+    full = salted_left_join(rows.withColumn("target", F.col("refers_to")), sizes, ["target", "payload_digest"], F.monotonically_increasing_id(), 8)
     size = F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("payload_bytes"))
     return full.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 

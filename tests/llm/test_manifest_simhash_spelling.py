@@ -279,3 +279,27 @@ def test_no_words(spark):
     assert spelling.spelling_variants(frame(spark, [])).collect() == []
     assert spelling.spelling_variants(frame(spark, [(1, None), (2, ""), (None, "1 2 3 four")])).collect() == []
     assert "word" in spelling.spelling_variants(spark.createDataFrame([], SCHEMA)).columns
+
+
+# ---------------------------------------------------------------------------- many rows without ids
+
+
+def test_copies_without_ids_are_dealt_over_tasks(spark, tmp_path):
+    """Salts follow where a row was read, as an id that all lack would give one salt."""
+    import public_tokenizers
+
+    from marlstone.llm import fingerprints, jaccard, token_counts
+
+    docs = frame(spark, [(None, "one hot text of some words")] * 3000 + [(i, f"{i} cold") for i in range(20)], 6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (
+            fingerprints.fingerprint_documents(docs),
+            token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"),
+            jaccard.jaccard_classes(docs),
+            simhash.simhash_classes(docs),
+        ):
+            parts = collections.Counter(r[0] for r in made.filter("doc_id is null").selectExpr("spark_partition_id()").collect())
+            assert sum(parts.values()) == 3000 and len(parts) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
