@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import json
 import sys
 import tempfile
@@ -46,6 +49,24 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(rows):
+    """For a function of batches: what a task has freed goes back to the system at its end. Workers outlive tasks, and what several stages in a row keep adds up."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        import pyarrow as pa
+
+        yield from rows(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import forget, hot_left_join, stored
+from ._common import forget, hot_left_join, lean, stored
 from ._hashing import Powers, byte_class, grams, in_chunks, mix, text_buffers, words_of
 
 IS_WORD = byte_class(outside=bytes([0x20, *range(0x09, 0x0E)]))
@@ -123,6 +123,7 @@ def _sets_in(batch, column: int, k: int, powers: Powers):
 def _shapes(texts: DataFrame, k: int) -> DataFrame:
     """Rows (id, key, n, sig, bits) of every document (id, text, key), and rows (chunk, counts) of each task's sketch of shingle frequencies."""
 
+    @lean
     def shape(batches):
         import pyarrow as pa
 
@@ -179,6 +180,7 @@ def _common_classes(shapes: DataFrame) -> np.ndarray:
 def _lists(texts: DataFrame, k: int, percent: int, classes) -> DataFrame:
     """(token, sig, n, pos): inverted lists over prefixes, of two or more different sets each."""
 
+    @lean
     def prefixes(batches):
         import pyarrow as pa
 
@@ -209,6 +211,7 @@ def _lists(texts: DataFrame, k: int, percent: int, classes) -> DataFrame:
             if out:
                 yield ready()
 
+    @lean
     def shared(batches):
         """Of rows sorted by token and set, the different ones of lists with more than one set."""
         import pyarrow as pa
@@ -329,6 +332,7 @@ def _remaining_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, pe
     rows = rows.withColumn("cell", F.explode(cells)).select("token", "cell.p", "cell.q", "n", "pos", "sig", "label")
     rows = rows.join(members.select("sig", "bits"), "sig").select("token", "p", "q", "n", "pos", "sig", "label", "bits")
 
+    @lean
     def pair(batches):
         import pyarrow as pa
 
@@ -429,6 +433,7 @@ def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, perc
         columns = ["b", "part", "role", "sig", "text"]
         wanted = wanted.filter("many").select(columns).distinct().union(wanted.filter("not many").select(columns))
 
+    @lean
     def compare(batches):
         import pyarrow as pa
 

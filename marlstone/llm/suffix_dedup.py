@@ -27,14 +27,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hot_left_join, stored
+from ._common import hot_left_join, lean, stored
 from ._hashing import Powers, Rolling, in_chunks, sliding, text_buffers
 
 ANCHOR = 64  # bytes of an anchor
 RUN = 256  # windows of a segment at most
 HOT = 8_000  # contexts (of 455 bytes at most, so a key adds 3.6 MB to a block) of a key that are sorted together
 SENT_MOST = 200_000  # segments asked for that may be broadcast (about 20 MB)
-BLOCK = 1 << 20  # bytes of a block whose suffixes are sorted together: with the last key at most 4.6 MB, of which sorting takes about 60 times as much
+BLOCK = 1 << 19  # bytes of a block whose suffixes are sorted together: with the last key at most 4.1 MB, of which sorting takes about 60 times as much
 SORTED, WHOLE, WINDOWS = 0, 1, 2  # how a key's segments are compared
 
 
@@ -75,6 +75,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, powers: Powers)
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
+    @lean
     def rows(batches):
         import pyarrow as pa
 
@@ -239,6 +240,7 @@ SPANS = "k long, th long, at int, n int"
 def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of repeated windows among contexts with one key; rows come sorted by key."""
 
+    @lean
     def spans(batches):
         import pyarrow as pa
 
@@ -303,6 +305,7 @@ def _fetched(texts: DataFrame, asked: DataFrame, length: int, few: bool = False)
     """
     lists = asked.groupBy("k", "th").agg(F.collect_set(F.struct("at", "n", "key", "kind")).alias("asked"))  # repeated rows ask once
 
+    @lean
     def fetch(batches):
         import hashlib
 
@@ -409,6 +412,7 @@ def cut_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = Fal
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @lean
     def cut(batches):
         import hashlib
 
@@ -442,10 +446,11 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         extra += "_"
     rows, at = _with_spans(keyed, "id", "text", length).select("row.*", F.col("spans").alias(extra)), docs.columns.index(text_col)
 
+    @lean
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
             for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:

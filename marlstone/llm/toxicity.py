@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, stored
+from ._common import forget, lean, stored
 from ._hashing import LOWER, Powers, Rolling, byte_class, in_chunks, text_buffers
 
 SLOT_BITS = 20
@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_terms:
         part = label.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
 
+    @lean
     def slots(batches):
         import pyarrow as pa
 
@@ -189,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_terms:
         return FactorizationMachine.constant(shares.get(1, 0) / sum(shares.values()))
     rows = rows.filter(F.col("place") <= int(place[learnt[-1]]))
 
+    @lean
     def counts(batches):
         import pyarrow as pa
 
@@ -264,6 +266,7 @@ def score_documents(docs: DataFrame, model: FactorizationMachine, id_col: str =
     """id, held_out, score, predicted."""
     scorer = _scorer(model)
 
+    @lean
     def scores(batches):
         import pyarrow as pa
 
@@ -281,6 +284,7 @@ def without_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str =
     scorer = _scorer(model)
     at = docs.columns.index(text_col)
 
+    @lean
     def keep(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
