@@ -49,20 +49,25 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def lean(rows):
-    """For a function of batches: what a task has freed goes back to the system at its end. Workers outlive tasks, and what several stages in a row keep adds up."""
+    """For a function of batches: gives freed memory back at the end of a task. Workers outlive tasks, and what several stages in a row keep adds up."""
 
     @functools.wraps(rows)
     def run(batches):
-        import pyarrow as pa
-
         yield from rows(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        give_back()
 
     return run
 

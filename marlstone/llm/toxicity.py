@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, lean, stored
+from ._common import forget, give_back, lean, stored
 from ._hashing import LOWER, Powers, Rolling, byte_class, in_chunks, text_buffers
 
 SLOT_BITS = 20
@@ -235,11 +235,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_terms:
     forget(rows)
     paired = telling_pairs(term, begin, y, len(frequent))
     use = np.concatenate([paired, np.ones(len(kept) - len(frequent), bool)])
-    number, used = np.cumsum(use) - 1, use[term]
-    begin = np.concatenate([[0], np.cumsum(used)])[begin]
+    number, used = (np.cumsum(use) - 1).astype(np.int32), use[term]
+    begin = np.concatenate([np.zeros(1, np.int32), np.cumsum(used, dtype=np.int32)])[begin]  # numbers up to ``most_terms``
+    term = number[term[used]]
+    del used
     # Back to the labels' shares, half way to balance: the rarer label counts by the root of the ratio.
     weight = np.where(y == 1, shares[1] / n1 * np.sqrt(shares[0] / shares[1]), shares[0] / n0)
-    return FactorizationMachine.fit(kept[use], number[term[used]].astype(np.int32), begin, y, weight / weight.mean())
+    give_back()
+    model = FactorizationMachine.fit(kept[use], term, begin, y, weight / weight.mean())
+    del term, begin
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def _scorer(model: FactorizationMachine):
