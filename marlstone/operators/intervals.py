@@ -108,7 +108,7 @@ def cap_per_config(df: DataFrame, keys: list[str], n: int, order: list[str], sal
 
 
 def segment_clips(waveforms: DataFrame, segments: DataFrame, key: str = "uri") -> tuple[DataFrame, DataFrame]:
-    """Segments with their samples, and the segments whose recording is missing. waveforms: key, samples, sr."""
+    """Segments with their samples, and the segments whose recording is missing. waveforms: key, samples, sr. For long recordings sources.audio.read_segments reads ranges of their files."""
     cut = segments.join(waveforms.select(key, "samples", "sr"), key)
     first, end = F.floor(F.col("start_s") * F.col("sr")).cast("int"), F.floor(F.col("end_s") * F.col("sr")).cast("int")
     clips = cut.withColumn("samples", F.slice("samples", first + 1, F.greatest(end - first, F.lit(0))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, joins, metrics, splits
 from ..operators.common import shared_path
-from ..sources import annotations, manifests
+from ..sources import annotations, audio, manifests
 from .base import query
 from .metrics import PAIR_SQL, _BA, _N, _preds, paired_runs, rounded
 from .roles import role, table
@@ -186,6 +186,20 @@ def iv06_segment_clips(spark, d):
     return clips.select("uri", "k", F.size("samples").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first"))
 
 
+@query("""WITH s AS (SELECT vec_id AS uri, [CAST(trunc(greatest(least(CAST(v AS DOUBLE), 1), -1) * 32767) AS DOUBLE) / 32768 FOR v IN embedding] AS x, unnest([0, 1, 2]) AS k FROM embeddings),
+t AS (SELECT uri, k, x[1 + CAST(floor(k * 0.02::DOUBLE * 1000) AS INTEGER):CAST(floor((k * 0.02::DOUBLE + 0.03::DOUBLE) * 1000) AS INTEGER)] AS y FROM s) SELECT uri, k, len(y)::INTEGER AS n, round(list_sum(y), 4) AS total, round(y[1], 6) AS first, NULL::STRING AS error FROM t""")
+def iv06_segments_of_files(spark, d):
+    """Every vector as a WAV file; of each, three overlapping segments of 30 ms, the last one cut short by the end, read by ranges of bytes."""
+    folder = shared_path(spark, "recordings")
+    w = role(spark, d, "waves")
+    audio.write_wav_corpus(w, folder)
+    index = audio.index_wav_corpus(spark, folder).withColumn("uri", F.regexp_extract("path", r"([^/]*)\.wav$", 1).cast("long"))
+    seg = w.select(F.col("clip_id").cast("long").alias("uri"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k")).selectExpr("uri", "k", "k * CAST(0.02 AS DOUBLE) AS start_s", "k * CAST(0.02 AS DOUBLE) + CAST(0.03 AS DOUBLE) AS end_s")
+    clips, _ = audio.read_segments(index, seg)
+    x = F.col("samples").cast("array<double>")
+    return clips.select("uri", "k", F.size("samples").alias("n"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(x[0], 6).alias("first"), "error")
+
+
 @query("""WITH s AS (SELECT uri, sum(end_s - start_s) AS t FROM frames WHERE label = 'SPEECH' GROUP BY uri), c AS (SELECT DISTINCT uri FROM frames) SELECT c.uri, round(coalesce(t, 0) / 5000, 6) AS ratio, coalesce(t, 0) / 5000 >= 0.8 AS passed FROM c LEFT JOIN s ON c.uri = s.uri""", "frames")
 def iv07_speech_ratio(spark, d):
     clips = role(spark, d, "frames").select("uri").distinct().withColumn("duration_s", F.lit(5000.0))
