@@ -298,14 +298,14 @@ def mt24_curve_threshold(spark, d):
     return rounded(curves.curve_threshold(curve, 50.0, ["run"]))
 
 
-@query("""WITH c AS (SELECT dur AS x, snr, 100.0::DOUBLE * sum(CAST(correct AS INTEGER)) / count(*) AS y FROM preds GROUP BY 1, 2), l AS (SELECT *, lead(y) OVER w AS y2, lead(x) OVER w AS x2 FROM c WINDOW w AS (PARTITION BY snr ORDER BY y, x)), g AS (SELECT *, unnest([75.0::DOUBLE, 90.0::DOUBLE]) AS target FROM l),
-k AS (SELECT snr, target, min(y) AS lo, max(y) AS hi, arg_min(CASE WHEN y <= target AND y2 > target THEN x + (target - y) / (y2 - y) * (x2 - x) END, CASE WHEN y <= target AND y2 > target THEN y END) AS t FROM g GROUP BY 1, 2)
-SELECT snr, target, CASE WHEN lo < target AND hi > target THEN round(t, 6) END AS threshold FROM k""", "preds")
+@query("""WITH c AS (SELECT dur AS x, clip_id, 100.0::DOUBLE * sum(CAST(correct AS INTEGER)) / count(*) AS y FROM preds GROUP BY 1, 2), l AS (SELECT *, lead(y) OVER w AS y2, lead(x) OVER w AS x2 FROM c WINDOW w AS (PARTITION BY clip_id ORDER BY y, x)), g AS (SELECT *, unnest([75.0::DOUBLE, 90.0::DOUBLE]) AS target FROM l),
+k AS (SELECT clip_id, target, min(y) AS lo, max(y) AS hi, arg_min(CASE WHEN y <= target AND y2 > target THEN x + (target - y) / (y2 - y) * (x2 - x) END, CASE WHEN y <= target AND y2 > target THEN y END) AS t FROM g GROUP BY 1, 2)
+SELECT clip_id, target, CASE WHEN lo < target AND hi > target THEN round(t, 6) END AS threshold FROM k""", "preds")
 def mt24_curve_thresholds_75_90(spark, d):
-    """Durations at which 75 and 90 % are right, at each SNR; null where a curve does not cross."""
-    curve = curves.accuracy_curve(_preds(spark, d), "dur", ["snr"])
-    at = lambda t: curves.curve_threshold(curve, t, ["snr"]).withColumn("target", F.lit(t))
-    return rounded(at(75.0).unionByName(at(90.0)).select("snr", "target", "threshold"))
+    """Durations at which 75 and 90 % are right, clip by clip; null where a curve does not cross."""
+    curve = curves.accuracy_curve(_preds(spark, d), "dur", ["clip_id"])
+    at = lambda t: curves.curve_threshold(curve, t, ["clip_id"]).withColumn("target", F.lit(t))
+    return rounded(at(75.0).unionByName(at(90.0)).select("clip_id", "target", "threshold"))
 
 
 @query()

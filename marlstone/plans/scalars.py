@@ -177,12 +177,15 @@ def sc16_clean_prompt(spark, d):
     return _spark(spark, d, _PROMPT, "benchmark").select("item_id", answers.clean_prompt(F.col("text")).alias("r")).select("item_id", "r.*")
 
 
-@query(rf"""WITH p AS ({_PROMPT.format(benchmark="benchmark")}), o AS (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM p),
+_OPEN_PROMPT = f"SELECT item_id, CASE item_id % 4 WHEN 0 THEN concat('  What  do you hear? ', text) WHEN 1 THEN concat('Describe the sound. ', text) WHEN 2 THEN 'Identify   the source of this  noise.' ELSE text END AS text FROM ({_PROMPT}) AS prompts"
+
+
+@query(rf"""WITH p AS ({_OPEN_PROMPT.format(benchmark="benchmark")}), o AS (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM p),
 w AS (SELECT *, CASE WHEN {_contains('t', answers.FORBIDDEN_TOKENS)} THEN 'forbidden token' WHEN length(t) < 10 THEN 'too short' WHEN length(t) > 300 THEN 'too long' WHEN NOT ({_contains('upper(t)', answers.AUDIO_WORDS)}) THEN 'no audio reference' END AS reason FROM o)
 SELECT item_id, CASE WHEN reason IS NULL THEN regexp_replace(t, '\s+', ' ', 'g') ELSE t END AS text, reason IS NULL AS valid, reason FROM w""")
 def sc16_clean_open_prompt(spark, d):
     """Open-ended prompts need no labels but a word about sound."""
-    return _spark(spark, d, _PROMPT, "benchmark").select("item_id", answers.clean_prompt(F.col("text"), open_ended=True).alias("r")).select("item_id", "r.*")
+    return _spark(spark, d, _OPEN_PROMPT, "benchmark").select("item_id", answers.clean_prompt(F.col("text"), open_ended=True).alias("r")).select("item_id", "r.*")
 
 
 @query("""WITH s AS (SELECT clip_id, run, l_partkey, logit_diff / CAST(2.5 AS DOUBLE) AS diff FROM preds), p AS (SELECT *, 1 / (1 + exp(-diff)) AS a FROM s)
