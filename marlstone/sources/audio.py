@@ -162,6 +162,7 @@ def read_segments(index: DataFrame, segments: DataFrame, key: str = "uri", task_
     the recording, channels averaged. Segments are dealt by recording and place, so that a recording of any length is read by many
     tasks and each reads near places one after another; a task looks for ``task_bytes`` of samples and holds one batch of segments at a
     time. No recording is ever a row. Where a bound is null, so are the samples; a read that fails is that segment's error.
+    ``segments`` has no columns sr, samples or error of its own.
     """
     named = index.filter("error is null").select(F.col(key), *[F.col(c).alias(f"_{n}") for c, n in (("path", "path"), ("sr", "sr"), ("channels", "channels"), ("data_at", "data_at"), ("n_samples", "n"))])
     found = segments.join(named, key)
