@@ -8,8 +8,8 @@ of fewer words are one window of their own length and are looked up whole.
 
 A benchmark of at most ``block_bytes`` of texts, which is measured first, is one block that every task holds, and
 nothing is shuffled. A larger one is joined by shuffle: a bitmap of fixed size, whatever the benchmark, drops most
-document fingerprints before they travel; those that the benchmark has bring the hashes of the windows around them, which
-are joined to the benchmark's windows. Texts with the same windows share one list of items, so a window that many items
+document fingerprints before they travel; those that the benchmark has bring the words around them, and each window of
+these is joined word by word to the benchmark's different windows. Texts with the same windows share one list of items, so a window that many items
 and many documents have is expanded once. Both ways give equal rows.
 
 Nulls have no words; repeated rows and rows without an id stay; items without an id are named by nothing; empty tables
@@ -163,8 +163,23 @@ def _scan(sent, powers: Powers, column, with_spans: bool) -> tuple[np.ndarray, n
 # ---------------------------------------------------------------------------- by shuffle
 
 
-def _benchmark_rows(items: DataFrame, window: int) -> DataFrame:
-    """(kind, hash, item): every window's hash (kind: its number of words), and every fingerprint's (kind 0, no item)."""
+def _runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Arrow column: the words (eight bytes each) of every run words[begin:end]."""
+    import pyarrow as pa
+
+    n = end - begin
+    ends = np.cumsum(n)
+    own = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)
+    offsets = np.concatenate([np.zeros(1, np.int64), 8 * ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words[own].tobytes())])
+
+
+def _narrow(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _benchmark_rows(items: DataFrame, window: int, bits: int) -> DataFrame:
+    """(kind, hash, words, item): every window (kind: its number of words), and every fingerprint (kind 0, neither words nor item)."""
 
     def rows(batches):
         import pyarrow as pa
@@ -176,23 +191,21 @@ def _benchmark_rows(items: DataFrame, window: int) -> DataFrame:
                 words, first = words_of(data, offsets, IS_WORD, powers)
                 counts = np.diff(first)
                 text = np.repeat(np.arange(len(counts)), counts)
-                kinds, hashes, names = [], [], []
                 for n in range(1, window + 1):
                     h = grams(words, n)
                     at = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if len(h) else np.zeros(0, np.int64)
                     at = at if n == window else at[counts[text[at]] == n]
-                    kinds.append(np.full(len(at), n, np.int32))
-                    hashes.append(h[at])
-                    names += ids[row + text[at]].tolist()
+                    if len(at):
+                        columns = [pa.array(np.full(len(at), n, np.int32)), pa.array(_narrow(h[at], bits)), _runs(words, at, at + n), pa.array(ids[row + text[at]].tolist(), pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
                 h = grams(words, k)
                 at = winnow(h, first, window - k + 1)
                 at = at[text[at] == text[at + k - 1]]
-                kinds.append(np.zeros(len(at), np.int32))
-                hashes.append(h[at])
-                names += [None] * len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(names, pa.string())], names=["kind", "hash", "item"])
+                columns = [pa.array(np.zeros(len(at), np.int32)), pa.array(_narrow(h[at], bits)), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return items.mapInArrow(rows, "kind int, hash long, item string").distinct()
+    names = ["kind", "hash", "words", "item"]
+    return items.mapInArrow(rows, "kind int, hash long, words binary, item string").distinct()
 
 
 def _places(kind, hashes: np.ndarray) -> np.ndarray:
@@ -235,55 +248,56 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
-def _hit_texts(texts: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
-    """(h1, h2, n_hit, items, spans, contaminated) of the different texts (text) with occurring windows."""
-    bench = stored(_benchmark_rows(items, window), "benchmark-windows")
+def _hit_texts(texts: DataFrame, items: DataFrame, window: int, share: int, bits: int = 64) -> DataFrame:
+    """(h1, h2, n_hit, items, spans, contaminated) of the different texts (text) with occurring windows.
+
+    Hashes of ``bits`` bits choose which places are looked at; whether a window occurs there is decided word by word.
+    """
+    bench = stored(_benchmark_rows(items, window, bits), "benchmark-rows")
     # Probes: fingerprints of whole windows, and the short items themselves.
     probes = stored(bench.filter(F.col("kind") < window).select("kind", "hash").distinct(), "benchmark-probes")
+    # Different windows by number.
+    known = stored(bench.filter("kind > 0").select("words").distinct().select("words", F.monotonically_increasing_id().alias("window")), "benchmark-windows")
     kinds = sorted(r[0] for r in probes.filter("kind > 0").select("kind").distinct().collect())  # fewer than ``window``
     sent = texts.sparkSession.sparkContext.broadcast(_bitmap(probes))
 
     def probe(batches):
         import pyarrow as pa
 
-        powers, k, bits = Powers(), min(K, window), sent.value
-        names = ["kind", "hash", "h1", "h2", "n_words", "at", "windows"]
+        powers, k, on = Powers(), min(K, window), sent.value
+        names = ["kind", "hash", "h1", "h2", "n_words", "at", "words"]
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy() for i in (1, 2))
             for row, data, offsets in in_chunks(*text_buffers(batch.column(0))):
                 words, first = words_of(data, offsets, IS_WORD, powers)
                 counts = np.diff(first)
                 text = np.repeat(np.arange(len(counts)), counts)
-                whole = grams(words, window)
                 for kind in [0, *kinds]:
                     n = kind or k
                     h = grams(words, n)
                     at = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if kind and len(h) else winnow(h, first, window - k + 1) if len(h) else np.zeros(0, np.int64)
                     at = at[text[at] == text[at + n - 1]]
-                    place = _places(kind, h[at])
-                    at = at[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+                    place = _places(kind, _narrow(h[at], bits).view(np.uint64))
+                    at = at[on[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
                     if not len(at):
                         continue
-                    around: list = [[]] * len(at)
-                    if not kind:  # the windows that hold the fingerprint: (first word in the text, hash)
-                        around = []
-                        for a in at.tolist():
-                            begin = first[text[a]]
-                            starts = np.arange(max(begin, a + k - window), min(a, first[text[a] + 1] - window) + 1)
-                            around.append([{"at": int(s - begin), "hash": w} for s, w in zip(starts, whole[starts].view(np.int64).tolist())])
+                    begin, end = at, at + n
+                    if not kind:  # all windows that hold the fingerprint, as one run of words
+                        begin, end = np.maximum(first[text[at]], at + k - window), np.minimum(first[text[at] + 1], at + window)
                     t = row + text[at]
-                    columns = [np.full(len(at), kind, np.int32), h[at].view(np.int64), h1[t], h2[t], counts[text[at]], (at - first[text[at]]).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(around, pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())])))], names=names)
+                    columns = [np.full(len(at), kind, np.int32), _narrow(h[at], bits), h1[t], h2[t], counts[text[at]], (begin - first[text[at]]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), _runs(words, begin, end)], names=names)
 
-    schema = "kind int, hash long, h1 long, h2 long, n_words long, at int, windows array<struct<at:int,hash:long>>"
+    schema = "kind int, hash long, h1 long, h2 long, n_words long, at int, words binary"
     found = texts.select("text", *_text_key(F.col("text"))).mapInArrow(probe, schema).join(probes, ["kind", "hash"], "left_semi")
     key = ["h1", "h2", "n_words"]
-    short = found.filter("kind > 0").select(*key, F.col("kind").alias("n"), "hash", "at")
-    whole = found.filter("kind = 0").select(*key, F.explode("windows").alias("w")).select(*key, F.lit(window).alias("n"), "w.hash", "w.at")
-    known = bench.filter("kind > 0").select(F.col("kind").alias("n"), "hash").distinct()
-    hits = short.unionByName(whole).distinct().join(known, ["n", "hash"], "left_semi")
+    found = found.select(*key, "at", "words", F.when(F.col("kind") > 0, F.col("kind")).otherwise(window).alias("n"))
+    found = found.withColumn("more", (F.octet_length("words") / 8).cast("int") - F.col("n")).filter("more >= 0")
+    found = found.select(*key, "n", "at", "words", F.explode(F.sequence(F.lit(0), "more")).alias("i"))
+    found = found.select(*key, "n", (F.col("at") + F.col("i")).alias("at"), F.expr("substring(words, 8 * i + 1, 8 * n)").alias("words"))
+    hits = found.distinct().join(known, "words").drop("words")
     # A text's hits lie in one row, as the text does.
-    row = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("windows"), F.sort_array(F.collect_set(F.struct("n", "hash"))).alias("combo"))
+    row = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("windows"), F.sort_array(F.collect_set("window")).alias("combo"))
     span = "array<struct<at:int,n:int>>"
     merged = F.aggregate(
         "windows",
@@ -299,10 +313,11 @@ def _hit_texts(texts: DataFrame, items: DataFrame, window: int, share: int) -> D
     row = row.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]))
     row = stored(row.withColumn("c1", F.xxhash64("combo")).withColumn("c2", F.xxhash64(F.lit("second"), "combo")), "hit-texts")
     # Items of each different set of windows; a set's items are one value of the result.
-    combos = row.groupBy("c1", "c2").agg(F.first("combo").alias("combo")).select("c1", "c2", F.explode("combo").alias("w")).select("c1", "c2", "w.n", "w.hash")
-    lists = combos.join(bench.filter("kind > 0").select(F.col("kind").alias("n"), "hash", "item"), ["n", "hash"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    combos = row.groupBy("c1", "c2").agg(F.first("combo").alias("combo")).select("c1", "c2", F.explode("combo").alias("window"))
+    named = bench.filter("kind > 0").select("words", "item").join(known, "words").select("window", "item")
+    lists = combos.join(named, "window").groupBy("c1", "c2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = stored(row.join(lists, ["c1", "c2"]).select("h1", "h2", "n_hit", "items", "spans", (share * F.col("n_hit") >= F.col("n_words")).alias("contaminated")), "hits")
-    forget(bench, probes, row)
+    forget(bench, probes, known, row)
     sent.unpersist()
     return out
 

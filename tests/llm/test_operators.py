@@ -11,6 +11,7 @@ import zlib
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, fingerprints, jaccard, packing, preference, sharding, suffix_dedup, token_counts, toxicity, warc_zip
 
@@ -664,6 +665,23 @@ def test_a_window_that_many_items_and_documents_share(spark, monkeypatch, block)
         assert all(a["at"] + a["n"] < b["at"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
+@pytest.mark.parametrize("bits", [3, 12, 64])
+def test_equal_hashes_of_different_windows_are_no_hits(spark, bits):
+    """Hashes of 3 bits are equal for most windows and short items; the words decide."""
+    rng = random.Random(29)
+    vocabulary = ["one", "two", "red", "blue"]
+    bench = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 6, 12, 13, 14, 30])))) for i in range(40)] + [(None, prose(rng, 20)), (98, ""), (99, None)]
+    rows = [(i, " ".join(rng.choice(vocabulary + ["green"] * 3) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rows += [(100 + i, prose(rng, rng.randint(10, 40))) for i in range(60)] + [(None, bench[-3][1]), (300, None), (301, prose(rng, 12)), (302, "x " + bench[6][1].upper() + ", " + bench[-3][1])]
+    texts = frame(spark, rows).select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = decontaminate._items(spark.createDataFrame(bench, "item_id long, text string"), "item_id", "text")
+    want = {t or "": r for (_, t), r in ((row, next(iter(brute_hits([row], [("" if i is None else i, b) for i, b in bench])))) for row in rows) if r[2]}
+    hits = decontaminate._hit_texts(texts, items, 13, 20, bits=bits)
+    got = texts.select("text", *decontaminate._text_key(F.col("text"))).join(hits, ["h1", "h2"]).collect()
+    assert 20 < len(got) < len(rows)
+    assert {r["text"]: (r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in got} == {t: r[2:] for t, r in want.items()}
+
+
 # ---------------------------------------------------------------------------- Jaccard join
 
 
