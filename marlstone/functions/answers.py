@@ -50,18 +50,46 @@ def _word(words: list[str]) -> str:
     return r"(?U)\b(" + "|".join(words) + r")\b"
 
 
+#: Letters whose capitals are several code points: case that goes letter by letter leaves them letters.
+_LONG_CAPITALS = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+
+
+class Unicode:
+    """Words, white space and case as the reference's expressions take them."""
+
+    stripped, other = staticmethod(strip), r"(?U)[^A-Z0-9\s]"
+    upper, lower = staticmethod(F.upper), staticmethod(F.lower)
+    no = staticmethod(_word)
+    yes = staticmethod(lambda w: _word([w]))
+    negated = staticmethod(lambda w: rf"(?U)\b(NO|NOT)\b.*\b{w}\b")
+    denied = r"(?U)\bNO\b.*\bSPEECH\b"
+
+
+class Ascii:
+    """As DuckDB takes them: ASCII words (an affirmation alone has Unicode letters and numbers around it) and white space, lines that end at \\n only, case letter by letter."""
+
+    stripped, other = staticmethod(lambda text: F.regexp_replace(text, r"\A[\t\n\f\r ]+|[\t\n\f\r ]+\z", "")), r"[^A-Z0-9\t\n\f\r ]"
+    apart = r"[^\p{L}\p{N}\p{Cs}_]"  # Java's search also begins at the second half of a code point
+    upper = staticmethod(lambda text: F.upper(F.translate(text, _LONG_CAPITALS, "\u05d0" * len(_LONG_CAPITALS))))
+    lower = staticmethod(lambda text: F.lower(F.translate(text, "\u0130", "i")))
+    no = staticmethod(lambda words: rf"(?<![A-Za-z0-9_])({'|'.join(words)})(?![A-Za-z0-9_])")
+    yes = staticmethod(lambda w: rf"(^|{Ascii.apart}){w}(\z|{Ascii.apart})")
+    negated = staticmethod(lambda w: rf"{Ascii.no(['NO', 'NOT'])}[^\n]*{Ascii.apart}{w}(\z|{Ascii.apart})")
+    denied = r"(?<![A-Za-z0-9_])NO(?![A-Za-z0-9_])[^\n]*(?<![A-Za-z0-9_])SPEECH(?![A-Za-z0-9_])"
+
+
 def _result(label: str | None, confidence: Column) -> Column:
     return F.struct(F.lit(label).cast("string").alias("label"), confidence.cast("double").alias("confidence"))
 
 
-def normalize_response(text: Column, confidence: Column | None = None, mapping: Column | None = None, verbalizers: tuple[str, ...] = ("SPEECH", "NONSPEECH"), letter_probs: Column | None = None) -> Column:
-    """struct(label, confidence) of a free answer: explicit labels, mapped letters, yes and no, then counted synonyms."""
-    upper, lower = F.upper(strip(text)), F.lower(strip(text))
+def normalize_response(text: Column, confidence: Column | None = None, mapping: Column | None = None, verbalizers: tuple[str, ...] = ("SPEECH", "NONSPEECH"), letter_probs: Column | None = None, rules: type = Unicode) -> Column:
+    """struct(label, confidence) of a free answer: explicit labels, mapped letters, yes and no, then counted synonyms. ``rules``: what words, white space and capitals are."""
+    upper, lower = rules.upper(rules.stripped(text)), rules.lower(rules.stripped(text))
     base = F.coalesce(confidence if confidence is not None else F.lit(None), F.lit(1.0))
     listed = {v.upper() for v in verbalizers}
 
     nonspeech = any_of(upper, ["NONSPEECH", "NON-SPEECH", "NO SPEECH"]) & ~any_of(upper, ["NOT NONSPEECH", "NO NONSPEECH"])
-    denied = any_of(upper, ["NONSPEECH", "NON-SPEECH", "NO SPEECH", "NOT SPEECH"]) | upper.rlike(r"(?U)\bNO\b.*\bSPEECH\b") | upper.startswith("NO,")
+    denied = any_of(upper, ["NONSPEECH", "NON-SPEECH", "NO SPEECH", "NOT SPEECH"]) | upper.rlike(rules.denied) | upper.startswith("NO,")
     speech = upper.contains("SPEECH") & ~denied
 
     steps: list[tuple[Column, Column]] = [(text.isNull() | (text == ""), _result(None, F.lit(0.0)))]
@@ -74,8 +102,8 @@ def normalize_response(text: Column, confidence: Column | None = None, mapping:
         found = F.map_contains_key(mapping, letter)
         own = F.coalesce(F.try_element_at(letter_probs, letter), base) if letter_probs is not None else base
         steps.append(((letter != "") & F.coalesce(found, F.lit(False)), F.struct(F.try_element_at(mapping, letter).alias("label"), own.cast("double").alias("confidence"))))
-    steps.append((upper.rlike(_word(NO_WORDS)), _result("NONSPEECH", base * 0.95)))
-    yes = reduce(lambda a, b: a | b, [upper.rlike(_word([w])) & ~upper.rlike(rf"(?U)\b(NO|NOT)\b.*\b{w}\b") for w in YES_WORDS])
+    steps.append((upper.rlike(rules.no(NO_WORDS)), _result("NONSPEECH", base * 0.95)))
+    yes = reduce(lambda a, b: a | b, [upper.rlike(rules.yes(w)) & ~upper.rlike(rules.negated(w)) for w in YES_WORDS])
     steps.append((yes, _result("SPEECH", base * 0.95)))
     for_speech, against = _count_of(lower, SPEECH_WORDS), _count_of(lower, NONSPEECH_WORDS)
     steps.append((for_speech > against, _result("SPEECH", base * 0.8)))
@@ -91,10 +119,10 @@ def _first(steps: list[tuple[Column, Column]], default: Column) -> Column:
     return chain.otherwise(default)
 
 
-def parse_response(text: Column) -> Column:
+def parse_response(text: Column, rules: type = Unicode) -> Column:
     """struct(label, confidence) by the older cascade: option letters, labels, key words, negations and affirmations."""
-    upper = F.upper(strip(F.coalesce(text, F.lit(""))))
-    plain = F.regexp_replace(upper, r"(?U)[^A-Z0-9\s]", "")
+    upper = rules.upper(rules.stripped(F.coalesce(text, F.lit(""))))
+    plain = F.regexp_replace(upper, rules.other, "")
     before = F.substring_index(plain, "SPEECH", 1)
     steps = [
         (upper.contains("A)") | (upper == "A") | (plain == "A"), _result("SPEECH", F.lit(1.0))),
@@ -109,9 +137,9 @@ def parse_response(text: Column) -> Column:
     return _first(steps, _result("UNKNOWN", F.lit(0.0)))
 
 
-def resolve_prediction(text: Column, **options) -> Column:
+def resolve_prediction(text: Column, rules: type = Unicode, **options) -> Column:
     """Label of the first cascade, else of the second."""
-    return F.coalesce(normalize_response(text, **options)["label"], parse_response(text)["label"])
+    return F.coalesce(normalize_response(text, rules=rules, **options)["label"], parse_response(text, rules)["label"])
 
 
 def detect_prompt_format(text: Column) -> Column:
