@@ -69,30 +69,34 @@ def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, name:
 def quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float], cells: int = 256, most: int = 50_000) -> DataFrame:
     """by and a column for each share: exact quantiles of ``column``, between two neighbours in proportion; nulls are left out.
 
-    Every wanted rank has a range of values. While one holds over ``most`` rows, it is cut into ``cells`` cells by a sketch, the rows
-    of each are counted and the one with the rank is the next range, for all groups and ranks at once. Then only the
-    different values in the ranges are sorted, at most ``most`` of each.
+    Rows become different values with their counts once, and later steps read those. Every wanted rank has a range of values. While one
+    holds over ``most`` different values, it is cut into ``cells`` cells by a sketch, the rows of each are counted and the ones with
+    wanted ranks are the next ranges, for all groups at once; ranges of a group do not overlap. Then the values in the ranges are
+    sorted, at most ``most`` of each.
     """
     rows = df.filter(F.col(column).isNotNull()).select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("all")).alias("_key"), F.col(column).cast("double").alias("_v"))
-    whole = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    at = (F.col("_n") - 1) * F.col("_p.share")
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("share")) for name, q in shares.items()])
-    ranks = whole.withColumn("_p", F.explode(wanted)).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
-    spans = written(ranks.groupBy("_key", "_rank", "_low", "_high").agg(F.max("_n").alias("_in")).withColumn("_below", F.lit(0).cast("long")), "quantile-spans")
-    inside = lambda: rows.join(spans, "_key").filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+    values = written(rows.groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c")), "quantile-values")
+    whole = values.groupBy("_key").agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    at = [(F.col("_n") - 1) * F.lit(float(q)) for q in shares.values()]
+    ranks = F.array_distinct(F.array(*[f(a) for a in at for f in (F.floor, F.ceil)]))
+    spans = written(whole.select("_key", "_low", "_high", "_in", F.lit(0).cast("long").alias("_below"), ranks.alias("_ranks")), "quantile-spans")
+    inside = lambda spans: values.join(spans, "_key").filter(F.col("_v").between(F.col("_low"), F.col("_high")))
     large = (F.col("_in") > most) & (F.col("_low") < F.col("_high"))
     while spans.filter(large).limit(1).count():
-        some = inside().filter(large)
-        cuts = some.groupBy("_key", "_rank").agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts"))
-        cell = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-        found = some.join(cuts, ["_key", "_rank"]).groupBy("_key", "_rank", "_below", cell.alias("_cell"), (F.col("_v") == F.get("_cuts", cell - 1)).alias("_cut"))
-        found = found.agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        before = F.coalesce(F.sum("_in").over(Window.partitionBy("_key", "_rank").orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        found = found.withColumn("_below", F.col("_below") + before).filter((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_in")))
+        some = inside(spans.filter(large))
+        cuts = some.groupBy("_key", "_low").agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts"))
+        cuts = cuts.withColumn("_heads", F.array(*[F.get("_cuts", F.lit(i)) for i in range(15, cells - 1, 16)]).cast("array<double>"))
+        upto = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_v")))
+        near = 16 * upto("_heads")  # a sixteenth of the cuts is looked through, then what lies between two of those
+        cell = near + upto(F.slice("_cuts", near + 1, 16))
+        found = some.join(cuts, ["_key", "_low"]).withColumn("_cell", cell).groupBy("_key", F.col("_low").alias("_from"), "_cell", (F.col("_v") == F.get("_cuts", F.col("_cell") - 1)).alias("_cut"))
+        found = found.agg(F.count(F.lit(1)).alias("_in"), F.sum("_c").alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first("_below").alias("_below"), F.first("_ranks").alias("_ranks"))
+        before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_key", "_from").orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = found.withColumn("_below", F.col("_below") + before)
+        found = found.withColumn("_ranks", F.filter("_ranks", lambda r: (F.col("_below") <= r) & (r < F.col("_below") + F.col("_sum")))).filter(F.size("_ranks") > 0)
         spans = written(found.select(*spans.columns).unionByName(spans.filter(~large)), "quantile-spans")
-    values = inside().groupBy("_key", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy("_key", "_rank").orderBy("_v"))
-    values = values.withColumn("_upto", F.col("_below") + upto).filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy("_key", "_low").orderBy("_v"))
+    values = inside(spans).withColumn("_upto", upto).withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r))))
     known = values.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))  # two ranks a share
     out = known.join(whole, "_key")
     columns = []

@@ -66,6 +66,15 @@ def test_exact_quantiles(spark, most):
     assert common.quantiles(df.limit(0), [], "v", {"m": 0.5}).collect() == []
 
 
+def test_quantiles_of_repeated_values_read_rows_once(spark, monkeypatch):
+    """Many rows of few values need no ranges: rows are counted by value once, later steps read the counts."""
+    names, before = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: names.append((name, df.count())) or before(df, name))
+    df = spark.range(4000).selectExpr("id % 2 AS g", "CAST(id % 10 AS DOUBLE) AS v")
+    got = {r["g"]: r["m"] for r in common.quantiles(df, ["g"], "v", {"m": 0.5}, 16, 100).collect()}
+    assert got == {0: 4.0, 1: 5.0} and names == [("quantile-values", 10), ("quantile-spans", 2)]
+
+
 def test_numbers_within_keys(spark):
     rows = [("hot" if i % 3 else f"k{i % 7}", i * 37 % 500) for i in range(500)]
     placed, sizes = common.numbered(spark.createDataFrame(rows, "k string, v long").repartition(6), ["v"], ["k"])
