@@ -52,6 +52,19 @@ def test_slices(spark):
     assert capped.count() == 14 and capped.agg(F.max("start_s")).first()[0] < 3
 
 
+def test_first_rows_of_keys_without_ranking_all(spark):
+    df = spark.range(20000).selectExpr("IF(id % 4 = 3, null, id % 4) AS k", "IF(id % 1999 = 0, null, CAST(id * 7919 % 20011 AS DOUBLE)) AS t", "id")
+    df = df.unionByName(spark.createDataFrame([(9, 1.0, i) for i in range(300)] + [(8, None, i) for i in range(30)] + [(7, 5.0, 1)] * 40, df.schema)).repartition(5)
+    near = intervals._near_start(df, ["k"], 7, ["t", "id"])
+    assert near.filter("k IS NULL OR k < 3").count() < 400  # of 20,000
+    first = lambda k: (k is not None, k or 0)
+    rows = sorted(df.collect(), key=lambda r: (first(r["k"]), first(r["t"]), r["id"]))
+    want = [tuple(r) for i, r in enumerate(rows) if i < 7 or rows[i - 7]["k"] != r["k"]]
+    got = intervals.cap_per_config(df, ["k"], 7, ["t", "id"]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) == 49
+    assert intervals.cap_per_config(df, ["k"], 0, ["t", "id"]).count() == 0 == intervals.cap_per_config(df.limit(0), ["k"], 7, ["t", "id"]).count()
+
+
 def test_frame_table_checks(spark, tmp_path):
     df = spark.createDataFrame([("u", 0.0, 1.0, "SPEECH", "dev", "d")], annotations.FRAME_SCHEMA)
     annotations.write_frame_table(df, f"{tmp_path}/t")
