@@ -7,21 +7,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def accuracy_curve(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
-    """by, x, n, n_correct, accuracy_pct at each known x."""
-    out = df.filter(F.col(x).isNotNull()).groupBy(*(by or []), F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("n_correct"))
+#: Rows of a task where groups are about as many as rows.
+ROWS = 250_000
+
+
+def accuracy_curve(df: DataFrame, x: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """by, x, n, n_correct, accuracy_pct at each known x. ``parts``: for groups about as many as rows, so many tasks count them; else Spark's own number, after a count before the shuffle."""
+    by, rows = by or [], df.filter(F.col(x).isNotNull())
+    rows = rows.select(*by, F.col(x).alias("x"), F.col("correct").cast("long").alias("_c"))
+    rows = rows.repartition(parts, *by, "x") if parts else rows
+    out = rows.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("n_correct"))
     return out.withColumn("accuracy_pct", 100.0 * F.col("n_correct") / F.col("n"))
 
 
 def curve_threshold(curve: DataFrame, target: float, by: list[str] | None = None) -> DataFrame:
     """by, threshold: x at which accuracy crosses ``target``, linear between points sorted by accuracy; null unless min < target < max."""
+    return curve_thresholds(curve, [target], by).drop("target")
+
+
+def curve_thresholds(curve: DataFrame, targets: list[float], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """by, target, threshold for all targets at once; ``parts``: so many tasks, for many curves."""
     by = by or []
     order = Window.partitionBy(*by, F.lit(0)).orderBy("accuracy_pct", "x")
-    rows = curve.withColumn("_y", F.lead("accuracy_pct").over(order)).withColumn("_x", F.lead("x").over(order))
-    part = F.try_divide(F.lit(target) - F.col("accuracy_pct"), F.col("_y") - F.col("accuracy_pct"))
-    at = F.when((F.col("accuracy_pct") <= target) & (F.col("_y") > target), F.col("x") + part * (F.col("_x") - F.col("x")))
-    out = rows.withColumn("_at", at).groupBy(*by).agg(F.min_by("_at", F.when(F.col("_at").isNotNull(), F.col("accuracy_pct"))).alias("_at"), F.min("accuracy_pct").alias("_low"), F.max("accuracy_pct").alias("_high"))
-    return out.select(*by, F.when((F.col("_low") < target) & (F.col("_high") > target), F.col("_at")).alias("threshold"))
+    rows = curve.repartition(parts, *by) if parts and by else curve
+    rows = rows.withColumn("_y", F.lead("accuracy_pct").over(order)).withColumn("_x", F.lead("x").over(order))
+
+    def at(target):
+        part = F.try_divide(F.lit(target) - F.col("accuracy_pct"), F.col("_y") - F.col("accuracy_pct"))
+        return F.when((F.col("accuracy_pct") <= target) & (F.col("_y") > target), F.col("x") + part * (F.col("_x") - F.col("x")))
+
+    crossed = [F.min_by(at(t), F.when(at(t).isNotNull(), F.col("accuracy_pct"))).alias(f"_at{i}") for i, t in enumerate(targets)]
+    out = rows.groupBy(*by).agg(*crossed, F.min("accuracy_pct").alias("_low"), F.max("accuracy_pct").alias("_high"))
+    found = [F.struct(F.lit(float(t)).alias("target"), F.when((F.col("_low") < t) & (F.col("_high") > t), F.col(f"_at{i}")).alias("threshold")) for i, t in enumerate(targets)]
+    return out.select(*by, F.inline(F.array(*found)))
+
+
+def thresholds_of_many(df: DataFrame, x: str, targets: list[float], by: list[str], rows: int = ROWS) -> DataFrame:
+    """by, target, threshold of many small curves, as of clips: tasks hold ``rows`` rows each, however many there are."""
+    parts = max(1, -(-df.count() // rows))
+    return curve_thresholds(accuracy_curve(df, x, by, parts), targets, by, parts)
 
 
 def crossing(x: np.ndarray, y: np.ndarray, target: float) -> float:

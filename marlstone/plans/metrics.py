@@ -303,9 +303,7 @@ k AS (SELECT clip_id, target, min(y) AS lo, max(y) AS hi, arg_min(CASE WHEN y <=
 SELECT clip_id, target, CASE WHEN lo < target AND hi > target THEN round(t, 6) END AS threshold FROM k""", "preds")
 def mt24_curve_thresholds_75_90(spark, d):
     """Durations at which 75 and 90 % are right, clip by clip; null where a curve does not cross."""
-    curve = curves.accuracy_curve(_preds(spark, d), "dur", ["clip_id"])
-    at = lambda t: curves.curve_threshold(curve, t, ["clip_id"]).withColumn("target", F.lit(t))
-    return rounded(at(75.0).unionByName(at(90.0)).select("clip_id", "target", "threshold"))
+    return rounded(curves.thresholds_of_many(_preds(spark, d), "dur", [75.0, 90.0], ["clip_id"]))
 
 
 @query()

@@ -65,6 +65,16 @@ def test_first_rows_of_keys_without_ranking_all(spark):
     assert intervals.cap_per_config(df, ["k"], 0, ["t", "id"]).count() == 0 == intervals.cap_per_config(df.limit(0), ["k"], 7, ["t", "id"]).count()
 
 
+def test_thresholds_of_many_curves_by_bounded_tasks(spark):
+    df = spark.range(2000).selectExpr("concat('c', id % 300) AS clip", "IF(id % 97 = 0, null, pmod(hash(id), 5) * 10) AS x", "pmod(hash(id, 1), 7) > 2 AS correct")
+    got = curves.thresholds_of_many(df, "x", [50.0, 75.0], ["clip"], 100)
+    assert got.rdd.getNumPartitions() == 20  # grows with the rows
+    curve = curves.accuracy_curve(df, "x", ["clip"])
+    want = [(r["clip"], t, r["threshold"]) for t in (50.0, 75.0) for r in curves.curve_threshold(curve, t, ["clip"]).collect()]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and any(t for _, _, t in want)
+    assert curves.thresholds_of_many(df.limit(0), "x", [50.0], ["clip"]).count() == 0
+
+
 def test_frame_table_checks(spark, tmp_path):
     df = spark.createDataFrame([("u", 0.0, 1.0, "SPEECH", "dev", "d")], annotations.FRAME_SCHEMA)
     annotations.write_frame_table(df, f"{tmp_path}/t")
